@@ -52,3 +52,25 @@ def scalar(name: str, view: View, key: str, make, sql_expr: str):
         return view.df(spark, sf_dir).select(key, make().alias("out"))
 
     return run
+
+
+class LineView:
+    """Documents to lines in both engines: ``doc_id, line_no, text`` (+ ``page`` when asked)."""
+
+    def __init__(self, expr: str = "text", line_expr: str = "text", per_page: int = 0):
+        self.expr, self.line_expr, self.per_page = expr, line_expr, per_page
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"split({self.expr}, '\\n') AS ls")
+        lines = docs.selectExpr("doc_id", "posexplode(ls) AS (line_no, text)")
+        page = [f"cast(floor(line_no / {self.per_page}) AS int) + 1 AS page"] if self.per_page else []
+        return lines.selectExpr("doc_id", *page, "line_no", f"{self.line_expr} AS text")
+
+    @property
+    def sql(self) -> str:
+        page = f"cast(floor(line_no / {self.per_page}) AS int) + 1 AS page, " if self.per_page else ""
+        return (
+            f"(SELECT doc_id, {page}line_no, {self.line_expr} AS text FROM (SELECT doc_id, "
+            f"unnest(range(len(ls)))::INTEGER AS line_no, unnest(ls) AS text FROM (SELECT doc_id, "
+            f"string_split({self.expr}, chr(10)) AS ls FROM documents) d0) d1)"
+        )

@@ -8,6 +8,7 @@ import re as _re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Invisible characters that extraction leaves inside words.
 INVISIBLE = r"[\u00AD\u200B-\u200F\u2060\uFEFF]"
@@ -22,6 +23,11 @@ def nz(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """Binds a value to a name inside an expression: computed once however often ``body`` uses it, also in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Both ends, any Unicode whitespace (``trim`` only takes spaces)."""
     return F.regexp_replace(col(c), r"(?U)\A\s+|\s+\z", "")
@@ -69,7 +75,7 @@ def decode_entities(c: Column | str) -> Column:
     return _unescape(col(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: _html.unescape(v) if v is not None and "&" in v else v)
 
@@ -135,11 +141,17 @@ def dehyphenate(c: Column | str, mode: str = "prose") -> Column:
     lower-case letter.
     """
     if mode == "prose":
-        word, upper, lower = "[а-яА-Яa-zA-Z]{4,}", "[А-ЯA-Z]", "[а-яa-z]"
-        s = nz(c)
-        for gap in (r"-\s+", r"-\n\s+"):
-            s = F.regexp_replace(s, rf"(?U)({word}{gap}{upper})|({word}){gap}({lower})", "$1$2$3")
-        return s
+        letter, upper, lower = "[а-яА-Яa-zA-Z]", "[А-ЯA-Z]", "[а-яa-z]"
+        word = letter + "{4,}+"
+
+        def body(s: Column) -> Column:
+            out = s
+            for gap in (r"-\s+", r"-\n\s+"):
+                out = F.regexp_replace(out, rf"(?U)({word}{gap}{upper})|({word}){gap}({lower})", "$1$2$3")
+            # The cheap test starts at a literal hyphen, so texts without a broken word cost one scan.
+            return F.when(s.rlike(rf"-(?<={letter}{{4}}-)\s"), out).otherwise(s)
+
+        return let(nz(c), body)
     dash = "[-‑–—]"
     s = F.regexp_replace(nz(c), rf"(?U)([A-Za-zА-Яа-яЁё]){dash}\s*\n\s*([a-zа-яё])", "$1$2")
     return F.regexp_replace(s, rf"(?U)([A-Za-zА-Яа-яЁё]){dash}\s+([a-zа-яё])", "$1$2")
@@ -259,30 +271,37 @@ def text_quality(c: Column | str, lang: Column | str) -> Column:
     )
 
 
+# Fixed value: vowels of both languages.
 VOWELS = "аеёиоуыэюяaeiouy"
 
 
 def is_garbled(c: Column | str, lang: Column | str) -> Column:
-    """True when word lengths, inner capitals or vowel shares do not look like prose."""
-    ws = words(c)
-    n = F.size(ws)
-
-    def vowel_count(w: Column) -> Column:
-        return F.length(F.regexp_replace(F.lower(w), f"[^{VOWELS}]", ""))
-
-    def share(test) -> Column:
-        return F.size(F.filter(ws, test)) / n
-
-    caps = share(lambda w: (F.length(w) > 3) & F.substring(w, 2, 1 << 30).rlike(r"\p{Lu}"))
-    none = share(lambda w: vowel_count(w) == 0)
-    low = share(lambda w: (F.length(w) >= 5) & (vowel_count(w) > 0) & (vowel_count(w) / F.length(w) < 0.2))
-    return F.when(n == 0, F.lit(False)).otherwise(
-        (average_word_length(c) > 15)
-        | (caps > 0.05)
-        | (none > 0.3)
-        | (low > 0.3)
-        | ((col(lang) == "ru") & (none > 0.25))
-    )
+    """True when word lengths, inner capitals or vowel shares do not look like prose.
+
+    Three of the shares are token counts a regex can make in one scan; only the vowel share needs the words.
+    """
+    upper_vowels = VOWELS + VOWELS.upper()
+    caps = rf"(?U)(?<!\S)(?=\S{{4}})\S\S*?\p{{Lu}}"
+    bare = rf"(?U)(?<!\S)[^\s{upper_vowels}]+(?!\S)"
+
+    def body(s: Column) -> Column:
+        n = word_count(s)
+
+        def few_vowels(w: Column) -> Column:
+            return let(
+                F.length(w) - F.length(F.translate(w, upper_vowels, "")), lambda v: (v > 0) & (F.length(w) > v * 5)
+            )
+
+        none = let(F.regexp_count(s, F.lit(bare)) / n, lambda r: (r > 0.3) | ((col(lang) == "ru") & (r > 0.25)))
+        long_words = F.regexp_extract_all(s, F.lit(r"(?U)\S{6,}"), F.lit(0))
+        return F.when(n == 0, F.lit(False)).otherwise(
+            (average_word_length(s) > 15)
+            | (F.regexp_count(s, F.lit(caps)) / n > 0.05)
+            | none
+            | (F.size(F.filter(long_words, few_vowels)) / n > 0.3)
+        )
+
+    return let(nz(c), body)
 
 
 def first_non_empty(*cols: Column | str) -> Column:
@@ -310,6 +329,15 @@ def split_lines(c: Column | str) -> Column:
     return F.split(nz(c), "\n")
 
 
+SPANS = T.ArrayType(
+    T.StructType()
+    .add("kind", T.StringType())
+    .add("start", T.IntegerType())
+    .add("end", T.IntegerType())
+    .add("text", T.StringType())
+)
+
+
 def pattern_spans(patterns: dict[str, str], flags: int = 0):
     """Arrow helper: every match of each named pattern as (kind, start, end, text), by start then longer first.
 
@@ -317,7 +345,7 @@ def pattern_spans(patterns: dict[str, str], flags: int = 0):
     """
     compiled = [(k, _re.compile(p, flags)) for k, p in patterns.items()]
 
-    @F.pandas_udf("array<struct<kind:string,start:int,end:int,text:string>>")
+    @F.pandas_udf(SPANS)
     def spans(s: pd.Series) -> pd.Series:
         def one(v):
             found = [

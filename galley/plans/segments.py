@@ -1,10 +1,16 @@
-"""Ordered work inside a key without ever sorting a whole key in one task.
+"""Ordered work inside a key without sorting a very large key in one task.
 
-A window partitioned by a document sends all lines of that document to one task. When one key holds a large share of
-the table that task never ends. Every helper here cuts a key into blocks of consecutive ordinals, does the ordered
-work per (key, block), rolls the blocks up to one summary row each, resolves what crosses block borders on those few
-rows, and joins the result back on (key, block). No join or window key ever covers more than ``BLOCK`` rows of the
-big table, whatever the distribution of the keys, and the big table is exchanged once.
+A window partitioned by a document sends all lines of that document to one task. That is right while documents are
+bounded, as they are when their lines came out of one text cell, and it needs a single exchange. It is wrong when one
+key holds a large share of a table. So every helper takes ``bounded``:
+
+* ``True``: the caller knows every key is small (its rows came from one cell): plain windows.
+* ``False``: keys are cut into blocks of consecutive ordinals; the ordered work runs per (key, block), blocks roll up
+  to one summary row each, what crosses block borders is resolved on those few rows and joined back on (key, block).
+  No window or join key covers more than ``BLOCK`` rows of the big table. The input is checkpointed first, so a chain
+  of steps keeps a linear plan and survives lost executors.
+
+Jobs decide once with :func:`bounded_keys`, an aggregate that returns one number.
 """
 
 from __future__ import annotations
@@ -14,10 +20,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 BLOCK = 1 << 16
+# A key up to this many rows is sorted in one task; the sort spills, so the bound is about time, not memory.
+BOUNDED_ROWS = 1 << 20
 _B = "__block"
 
 
+def bounded_keys(df: DataFrame, keys: Sequence[str], limit: int = BOUNDED_ROWS) -> bool:
+    """True when no key has more than ``limit`` rows. Counts with map-side combine; one number reaches the driver."""
+    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
+    return top is None or top["n"] is None or top["n"] <= limit
+
+
+def decide(df: DataFrame, keys: Sequence[str], bounded: bool | None) -> bool:
+    return bounded_keys(df, keys) if bounded is None else bounded
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _with_block(df: DataFrame, ordinal: str, block: int) -> DataFrame:
     return df.withColumn(_B, F.floor(F.col(ordinal) / F.lit(block)).cast("bigint"))
 
@@ -41,7 +66,8 @@ def running(
     carries: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
     leads: Mapping[str, Column] | None = None,
-    block: int = BLOCK,
+    bounded: bool = False,
+    block: int | None = None,
 ) -> DataFrame:
     """Add exact running sums, carried-forward values, previous and next values in ordinal order.
 
@@ -51,7 +77,18 @@ def running(
     """
     sums, carries, lags, leads = dict(sums or {}), dict(carries or {}), dict(lags or {}), dict(leads or {})
     keys = list(keys)
-    base = _with_block(df, ordinal, block)
+    extra = [*sums, *carries, *lags, *leads]
+    if not extra:
+        return df
+    if bounded:
+        w = Window.partitionBy(*keys).orderBy(ordinal)
+        to_here = w.rowsBetween(Window.unboundedPreceding, 0)
+        added = {n: F.sum(e.cast("bigint")).over(to_here) for n, e in sums.items()}
+        added |= {n: F.last(e, ignorenulls=True).over(to_here) for n, e in carries.items()}
+        added |= {n: F.lag(e).over(w) for n, e in lags.items()}
+        added |= {n: F.lead(e).over(w) for n, e in leads.items()}
+        return df.withColumns(added)
+    base = _with_block(_cut(df), ordinal, block or BLOCK)
     for name, expr in sums.items():
         base = base.withColumn(f"__s_{name}", expr.cast("bigint"))
     for name, expr in {**carries, **lags, **leads}.items():
@@ -81,8 +118,6 @@ def running(
         aggs.append(F.max_by(F.struct(f"__v_{name}"), F.col(ordinal)).alias(f"__t_{name}"))
     for name in leads:
         aggs.append(F.min_by(F.struct(f"__v_{name}"), F.col(ordinal)).alias(f"__t_{name}"))
-    if not aggs:
-        return df
     blocks = base.groupBy(*keys, _B).agg(*aggs)
     outer = Window.partitionBy(*keys).orderBy(_B)
     before = outer.rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +141,6 @@ def running(
         out = out.withColumn(
             name, F.when(F.col(f"__next_{name}").isNull(), F.col(f"__c_{name}")).otherwise(F.col(name))
         )
-    extra = [*sums, *carries, *lags, *leads]
     kept = [c for c in df.columns if c not in extra]
     return out.select(*kept, *extra)
 
@@ -117,11 +151,15 @@ def with_totals(
     ordinal: str,
     totals: Mapping[str, tuple[str, Column]],
     *,
-    block: int = BLOCK,
+    bounded: bool = False,
+    block: int | None = None,
 ) -> DataFrame:
     """Add per-key totals to every row. ``totals``: name -> (``count``/``sum``/``min``/``max``, column)."""
     keys = list(keys)
-    base = _with_block(df, ordinal, block)
+    if bounded:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({n: getattr(F, kind)(e).over(w) for n, (kind, e) in totals.items()})
+    base = _with_block(_cut(df), ordinal, block or BLOCK)
     part, whole = [], {}
     for name, (kind, expr) in totals.items():
         if kind == "count":
@@ -137,9 +175,11 @@ def with_totals(
     return _join_back(base, blocks, [*keys, _B]).drop(_B)
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], ordinal: str, name: str = "rn") -> DataFrame:
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], ordinal: str, name: str = "rn", bounded: bool = False
+) -> DataFrame:
     """Dense 1..n numbering in ordinal order, exact across blocks."""
-    return running(df, keys, ordinal, sums={name: F.lit(1)})
+    return running(df, keys, ordinal, sums={name: F.lit(1)}, bounded=bounded)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -150,7 +190,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFra
     return df.groupBy(*keys).agg(agg).select(*keys, "__row.*").select(*df.columns)
 
 
-def island_text(df: DataFrame, keys: Sequence[str], ordinal: str, text: str, sep: str = " ") -> Column:
+def island_text(ordinal: str, text: str, sep: str = " ") -> Column:
     """Ordered concatenation for use inside ``groupBy(keys).agg``."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(text).alias("t"))))
     return F.array_join(F.transform(pairs, lambda x: x["t"]), sep)
