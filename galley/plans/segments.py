@@ -66,6 +66,8 @@ def running(
     carries: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
     leads: Mapping[str, Column] | None = None,
+    order: Sequence[str] | None = None,
+    band: Column | None = None,
     bounded: bool = False,
     block: int | None = None,
 ) -> DataFrame:
@@ -73,28 +75,31 @@ def running(
 
     ``sums``: inclusive running sum. ``carries``: last non-null value up to and including the row. ``lags`` and
     ``leads``: the value on the previous or next row of the key. The ordinal is an integer, unique within a key; gaps
-    are fine.
+    are fine. Tables without one give ``order`` (columns) and ``band`` (an integer that grows with the order) instead.
     """
     sums, carries, lags, leads = dict(sums or {}), dict(carries or {}), dict(lags or {}), dict(leads or {})
     keys = list(keys)
     extra = [*sums, *carries, *lags, *leads]
     if not extra:
         return df
+    by = list(order or [ordinal])
     if bounded:
-        w = Window.partitionBy(*keys).orderBy(ordinal)
+        w = Window.partitionBy(*keys).orderBy(*by)
         to_here = w.rowsBetween(Window.unboundedPreceding, 0)
         added = {n: F.sum(e.cast("bigint")).over(to_here) for n, e in sums.items()}
         added |= {n: F.last(e, ignorenulls=True).over(to_here) for n, e in carries.items()}
         added |= {n: F.lag(e).over(w) for n, e in lags.items()}
         added |= {n: F.lead(e).over(w) for n, e in leads.items()}
         return df.withColumns(added)
-    base = _with_block(_cut(df), ordinal, block or BLOCK)
+    base = _cut(df)
+    base = base.withColumn(_B, band.cast("bigint")) if band is not None else _with_block(base, ordinal, block or BLOCK)
+    place = F.struct(*by)
     for name, expr in sums.items():
         base = base.withColumn(f"__s_{name}", expr.cast("bigint"))
     for name, expr in {**carries, **lags, **leads}.items():
         base = base.withColumn(f"__v_{name}", expr)
 
-    inner = Window.partitionBy(*keys, _B).orderBy(ordinal)
+    inner = Window.partitionBy(*keys, _B).orderBy(*by)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     local = base
     for name in sums:
@@ -113,11 +118,11 @@ def running(
         aggs.append(F.sum(f"__s_{name}").alias(f"__t_{name}"))
     for name in carries:
         value = F.col(f"__v_{name}")
-        aggs.append(F.max_by(value, F.when(value.isNotNull(), F.col(ordinal))).alias(f"__t_{name}"))
+        aggs.append(F.max_by(value, F.when(value.isNotNull(), place)).alias(f"__t_{name}"))
     for name in lags:
-        aggs.append(F.max_by(F.struct(f"__v_{name}"), F.col(ordinal)).alias(f"__t_{name}"))
+        aggs.append(F.max_by(F.struct(f"__v_{name}"), place).alias(f"__t_{name}"))
     for name in leads:
-        aggs.append(F.min_by(F.struct(f"__v_{name}"), F.col(ordinal)).alias(f"__t_{name}"))
+        aggs.append(F.min_by(F.struct(f"__v_{name}"), place).alias(f"__t_{name}"))
     blocks = base.groupBy(*keys, _B).agg(*aggs)
     outer = Window.partitionBy(*keys).orderBy(_B)
     before = outer.rowsBetween(Window.unboundedPreceding, -1)
