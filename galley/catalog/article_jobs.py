@@ -220,16 +220,22 @@ def esc(x):
 
 
 _INFO = "'<individInfo lang=\"{0}\"><surname>' || {1} || '</surname><initials>И.</initials></individInfo>'"
-_AUTH = f"""CASE WHEN o_orderkey % 10 IN (7, 8) THEN '<authors/>' ELSE '<authors><author num="1">' || CASE o_orderkey % 3 WHEN 0 THEN '<correspondent>1</correspondent>' WHEN 1 THEN '<correspondent>0</correspondent>' ELSE '' END
+_AUTH = f"""CASE WHEN o_orderkey % 10 IN (7, 8) THEN '<authors/>' WHEN o_orderkey % 14 = 0 AND o_orderkey % 3 = 2 THEN '<authors><author num="1"/></authors>' ELSE '<authors><author num="1">' || CASE o_orderkey % 3 WHEN 0 THEN '<correspondent>1</correspondent>' WHEN 1 THEN '<correspondent>0</correspondent>' ELSE '' END
   || CASE WHEN o_orderkey % 7 <> 0 AND orcid <> '' THEN '<authorCodes><orcid>' || orcid || '</orcid></authorCodes>' WHEN o_orderkey % 14 <> 0 AND trim(spin) <> '' THEN '<authorCodes><spin>' || spin || '</spin></authorCodes>' ELSE '' END
   || CASE WHEN o_orderkey % 7 <> 0 THEN {_INFO.format('RUS', 'sn_ru')} ELSE '' END || CASE WHEN o_orderkey % 14 <> 0 THEN {_INFO.format('ENG', 'sn_en')} ELSE '' END || '</author></authors>' END"""
-_XML = f"""'<article><pages>' || pages || '</pages><artType>' || coalesce(art_type, '') || '</artType>' || CASE WHEN lang <> '' THEN '<langPubl>' || lang || '</langPubl>' ELSE '' END || {_AUTH}
+
+
+def el(name, x):
+    return f"CASE WHEN {x} = '' THEN '<{name}/>' ELSE '<{name}>' || {x} || '</{name}>' END"
+
+
+_XML = f"""'<article>' || {el('pages', 'pages')} || {el('artType', "coalesce(art_type, '')")} || CASE WHEN lang <> '' THEN '<langPubl>' || lang || '</langPubl>' ELSE '' END || {_AUTH}
   || CASE WHEN title_ru IS NULL AND title_en IS NULL THEN '<artTitles/>' ELSE '<artTitles>' || coalesce('<artTitle lang="RUS">' || {esc('title_ru')} || '</artTitle>', '') || coalesce('<artTitle lang="ENG">' || {esc('title_en')} || '</artTitle>', '') || '</artTitles>' END
   || '<abstracts><abstract lang="RUS">' || abs_ru || '</abstract><abstract lang="ENG">' || {esc('abs_en')} || '</abstract></abstracts><codes>' || CASE WHEN udk <> '' THEN '<udk>' || udk || '</udk>' ELSE '' END || '<doi>' || doi || '</doi></codes>'
   || '<keywords><kwdGroup lang="RUS"><keyword>' || replace(kw, ';', '</keyword><keyword>') || '</keyword></kwdGroup></keywords><references><reference><refInfo lang="RUS"><text>' || replace(refs, chr(10), '</text></refInfo></reference><reference><refInfo lang="RUS"><text>')
   || '</text></refInfo></reference><reference><refInfo lang="ENG"><text>E ' || o_orderkey || '</text></refInfo></reference></references>'
   || CASE WHEN file IS NOT NULL THEN '<files><file desc="fullText">y' || o_orderkey || '.pdf</file></files>' WHEN pdf_url <> '' THEN '<files><file desc="fullText">' || o_orderkey || '.pdf</file></files>' ELSE '' END
-  || '<dates><dateReceived>' || received || '</dateReceived><datePublication></datePublication></dates><artFunding><funding lang="RUS">' || fund || '</funding></artFunding></article>'"""
+  || '<dates><dateReceived>' || received || '</dateReceived><datePublication/></dates><artFunding>' || CASE WHEN fund = '' THEN '<funding lang="RUS"/>' ELSE '<funding lang="RUS">' || fund || '</funding>' END || '</artFunding></article>'"""
 
 
 @query("article_xml", f"SELECT issue, name, {_XML} AS xml FROM {FSQL}")
@@ -249,7 +255,7 @@ _CFG = f"""cfg AS (SELECT i.issue, regexp_extract(i.issue, '{_IK}', 1) AS issn,
 
 
 @query("issue_xml", f"""WITH {_CFG}, arts AS (SELECT issue, string_agg({_XML}, '' ORDER BY {_MIN} NULLS LAST, lower(name)) AS x FROM {FSQL} GROUP BY issue)
-  SELECT issue, '<journal><titleid>0</titleid><issn>' || issn || '</issn><journalInfo lang="RUS"><title>' || title || '</title></journalInfo><issue><volume>' || volume || '</volume><number>' || number || '</number><dateUni>' || year || '</dateUni><pages>' || pages
+  SELECT issue, '<journal><titleid>0</titleid><issn>' || issn || '</issn><journalInfo lang="RUS"><title>' || title || '</title></journalInfo><issue>' || {el('volume', 'volume')} || '<number>' || number || '</number><dateUni>' || year || '</dateUni><pages>' || pages
    || '</pages><articles>' || x || '</articles></issue></journal>' AS xml FROM cfg JOIN arts USING (issue) WHERE pages <> ''""")
 def issue_xml(spark, sf):
     return K.issue_xml(records(spark, sf), JOURNALS.df(spark, sf)).select("issue", _FLATX_col().alias("xml"))

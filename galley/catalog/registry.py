@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.segments import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,21 +24,26 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+# Tables whose queries work on text cells; see ``spread``.
+TEXT_TABLES = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 class View:
     """A derived input built by the same scalar expressions in both engines."""
 
-    def __init__(self, source: str, columns: Sequence[str], where: str | None = None):
-        self.source, self.columns, self.where = source, list(columns), where
+    def __init__(self, source: str, columns: Sequence[str], where: str | None = None, wide: bool = False):
+        self.source, self.columns, self.where, self.wide = source, list(columns), where, wide
 
     def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         base = table(spark, sf_dir, self.source)
         if self.where:
             base = base.where(self.where)
-        return base.selectExpr(*self.columns)
+        return (spread(base) if self.wide else base).selectExpr(*self.columns)
 
     @property
     def sql(self) -> str:

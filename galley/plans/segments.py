@@ -38,6 +38,15 @@ def decide(df: DataFrame, keys: Sequence[str], bounded: bool | None) -> bool:
     return bounded_keys(df, keys) if bounded is None else bounded
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input with fewer partitions than cores (one small file) over all cores; anything larger stays as it is read.
+
+    Work on text cells is bound by the processor, and a scan of many files already has a task per split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _cut(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
