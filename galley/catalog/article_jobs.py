@@ -21,7 +21,7 @@ FLAT = View("orders", [
     "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '001.' || o_custkey END AS udk", "'10.1000/J.' || o_orderkey AS doi", "o_orderpriority || ';' || o_orderstatus AS kw", "'Ref ' || o_orderkey || chr(10) || 'https://doi.org/10.1/' || o_custkey AS refs",
     "'2024-01-0' || (1 + o_orderkey % 9) AS received", "CASE WHEN o_orderkey % 2 = 0 THEN 'Grant ' || o_custkey ELSE '' END AS fund", "'Иванов' || o_custkey AS sn_ru", "'Ivanov' || o_custkey AS sn_en",
     "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '0000-' || o_custkey END AS orcid", "CASE WHEN o_orderkey % 2 = 0 THEN 'sp' || o_custkey ELSE ' ' END AS spin", "CASE WHEN o_orderkey % 4 = 0 THEN '/x/y' || o_orderkey || '.pdf' ELSE NULL END AS file",
-    "CASE WHEN o_orderkey % 3 = 0 THEN 'https://h.example/f/' || o_orderkey || '.pdf' ELSE '' END AS pdf_url"])
+    "CASE WHEN o_orderkey % 3 = 0 THEN 'https://h.example/f/' || o_orderkey || '.pdf' ELSE '' END AS pdf_url"], wide=True)
 FSQL = f"{FLAT.sql} a"
 _I = "named_struct('surname', {0}, 'initials', 'И.', 'orgName', cast(null AS string), 'address', '', 'email', cast(null AS string), 'otherInfo', cast(null AS string), 'authorCodes', named_struct('spin', {1}, 'orcid', {2}, 'scopusid', '', 'researcherid', cast(null AS string)))"
 NESTED = [

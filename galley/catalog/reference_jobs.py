@@ -268,3 +268,10 @@ def inline_tokens(spark, sf):
 @query("split_metadata_line")
 def split_metadata_line(spark, sf):
     return RICH.df(spark, sf).select("doc_id", "line_no", F.posexplode(R.split_metadata_line("text")).alias("part", "text"))
+
+
+@query("paragraphs")
+def paragraphs(spark, sf):
+    """Whole texts; the rules keep a state, so there is no SQL for it. Tested against worked examples."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.posexplode(R.paragraphs("text")).alias("pos", "text"))

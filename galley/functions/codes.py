@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, norm_space, nz, rstrip_chars, strip, strip_chars, strip_invisible
+from .text import col, let, norm_space, nz, rstrip_chars, strip, strip_chars, strip_invisible
 
 
 def digits(c: Column | str, kind: str = "int") -> Column:
@@ -187,21 +187,22 @@ def with_lang_param(url: Column | str, lang: str = "en") -> Column:
 
 def resolve_url(base: Column | str, href: Column | str) -> Column:
     """Absolute form of a link: absolute, scheme-relative, rooted, query-only or relative to the base folder."""
-    b, h = nz(base), strip(nz(href))
-    scheme = F.regexp_extract(b, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    host = F.regexp_extract(b, r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    page = F.regexp_extract(b, r"\A([^?#]*)", 1)
-    path = F.regexp_extract(b, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"\A(.*/)", 1))
-    return (
-        F.when(h == "", b)
-        .when(h.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(host, h))
-        .when(h.startswith("?"), F.concat(page, h))
-        .when(h.startswith("#"), F.concat(F.regexp_extract(b, r"\A([^#]*)", 1), h))
-        .otherwise(F.concat(host, folder, h))
-    )
+
+    def body(b: Column, h: Column) -> Column:
+        scheme = F.regexp_extract(b, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1)
+        host = F.regexp_extract(b, r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        folder = F.regexp_extract(b, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*/)", 1)
+        return (
+            F.when(h == "", b)
+            .when(h.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(host, h))
+            .when(h.startswith("?"), F.concat(F.regexp_extract(b, r"\A([^?#]*)", 1), h))
+            .when(h.startswith("#"), F.concat(F.regexp_extract(b, r"\A([^#]*)", 1), h))
+            .otherwise(F.concat(host, F.when(folder == "", F.lit("/")).otherwise(folder), h))
+        )
+
+    return let(F.struct(nz(base).alias("b"), strip(nz(href)).alias("h")), lambda x: body(x["b"], x["h"]))
 
 
 def doi_url_candidates(journal_url: Column | str, doi: Column | str) -> Column:

@@ -521,3 +521,175 @@ def inline_tokens(s: pd.Series) -> pd.Series:
 def split_metadata_line(s: pd.Series) -> pd.Series:
     """A line to its parts: before section heads, then around inline tokens."""
     return s.map(lambda v: _metadata_parts(v or ""))
+
+
+_SAME = [
+    _re.compile(p, f)
+    for p, f in (
+        # Lines that always continue a paragraph.
+        (r"\([^)]+\)\.?\s*\Z", _FLAGS),
+        (r"\s*\d+/\d+\.", 0),
+        (r"\s*\d{4}\.\s*[Ss]\.\s*\d+", 0),
+        (r"\s*[SsCcPp]+\.?\s*\d+(?:[–-]\d+)?\.?\s*\Z", _FLAGS),
+        (r"\s*\d+\s*[PpСс]+\.?\s*\Z", _FLAGS),
+        (r"\s*\d+[–-]\d+\.?\s*\Z", 0),
+        (r"\s*(?:Vol\.|Т\.|№)\s*\d+", _FLAGS),
+    )
+]
+
+
+def _rx(pattern: str, flags: int = _FLAGS):
+    return _re.compile(pattern, flags)
+
+
+_HEADERISH = _rx("|".join((P.ANY_META, P.ARTICLE_TYPE, P.CITATION_HEAD, P.REFERENCES_HEAD, P.SECTION_HEADER.replace(r"\z", r"\Z"))))
+_STANDALONE = _rx("|".join((P.DOI_LABEL, P.EMAIL, P.URL, P.ARTICLE_TYPE)))
+_FRONT = _rx(P.EDITORIAL_DATE + r"|\A\*?\s*e-?mail\s*[:\-]?\s*")
+_AFFIL = _rx("|".join(P.AFFILIATION_STEMS))
+_ENTRY = [_rx(p, 0) for p in (P.RU_AUTHOR, P.EN_AUTHOR)]
+_DETAIL = _rx("|".join((P.YEAR, P.DOI_MENTION, P.VOLUME_MENTION, P.PAGES_MENTION)))
+_REF_HEAD, _REF_STOP, _NUMBERED = _rx(P.REF_HEADER), _rx(P.REF_END), _rx(P.REF_NUMBERED, 0)
+_INITIAL, _SURNAME = _rx(r"[A-ZА-ЯЁ]\.", 0), _rx(r"\b[A-ZА-ЯЁ][a-zа-яё-]{2,}\b", 0)
+
+
+def _flat(s: str) -> str:
+    return " ".join(s.split())
+
+
+def _capitals(s: str) -> float:
+    letters = [c for c in s if c.isalpha()]
+    return sum(c.isupper() for c in letters) / len(letters) if letters else 0.0
+
+
+def _header_like(s: str) -> bool:
+    s = s.strip()
+    return len(s) < 10 or bool(_HEADERISH.search(s)) or (len(s) >= 20 and _capitals(s) >= 0.7)
+
+
+def _caps_piece(s: str) -> bool:
+    return 8 <= len(s) <= 140 and not s.endswith((".", "!", "?", ";", ":")) and _capitals(s) >= 0.75
+
+
+def _stands_alone(s: str) -> bool:
+    if _STANDALONE.search(s) or _FRONT.match(s):
+        return True
+    low = f" {s.lower()} "
+    initials, surnames = len(_INITIAL.findall(s)), len(_SURNAME.findall(s))
+    parted = any(x in low for x in (",", ";", " и ", " and "))
+    if surnames >= 2 and (initials >= 4 or (initials >= 2 and parted)):
+        return True
+    if not _AFFIL.search(s) or len(s.split()) > 28:
+        return False
+    return bool(_re.match(r"[\d*#,.\s]+", s)) or "," in s or not _rx(P.ANY_META).search(s)
+
+
+def _continues(prev: str, cur: str) -> bool:
+    if _header_like(cur):
+        return False
+    if any(p.match(cur) for p in _SAME):
+        return True
+    small, open_end = cur[:1].islower(), not prev.endswith((".", "!", "?", ":", ";"))
+    if small and len(cur.split()) <= 2:
+        return True
+    if open_end and (len(cur) < 40 or small):
+        return True
+    if prev.endswith((",", ":", ";")) and (len(cur) < 50 or small):
+        return True
+    return prev.endswith(".") and small and len(cur) < 30
+
+
+def _begins(prev: str, cur: str, size: int) -> bool:
+    capital = cur[:1].isupper()
+    return capital and (size > 500 or (size > 150 and len(cur) > 20 and prev.endswith((".", "!", "?"))))
+
+
+def _glued_lines(lines: list[str]) -> list[str]:
+    out, skip = [], False
+    for cur, nxt in zip(lines, [*lines[1:], ""]):
+        if skip:
+            skip = False
+            continue
+        spaced = (_re.fullmatch(r"Ссылка", cur, _FLAGS) and _re.match(r"для\s+цитирования\s*:", nxt, _FLAGS)) or (
+            _re.fullmatch(r"URL\s*:", cur, _FLAGS) and _re.match(r"https?://", nxt, _FLAGS)
+        )
+        tight = _re.search(r"\bDOI:\s*[0-9]+\.[0-9]+/\s*\Z", cur, _FLAGS) and _re.fullmatch(r"[A-Z0-9\-]+", nxt)
+        skip = bool(spaced or tight)
+        out.append(f"{cur} {nxt}" if spaced else f"{cur}{nxt}" if tight else cur)
+    return out
+
+
+class _Paragraphs:
+    """Left-to-right state of one text: what is emitted, what is open, whether inside the reference list."""
+
+    def __init__(self):
+        self.done, self.open, self.refs = [], [], False
+
+    def flush(self):
+        text = _flat(" ".join(self.open))
+        self.open = []
+        if text:
+            self.done.append(text)
+
+    def alone(self, part):
+        self.flush()
+        self.done.append(_flat(part))
+
+    def fresh(self, part):
+        self.flush()
+        self.open = [part]
+
+    def take(self, part):
+        s = _flat(part)
+        if _REF_HEAD.match(s):
+            self.alone(part)
+            self.refs = True
+            return
+        if self.refs and not _REF_STOP.match(s):
+            author = any(p.match(s) for p in _ENTRY) and _DETAIL.search(s)
+            if _NUMBERED.match(s) or author:
+                self.fresh(part)
+            else:
+                self.open.append(part)
+            return
+        if self.refs:
+            self.flush()
+            self.refs = False
+        if _stands_alone(s):
+            self.alone(part)
+        elif part.endswith("-") and len(part) > 1:
+            self.open.append(part[:-1].strip())
+        elif _HEADS[0].search(part) or _HEADS[1].search(part):
+            self.fresh(part)
+        elif not self.open:
+            self.open = [part]
+        elif _header_like(part):
+            self.flush()
+            if self.done and _caps_piece(self.done[-1]) and _caps_piece(s):
+                self.done[-1] = _flat(f"{self.done[-1]} {part}")
+            else:
+                self.open = [part]
+        elif not _begins(self.open[-1].rstrip(), part, len(_flat(" ".join(self.open)))) and _continues(self.open[-1].rstrip(), part):
+            self.open.append(part)
+        else:
+            self.fresh(part)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def paragraphs(s: pd.Series) -> pd.Series:
+    """Extracted text of a document, one line per row of type, to its paragraphs.
+
+    Blank lines end one; headings and front matter stand alone; a trailing hyphen is cut; the rest follows rules on
+    the previous line, the next one and the length so far.
+    """
+
+    def one(text):
+        state = _Paragraphs()
+        for line in _glued_lines([x.strip() for x in (text or "").split("\n")]):
+            if not line:
+                state.flush()
+            for part in _metadata_parts(line):
+                state.take(part)
+        state.flush()
+        return state.done
+
+    return s.map(one)
