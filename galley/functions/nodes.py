@@ -93,6 +93,11 @@ def html_nodes(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
+# Not because results vary: it keeps filters on the result above the helper, so a page is read once and not once more
+# for the filter below.
+html_nodes = html_nodes.asNondeterministic()
+
+
 def attr(node: Column, name: str) -> Column:
     return nz(F.try_element_at(node["attrs"], F.lit(name)))
 

@@ -164,7 +164,7 @@ def json_ld_article(pages: DataFrame, key: str = "page_id", html: str = "html")
         return F.exists(F.coalesce(types, F.array().cast("array<string>")), lambda t: F.lower(norm_space(t)).isin(ARTICLE_TYPES))
 
     node = first(F.filter(_ld_nodes(valid), lambda n: n.startswith("{") & is_article(n)))
-    return pages.select(key, node.alias("node")).where("node IS NOT NULL")
+    return pages.select(key, F.explode(F.array_compact(F.array(node))).alias("node"))
 
 
 # --- article XML ------------------------------------------------------------------------------------------------
@@ -602,10 +602,11 @@ def jats_link(pages: DataFrame, key: str = "page_id", html: str = "html", url: s
         )
     )
     meta = first(F.filter("nodes", lambda x: (x["tag"] == "meta") & attr(x, "name").rlike("(?i)citation_xml_url") & (attr(x, "content") != "")))
-    href = F.coalesce(
-        F.when(direct.isNotNull(), attr(direct, "href")), F.when(alternate.isNotNull(), attr(alternate, "href")), F.when(meta.isNotNull(), attr(meta, "content"))
-    )
-    return with_nodes(pages, html).select(key, F.when(href.isNotNull(), resolve_url(url, href)).alias("jats_url")).where("jats_url IS NOT NULL")
+    sources = [(direct, "href"), (alternate, "href"), (meta, "content")]
+    href = F.coalesce(*[F.try_element_at(node["attrs"], F.lit(a)) for node, a in sources])
+    # Through a generator, so the presence test is not pushed below and computed twice.
+    found = F.explode(F.array_compact(F.array(href))).alias("href")
+    return with_nodes(pages, html).select(key, url, found).select(key, resolve_url(url, "href").alias("jats_url"))
 
 
 # Paths a site search may list that are no articles, and points for the title agreement.

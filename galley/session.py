@@ -39,6 +39,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     path = tempfile.mkdtemp(prefix="galley-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
