@@ -54,6 +54,12 @@ def norm_space(c: Column | str) -> Column:
     return strip(F.regexp_replace(nz(c), r"(?U)\s+", " "))
 
 
+def has_text(c: Column | str) -> Column:
+    """Any non-blank character. As a filter it costs one short scan, where a test on the cleaned text would be pushed
+    down and clean twice."""
+    return nz(c).rlike(r"(?U)\S")
+
+
 def norm_empty(c: Column | str) -> Column:
     """Blank or dash-only placeholders become empty, anything else is stripped."""
     s = strip(nz(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import nz, norm_space, restore_missing_spaces, strip
+from ..functions.text import has_text, nz, norm_space, restore_missing_spaces, strip
 from ..plans.segments import decide, running
 
 PAGE = ["doc_id", "page"]
@@ -81,7 +81,7 @@ def lines_from_words(
 ) -> DataFrame:
     """Text lines of a page, top to bottom: ``(keys, line_top, bottom, x0, x1, text)`` with lost spaces restored."""
     keys = list(keys or PAGE)
-    placed = assign_lines(words, tolerance, keys, bounded).where(strip(nz("text")) != "")
+    placed = assign_lines(words, tolerance, keys, bounded).where(has_text("text"))
     items = F.array_sort(F.collect_list(F.struct("x0", "top", "ord", "text")))
     out = placed.groupBy(*keys, "line_top").agg(
         F.array_join(F.transform(items, lambda w: strip(w["text"])), " ").alias("text"),
@@ -89,7 +89,7 @@ def lines_from_words(
         F.max("x1").alias("x1"),
         F.max("bottom").alias("bottom"),
     )
-    return out.withColumn("text", restore_missing_spaces("text")).where("text <> ''")
+    return out.withColumn("text", restore_missing_spaces("text"))
 
 
 def header_boundary(words: DataFrame, bounded: bool | None = None) -> DataFrame:

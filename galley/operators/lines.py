@@ -12,6 +12,7 @@ from ..functions.text import (
     col,
     dehyphenate,
     escape_html,
+    has_text,
     let,
     norm_space,
     nz,
@@ -169,7 +170,7 @@ def chunk_lines(
     lines: DataFrame, n: int = 25, keys: Sequence[str] = ("doc_id",), bounded: bool | None = None
 ) -> DataFrame:
     """Groups of ``n`` non-blank lines: ``(keys, chunk, text, lines)``."""
-    kept = lines.withColumn("text", strip(nz("text"))).where("text <> ''")
+    kept = lines.where(has_text("text")).withColumn("text", strip(nz("text")))
     small = decide(lines, keys, bounded)
     ranked = row_numbers(kept, keys, "line_no", "__rn", small).withColumn("chunk", F.floor((F.col("__rn") - 1) / n))
     return ranked.groupBy(*keys, "chunk").agg(

@@ -15,6 +15,7 @@ from ..functions.text import (
     col,
     decode_entities,
     fix_intra_word_breaks,
+    has_text,
     let,
     norm_empty,
     norm_space,
@@ -55,7 +56,7 @@ def merge_doi_lines(
     lines: DataFrame, mode: str = "wide", keys: Sequence[str] = ("doc_id",), bounded: bool | None = None
 ) -> DataFrame:
     """Table form: ``(keys, line_no, text)`` with the ordinal of the first line of each joined entry."""
-    kept = lines.withColumn("text", strip(nz("text"))).where("text <> ''")
+    kept = lines.where(has_text("text")).withColumn("text", strip(nz("text")))
     start = F.when(is_address_line(F.col("text"), mode), 0).otherwise(1)
     df = running(kept, keys, "line_no", sums={"__isl": start}, bounded=decide(lines, keys, bounded))
     # A leading address line has no entry to join and stands alone with those that follow it.
@@ -175,7 +176,7 @@ def reference_block(
 ) -> DataFrame:
     """Lines between the first reference heading and the first end mark after it, whitespace normalized."""
     keys = list(keys)
-    df = lines.withColumn("text", norm_space("text")).where("text <> ''")
+    df = lines.where(has_text("text")).withColumn("text", norm_space("text"))
     head = F.col("text").rlike(P.I + P.REF_HEADER)
     df = df.withColumn("__h", F.when(head, 1).otherwise(0))
     small = decide(lines, keys, bounded)
@@ -273,7 +274,7 @@ def fallback_references(
     begins "Surname year -", unless it is an address or the entry so far ends with an address label.
     """
     keys = list(keys)
-    base = lines.withColumn("text", strip(nz("text"))).where("text <> ''")
+    base = lines.where(has_text("text")).withColumn("text", strip(nz("text")))
     small = decide(lines, keys, bounded)
     first = base.groupBy(*keys).agg((F.min("line_no") - 1).alias("line_no")).withColumn("text", F.lit(heading))
     headed = base.select(*keys, "line_no", "text").unionByName(first.select(*keys, "line_no", "text"))
@@ -313,7 +314,7 @@ def reference_key(c: Column | str) -> Column:
 
 def dedupe_references(refs: DataFrame, keys: Sequence[str] = ("doc_id",), ordinal: str = "line_no") -> DataFrame:
     """First of every reference by key, order kept. An aggregate with map-side combine, so copies cost little."""
-    df = refs.withColumn("text", norm_space("text")).where("text <> ''").withColumn("__key", reference_key("text"))
+    df = refs.where(has_text("text")).withColumn("text", norm_space("text")).withColumn("__key", reference_key("text"))
     return first_per_key(df, [*keys, "__key"], F.col(ordinal)).select(*refs.columns)
 
 
