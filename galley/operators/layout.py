@@ -45,30 +45,52 @@ def detect_columns(words: DataFrame, min_words: int = 10, gutter: float = 0.1, s
     return counts.select(*PAGE, F.when(two, F.lit(2)).otherwise(F.lit(1)).alias("columns"))
 
 
+def _anchors(tops: Column, tolerance: float) -> Column:
+    """First top of every line among sorted tops."""
+    return F.aggregate(
+        tops,
+        F.array().cast("array<double>"),
+        lambda acc, t: F.when(
+            (F.size(acc) == 0) | (t - F.element_at(acc, -1) > tolerance), F.concat(acc, F.array(t))
+        ).otherwise(acc),
+    )
+
+
+def _lines_of_small_pages(words: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
+    """Lines by windows on the page: one exchange, which the grouping into lines then shares."""
+    in_order = Window.partitionBy(*keys).orderBy("top")
+    gap = F.col("top") - F.lag("top").over(in_order)
+    df = words.withColumn("__fresh", (F.coalesce(gap, F.lit(tolerance + 1)) > tolerance).cast("int"))
+    # Equal tops share a frame, so they also share a run.
+    df = df.withColumn("__run", F.sum("__fresh").over(in_order.rangeBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*keys, "__run")
+    low, high, tops = F.min("top").over(run), F.max("top").over(run), F.collect_set("top").over(run)
+    df = df.withColumns({"__low": low, "__high": high, "__tops": tops})
+    upto = F.filter(_anchors(F.sort_array("__tops"), tolerance), lambda a: a <= F.col("top"))
+    line = F.when(F.col("__high") - F.col("__low") <= tolerance, F.col("__low")).otherwise(F.array_max(upto))
+    return df.withColumn("line_top", line).drop("__fresh", "__run", "__low", "__high", "__tops")
+
+
 def assign_lines(
     words: DataFrame, tolerance: float = 2.0, keys: list[str] | None = None, bounded: bool | None = None
 ) -> DataFrame:
     """Adds ``line``: words sorted by top belong together while within the tolerance of the line's first word.
 
-    Only the distinct tops of a page take part. A gap above the tolerance always starts a line, so tops are first cut
-    there; inside such a run the anchor moves along with a fold over a handful of tops.
+    A gap above the tolerance always starts a line, so words are first cut there. Inside such a run the anchor moves
+    along with a fold over the few distinct tops of the run; most runs span no more than the tolerance and are a line.
     """
     keys = list(keys or PAGE)
+    small = decide(words, keys, bounded)
+    if small:
+        return _lines_of_small_pages(words, tolerance, keys)
+    # Only the distinct tops of a page take part.
     tops = words.select(*keys, "top").distinct()
-    small = decide(tops, keys, bounded)
     band = _band("top")
     tops = running(tops, keys, "top", order=["top"], band=band, lags={"__prev": F.col("top")}, bounded=small)
     fresh = F.col("__prev").isNull() | (F.col("top") - F.col("__prev") > tolerance)
     tops = running(tops, keys, "top", order=["top"], band=band, sums={"__run": fresh.cast("int")}, bounded=small)
     runs = tops.groupBy(*keys, "__run").agg(F.sort_array(F.collect_list("top")).alias("__tops"))
-    anchors = F.aggregate(
-        "__tops",
-        F.array().cast("array<double>"),
-        lambda acc, t: F.when(
-            (F.size(acc) == 0) | (t - F.element_at(acc, -1) > tolerance), F.concat(acc, F.array(t))
-        ).otherwise(acc),
-    )
-    runs = runs.withColumn("__anchors", anchors)
+    runs = runs.withColumn("__anchors", _anchors(F.col("__tops"), tolerance))
     line = F.explode("__tops").alias("top")
     placed = runs.select(*keys, "__run", "__anchors", line)
     anchor = F.array_max(F.filter("__anchors", lambda a: a <= F.col("top")))
