@@ -6,9 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galley.llm import decontamination, langid, mixing, queries, simhash, tokenids
 from galley.llm.common import saved
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents in no language that the corpus teaches go."""
+    return langid.spoken(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of every group of near-duplicates (five-word shingles, similarity 0.8) the least id stays."""
+    return simhash.distinct_documents(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that hold a passage of the benchmark go."""
+    return decontamination.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents as often as the mix takes them; those that it takes zero times go."""
+    return mixing.mixed(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: token files, and what is read back from them for every document."""
+    return tokenids.token_ids(docs, queries.vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language id", language),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token ids", encoded),
+]
 
 # Rank profiles, fingerprints, edit matching, dependent rounding and tokenization are beyond SQL; the tests compare
 # every stage with a brute-force version.

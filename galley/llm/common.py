@@ -62,3 +62,24 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> Saved:
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     out = table.df.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at"))
     return Saved(out.drop("__part", "__at", "__start"), table.path)
+
+
+def row_key(df: DataFrame, id_col: str, *cols: str) -> Column:
+    """Names a row: its id in clear (``~`` for null) and a hash of the given columns, all by default."""
+    told = F.xxhash64(*[F.col(f"`{c}`") for c in cols or df.columns]).cast("string")
+    return F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")), told)
+
+
+def taken_rows(df: DataFrame, key: Column, chosen: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is in ``chosen`` (``key, n, copies``), ``copies`` times; other rows go.
+
+    ``n`` rows of one key repeat each other in all columns and stand as one. Rows move once, to meet their decision.
+    """
+    names = [F.col(f"`{c}`") for c in df.columns]
+    small = chosen.select(F.col("key").alias("__k"), F.col("n").alias("__n"), F.col("copies").cast("int").alias("__copies"))
+    met = df.withColumn("__key", key).join(small, F.col("__key") == F.col("__k"))
+    once = met.where("__n = 1").select(*names, "__copies")
+    if not chosen.where("n > 1").isEmpty():
+        # One of the repeated rows stands for all, found by an aggregate that combines before it moves.
+        once = once.union(met.where("__n > 1").groupBy(*names, "__copies").agg(F.lit(1)).select(*names, "__copies"))
+    return once.withColumn("__again", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)

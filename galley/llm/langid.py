@@ -174,3 +174,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     profiles = Profiles(learn(known.where(~held_out(F.col("doc_id")))))
     out = known.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted(profiles, F.col("text")).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def spoken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.2) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in one of the languages that the table itself teaches.
+
+    Rejected are texts without a letter, and texts whose nearest profile has a score under ``least``: nearly all their
+    frequent n-grams are ones that no language here uses. Prose in a known language scores several times that.
+    """
+    known = plain(docs, doc_id=id_col, text=text_col, lang=lang_col)
+    profiles = Profiles(learn(known.where(~held_out(F.col("doc_id")))))
+    told = docs.withColumn("__told", predicted(profiles, F.col(f"`{text_col}`")))
+    kept = told.where((F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.score") >= least))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

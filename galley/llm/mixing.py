@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, plain, saved
+from .common import numbered, plain, row_key, saved, taken_rows
 
 GROUP = 128
 WEIGHTS = (3, 1, 2)
@@ -59,6 +59,10 @@ def _uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+def _unit(u: Column, p: Column | None = None) -> Column:
+    return F.struct(u["key"].alias("key"), u["size"].alias("size"), (u["p"] if p is None else p).alias("p"))
+
+
 def _meet(state: Column, x: Column) -> Column:
     """One step: the undecided unit ``state.rest`` meets ``x``; one of them is decided.
 
@@ -71,18 +75,15 @@ def _meet(state: Column, x: Column) -> Column:
     fills = rest["size"] * (1 - rest["p"]) <= x["size"] * x["p"]
     drains = rest["size"] * rest["p"] <= x["size"] * (1 - x["p"])
 
-    def unit(u: Column, p: Column) -> Column:
-        return F.struct(u["key"].alias("key"), u["size"].alias("size"), p.alias("p"))
-
     def moved(u: Column, mass: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), u["p"] + mass / u["size"]))
 
     one, zero = F.lit(1.0), F.lit(0.0)
-    rest_full, x_empty = unit(rest, one), unit(x, zero)
-    rest_empty, x_full = unit(rest, zero), unit(x, one)
+    rest_full, x_empty = _unit(rest, one), _unit(x, zero)
+    rest_empty, x_full = _unit(rest, zero), _unit(x, one)
     decided = F.when(up, F.when(fills, rest_full).otherwise(x_empty)).otherwise(F.when(drains, rest_empty).otherwise(x_full))
-    left = F.when(up, F.when(fills, unit(x, moved(x, -gain))).otherwise(unit(rest, moved(rest, gain)))).otherwise(
-        F.when(drains, unit(x, moved(x, loss))).otherwise(unit(rest, moved(rest, -loss)))
+    left = F.when(up, F.when(fills, _unit(x, moved(x, -gain))).otherwise(_unit(rest, moved(rest, gain)))).otherwise(
+        F.when(drains, _unit(x, moved(x, loss))).otherwise(_unit(rest, moved(rest, -loss)))
     )
     return F.struct(left.alias("rest"), F.concat(state["done"], F.array(decided)).alias("done"))
 
@@ -92,9 +93,10 @@ def _rounds(units: DataFrame, most: int, group: int) -> DataFrame:
     done, left, level = [], units, 0
     while True:
         dealt = left.withColumn("bin", F.pmod(F.xxhash64("key", F.lit(level)), F.lit(max(1, -(-most // group)))))
-        grouped = dealt.groupBy("source", "bin").agg(F.array_sort(F.collect_list(F.struct("key", "size", "p"))).alias("units"))
+        falling = F.struct((-F.col("size")).alias("order"), "key", "size", "p")
+        grouped = dealt.groupBy("source", "bin").agg(F.array_sort(F.collect_list(falling)).alias("units"))
         kind = "array<struct<key:string,size:double,p:double>>"
-        start = F.struct(F.col("units")[0].alias("rest"), F.array().cast(kind).alias("done"))
+        start = F.struct(_unit(F.col("units")[0]).alias("rest"), F.array().cast(kind).alias("done"))
         met = F.aggregate(F.slice("units", 2, F.size("units")), start, _meet).alias("met")
         out = saved(grouped.select("source", met), f"pivot-{level}").df
         last = most <= group
@@ -139,11 +141,6 @@ def decide(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple
     return out.select("source", "key", "doc_id", "size", "n", "source_size", "target", copies.alias("copies"))
 
 
-def _key(*cols: str) -> Column:
-    """Name of a unit: its id in clear and a hash of all that tells it from other rows of that id."""
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.xxhash64(*cols).cast("string"))
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row; ``taken`` is the words the mix takes of it.
 
@@ -152,7 +149,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     them the odd ones. An empty table, or one without words, gives targets of 0. Other columns are ignored.
     """
     rows = plain(docs, doc_id=id_col, text=text_col, source=source_col)
-    sized = rows.select("doc_id", "source", words(F.col("text")).alias("size"), _key("source", "text").alias("key"))
+    sized = rows.select("doc_id", "source", words(F.col("text")).alias("size"), row_key(rows, "doc_id", "source", "text").alias("key"))
     made = decide(sized, **how)
     each = made.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
     copies = F.floor(F.col("copies") / F.col("n")) + (F.col("row") < F.col("copies") % F.col("n")).cast("int")
@@ -165,20 +162,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows without words are not taken. Rows that repeat each other in every column are one unit. The text moves once, to
     meet its decision.
     """
-    names = docs.columns
-    kept = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__source": F.col(f"`{source_col}`")})
-    every = F.xxhash64(*[F.col(f"`{c}`") for c in names]).cast("string")
-    kept = kept.withColumn("__key", F.concat_ws(":", F.coalesce(F.col("__id").cast("string"), F.lit("~")), every))
-    sized = kept.select(
-        F.col("__id").alias("doc_id"), F.col("__source").alias("source"), words(F.col(f"`{text_col}`")).alias("size"), F.col("__key").alias("key")
-    )
-    made = saved(decide(sized, **how).where("copies > 0 and size > 0").select(F.col("key").alias("__k"), "n", "copies"), "decided").df
-    met = kept.join(made.select("__k", F.col("copies").alias("__copies"), F.col("n").alias("__n")), F.col("__key") == F.col("__k"))
-    if made.where("n > 1").isEmpty():
-        once = met
-    else:
-        # Identical rows: one stands for all, found by an aggregate that combines before it moves.
-        many = met.where("__n > 1").groupBy(*[F.col(f"`{c}`") for c in names], "__copies").agg(F.first("__n").alias("__n"))
-        once = met.where("__n = 1").select(*[F.col(f"`{c}`") for c in names], "__copies").unionByName(many.drop("__n"))
-    again = once.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return again.select(*[F.col(f"`{c}`") for c in names])
+    key = row_key(docs, id_col)
+    size = words(F.col(f"`{text_col}`"))
+    sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), key.alias("key"))
+    made = decide(sized, **how).where("copies > 0 and size > 0").select("key", "n", "copies")
+    return taken_rows(docs, key, saved(made, "decided").df)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain, saved
+from .common import plain, row_key, saved, taken_rows
 from .components import components
 
 SEED = 42
@@ -64,22 +64,26 @@ def _rehash(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """``doc_id, text`` -> ``doc_id, f0 .. f{words-1}`` (64 bits each, as bigint). ``distinct`` counts a shingle once."""
+    """``doc_id, text`` -> ``doc_id, f0 .. f{words-1}`` (64 bits each, as bigint), ``shingles`` (how many).
+
+    ``distinct`` counts a shingle once.
+    """
     names = [f"f{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((words, batch.num_rows), np.uint64)
+            out, sizes = np.zeros((words, batch.num_rows), np.uint64), []
             for i, text in enumerate(batch.column("text")):
                 hashes = shingle_hashes(text.as_py() or b"", width)
                 if distinct:
                     hashes = np.unique(hashes)
+                sizes.append(len(hashes))
                 for k in range(words):
                     out[k, i] = majority_bits(_rehash(hashes, k))
             cells = [pa.array(row.view(np.int64)) for row in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells, pa.array(sizes, pa.int64())], ["doc_id", *names, "shingles"])
 
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names]])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in [*names, "shingles"]]])
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
@@ -102,16 +106,19 @@ def _steps(slices: int, radius: int) -> list[tuple[int, ...]]:
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
+def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, near_sets=None) -> np.ndarray:
     """Links (rows of two positions in ``a`` followed by ``b``) that span the graph of one tile pair.
 
-    Pairs are taken nearest first, so links of a lower radius still span the graph of that radius.
+    ``near_sets(x, y)`` may refuse a pair of positions; pairs that others connect already are not asked about. Pairs are
+    taken nearest first, which connects most of them soon.
     """
     other = a if b is None else b
     near, far, gap = [], [], []
     block = max(1, (1 << 20) // max(1, len(other)))
     for at in range(0, len(a), block):
-        bits = np.bitwise_count(a[at : at + block, None, :] ^ other[None, :, :]).sum(axis=2, dtype=np.uint16)
+        bits = np.bitwise_count(a[at : at + block, None, 0] ^ other[None, :, 0]).astype(np.uint16)
+        for k in range(1, a.shape[1]):
+            bits += np.bitwise_count(a[at : at + block, None, k] ^ other[None, :, k])
         i, j = np.nonzero(bits <= radius)
         gap.append(bits[i, j])
         near.append(i + at)
@@ -134,18 +141,21 @@ def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
     order = np.argsort(d, kind="stable")
     for x, y in zip(i[order].tolist(), j[order].tolist()):
         p, q = root(x), root(y)
-        if p != q:
+        if p != q and (near_sets is None or near_sets(x, y)):
             parent[max(p, q)] = min(p, q)
             links.append((x, y))
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def links(classes: DataFrame, words: int = 1, radius: int = 2, parts: int = 4, tile: int = TILE) -> DataFrame:
-    """Distinct fingerprints ``f0 ..`` -> ``u0 .., v0 ..``: links that span the graph of all pairs within ``radius``."""
-    names = [f"f{k}" for k in range(words)]
-    counts = F.concat_ws(",", *_counts(names, parts))
-    celled = classes.select(*names, counts.alias("cell"))
-    # Cells are bounded by the count vectors, (64/parts + 1)^parts per word; tiles bound what a cell holds.
+def links(classes: DataFrame, names: list[str], radius: int, cell: list[Column], steps: list[tuple[int, ...]], tile: int = TILE) -> DataFrame:
+    """Distinct fingerprints (64-bit columns ``names``) -> ``u0 .., v0 ..``: links that span the graph of all near pairs.
+
+    ``cell`` are whole numbers of a fingerprint; two fingerprints can only be within ``radius`` if their numbers differ
+    by one of ``steps`` or its opposite. Tiles of other cells are skipped.
+    """
+    words = len(names)
+    celled = classes.select(*names, F.concat_ws(",", *cell).alias("cell"))
+    # The numbers bound how many cells there are; tiles bound what a cell holds.
     sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     dealt = celled.join(sizes, "cell").withColumn(
         "sub", F.pmod(F.xxhash64(*names), F.ceil(F.col("n") / tile)).cast("int")
@@ -154,7 +164,7 @@ def links(classes: DataFrame, words: int = 1, radius: int = 2, parts: int = 4, t
     tiles = dealt.groupBy("cell", "sub").agg(*pack)
     tiles = tiles.select("cell", "sub", *[F.col(f"prints.{n}").alias(n) for n in names])
     tiles = saved(tiles, "tiles").df
-    steps = [s for s in _steps(parts * words, radius) if s >= (0,) * (parts * words)]
+    steps = [s for s in steps if s >= (0,) * len(s)]
     mine = F.split("cell", ",")
     near = [F.concat_ws(",", *[mine[k].cast("int") + F.lit(d) for k, d in enumerate(s)]) for s in steps]
     left = tiles.select(F.col("cell").alias("own"), F.col("sub").alias("i"), *[F.col(n).alias(f"a_{n}") for n in names],
@@ -206,12 +216,132 @@ def near_duplicates(
     words are one shingle. Rows may repeat; each keeps its row. ``component_id`` is the least non-null id that can be
     reached (null if there is none). An empty table gives an empty result. Other columns are ignored.
     """
-    rows = saved(fingerprints(plain(docs, doc_id=id_col, text=text_col), width), "prints").df
+    rows = saved(fingerprints(plain(docs, doc_id=id_col, text=text_col), width).drop("shingles"), "prints").df
     classes = rows.groupBy("f0").agg(F.min("doc_id").alias("least_id"))
-    found = links(classes, 1, radius, parts, tile)
+    found = links(classes, ["f0"], radius, _counts(["f0"], parts), _steps(parts, radius), tile)
     roots = components(found.toDF("u", "v")).df
     members = classes.join(roots.select(F.col("u").alias("f0"), F.col("v").alias("root")), "f0", "left")
     members = members.withColumn("root", F.coalesce("root", "f0"))
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = members.join(least, "root").select("f0", "component_id")
     return rows.join(named, "f0").select("doc_id", hex_of(["f0"]).alias("fingerprint"), "component_id")
+
+
+def bits_apart(similarity: float, bits: int, sigmas: float = 3.0) -> int:
+    """Differing bits of two shingle sets of the given Jaccard similarity: the mean and ``sigmas`` deviations."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = np.arccos(cosine) / np.pi
+    return int(bits * share + sigmas * (bits * share * (1 - share)) ** 0.5)
+
+
+def _similar_links(sets: DataFrame, names: list[str], radius: int, similarity: float, tile: int) -> DataFrame:
+    """``comp, f0 .., shingles`` (binary) -> ``u0 .., v0 ..``: links within ``radius`` whose sets are similar enough.
+
+    The same tiled comparison as :func:`links`, inside provisional components, where a pair also has to pass the exact
+    comparison of its sorted shingle hashes.
+    """
+    sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    dealt = sets.join(sizes, "comp").withColumn("sub", F.pmod(F.xxhash64(*names), F.ceil(F.col("n") / tile)).cast("int"))
+    tiles = dealt.groupBy("comp", "sub").agg(F.collect_list(F.struct(*names, "shingles")).alias("own"))
+    tiles = saved(tiles, "set-tiles").df
+    right = tiles.select("comp", F.col("sub").alias("j"), F.col("own").alias("other"))
+    other = F.when(F.col("sub") < F.col("j"), F.col("other")).alias("other")
+    pairs = tiles.join(right, "comp").where("sub <= j").select("own", other)
+    ends = [f"{e}{k}" for e in "uv" for k in range(len(names))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(cell: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
+            rows = cell.values
+            prints = np.stack([rows.field(n).to_numpy(zero_copy_only=False) for n in names], axis=1).view(np.uint64)
+            return prints, [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("shingles")]
+
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                a, held = side(batch.column("own")[row])
+                b, cell = None, batch.column("other")[row]
+                if cell.is_valid:
+                    b, more = side(cell)
+                    held = held + more
+
+                def near(x: int, y: int) -> bool:
+                    p, q = held[x], held[y]
+                    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+                        return False
+                    both = np.concatenate([p, q])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    return common >= similarity * (len(both) - common)
+
+                got = _forest(a, b, radius, near)
+                if len(got):
+                    both = a if b is None else np.concatenate([a, b])
+                    found.append(np.concatenate([both[got[:, 0]], both[got[:, 1]]], axis=1))
+            if found:
+                cells = np.concatenate(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells.T.copy()], ends)
+
+    return pairs.mapInArrow(run, ", ".join(f"{e} bigint" for e in ends))
+
+
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """Replaces ``text`` by ``shingles``: the sorted distinct 64-bit hashes of its shingles."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.as_py() or b"", width)).tobytes() for t in texts], pa.binary())
+
+    sets = F.arrow_udf(run, "binary")(F.col("text").cast("binary"))
+    return texts.select(*[c for c in texts.columns if c != "text"], sets.alias("shingles"))
+
+
+def distinct_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    words: int = 4,
+    tile: int = TILE,
+    set_tile: int = 256,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each group of near-duplicates: the least id (null last).
+
+    Two documents are near when their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or
+    more. ``64 * words`` bits of SimHash over the sets find the candidates: the radius is the expected number of
+    differing bits at that similarity and three standard deviations; the sets themselves decide. A group is all that
+    near pairs connect. Sets of a size ratio below ``similarity`` cannot be near, so cells are a step of the size's
+    logarithm and a band of population counts. Texts without a word are duplicates of each other. Rows equal in all
+    columns are one row. An empty table stays empty.
+    """
+    names, radius = [f"f{k}" for k in range(words)], bits_apart(similarity, 64 * words)
+    key, text = row_key(docs, id_col), F.col(f"`{text_col}`")
+    keyed = docs.select(key.alias("doc_id"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    rows = saved(fingerprints(keyed.select("doc_id", "text"), width, words, distinct=True), "prints").df
+    # Equal fingerprints are one node whatever the set size; its cell is that of the smallest set.
+    node = hex_of(names)
+    classes = rows.groupBy(*names).agg(F.min("shingles").alias("shingles"), F.min("doc_id").alias("key"))
+    classes = saved(classes, "classes").df
+    step = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1)).cast("double")) / float(-np.log(similarity)) + 1e-9)
+    band = F.floor(sum((F.bit_count(n) for n in names), F.lit(0)) / (radius + 1))
+    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+
+    def joined(found: DataFrame) -> DataFrame:
+        ends = found.select(*[hex_of([f"{e}{k}" for k in range(words)]).alias(e) for e in "uv"])
+        return components(ends).df
+
+    loose = joined(links(classes, names, radius, [step, band], around, tile))
+    open_ = classes.select(*names, "key", node.alias("u"))
+    inner = open_.join(loose, "u").select(*names, "key", F.col("v").alias("comp"))
+    tops = open_.join(loose.select(F.col("v").alias("u")).distinct(), "u").select(*names, "key", F.col("u").alias("comp"))
+    stands = saved(inner.union(tops), "candidates").df
+    # The texts of candidates only, one of each fingerprint.
+    texts = keyed.select(F.col("doc_id").alias("key"), "text").join(stands, "key")
+    sets = _shingle_sets(texts.select("comp", *names, "text"), width).dropDuplicates(names)
+    roots = joined(_similar_links(sets, names, radius, similarity, set_tile))
+
+    named = rows.select(F.col("doc_id").alias("key"), node.alias("u")).join(roots, "u", "left")
+    grouped = named.select("key", F.coalesce("v", "u").alias("root")).distinct()
+    ids = keyed.groupBy(F.col("doc_id").alias("key"), "id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("first")
+    chosen = grouped.join(ids, "key").groupBy("root").agg(first).select("first.key", "first.n", F.lit(1).alias("copies"))
+    return taken_rows(docs, key, saved(chosen, "chosen").df)

@@ -56,7 +56,8 @@ def test_links_span_every_near_pair(spark):
     values = sorted({int(s) ^ (1 << int(a)) ^ (1 << int(b)) for s in seeds for a, b in rng.integers(0, 62, (6, 2))})
     classes = spark.createDataFrame([(v,) for v in values], "f0 long")
     for parts in (1, 2, 4):
-        found = simhash.links(classes, 1, 2, parts, tile=16).toDF("u", "v")
+        cell, steps = simhash._counts(["f0"], parts), simhash._steps(parts, 2)
+        found = simhash.links(classes, ["f0"], 2, cell, steps, tile=16).toDF("u", "v")
         got = {r.u: r.v for r in components(found).df.collect()}
         parent = {v: v for v in values}
 
