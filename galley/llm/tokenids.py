@@ -301,7 +301,8 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    spread = manifest.select("file", "start").repartition(F.col("file"))
+    # A task per file or so: adaptive execution would take a manifest for small and read all files in one task.
+    spread = manifest.select("file", "start").repartition(max(1, manifest.count()), "file")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
