@@ -27,7 +27,7 @@ def connect(sf_dir: str):
 
 def canon(pdf: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or v is pd.NaT:
+        if v is None or v is pd.NaT or v is pd.NA:
             return "~null"
         if isinstance(v, float):
             return "~null" if math.isnan(v) else repr(round(v, 9) + 0.0)
@@ -42,7 +42,8 @@ def canon(pdf: pd.DataFrame) -> list[tuple]:
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None):
     t0 = time.time()
     df = fn(spark, sf_dir)
-    got = df.toPandas()
+    # Row objects, since pandas would turn whole numbers with nulls into floats.
+    got = pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns, dtype=object)
     t1 = time.time()
     if sql is None:
         return "rows-only", f"{len(got)} rows", t1 - t0
