@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, licenses, mixing, simhash, tokenids
+from . import decontamination, kdtree, langid, licenses, mixing, simhash, tokenids, urlfilters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,25 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op3_top_k"] = kdtree.ORACLE
+
+
+@query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, events = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
+    captures = spark.sql(urlfilters.CAPTURES, pages=pages)
+    entries = spark.sql(urlfilters.ENTRIES, pages=pages, events=events)
+    return urlfilters.evaluate(captures, entries, urlfilters.ALLOW)
+
+
+ORACLES["op6_url_filters"] = urlfilters.ORACLE
+
+
 @query
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_ids(table(spark, sf_dir, "documents"), vocabulary())
