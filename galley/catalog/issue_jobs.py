@@ -227,7 +227,7 @@ def locate_article(spark, sf):
     docs = table(spark, sf, "documents")
     lines = docs.select(C("source").alias("issue"), "doc_id", F.posexplode(split_lines("text")).alias("n", "text"))
     lines = lines.select("issue", (C("doc_id") * 1000000 + C("n")).alias("k"), "text")
-    lines = L.renumber(lines, ["issue"], "k", "line_no", bounded=None).select("issue", (C("line_no") - 1).alias("line_no"), "text")
+    lines = L.renumber(lines, ["issue"], "k", "line_no").select("issue", (C("line_no") - 1).alias("line_no"), "text")
     arts = docs.selectExpr("source AS issue", "'d' || doc_id AS name", "CASE WHEN doc_id % 3 = 0 THEN regexp_extract(text, '([A-Za-z]{7,})', 1) ELSE '' END AS surname",
                            "CASE WHEN doc_id % 2 = 0 THEN substring(text, 3, 40) ELSE substring(text, 1, 60) || ' zzz' END AS title")
     return M.locate_article(arts, lines).select("issue", "name", F.coalesce("start_line", F.lit(-1)).cast("bigint").alias("start_line"))

@@ -93,10 +93,10 @@ class CharView:
     cols = ["doc_id", "page", "cast(ord AS bigint) * 1000 + pos AS ord", "top", "bottom", "x0 + pos * 4.0 + (pos * 3 % 7) * 0.125 AS x0", "x0 + pos * 4.0 + 3.0 AS x1"]
 
     def df(self, spark, sf):
-        w = WORDS.df(spark, sf).selectExpr("doc_id", "page", "ord", "top", "bottom", "x0", "explode(sequence(0, least(length(text), 9) - 1)) AS pos")
+        w = WORDS.df(spark, sf).selectExpr("doc_id", "page", "ord", "top", "bottom", "x0", "explode(sequence(0, length(text) - 1)) AS pos")
         return w.selectExpr(*[c.replace("4.0", "4.0D").replace("0.125", "0.125D").replace("3.0", "3.0D") for c in self.cols])
 
-    sql = f"(SELECT {', '.join(cols)} FROM (SELECT *, unnest(range(least(length(text), 9)))::INTEGER AS pos FROM {WS}) c0)"
+    sql = f"(SELECT {', '.join(cols)} FROM (SELECT *, unnest(range(length(text)))::INTEGER AS pos FROM {WS}) c0)"
 
 
 CHARS = CharView()

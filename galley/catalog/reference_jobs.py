@@ -15,9 +15,9 @@ C = F.col
 W = "OVER (PARTITION BY doc_id ORDER BY line_no)"
 
 REFS = LineView(line_expr="""CASE WHEN line_no % 40 = 1 THEN 'References' WHEN line_no % 40 = 30 THEN 'Information about the author'
-  WHEN line_no % 11 = 3 THEN line_no || '. ' || substring(text, 1, 120) WHEN line_no % 11 = 5 THEN 'https://doi.org/10.1000/' || doc_id || '.' || line_no
+  WHEN line_no % 11 = 3 THEN line_no || '. ' || text WHEN line_no % 11 = 5 THEN 'https://doi.org/10.1000/' || doc_id || '.' || line_no
   WHEN line_no % 11 = 7 THEN '2.5.4 header' WHEN line_no % 11 = 8 THEN 'doi: 10.1000/' || (line_no % 3) || '.x' WHEN line_no % 11 = 9 THEN ' '
-  ELSE substring(text, 1, 150) || CASE WHEN line_no % 2 = 0 THEN ' ' || (1900 + line_no % 100) || '. pp. 3-4' ELSE '' END END""")
+  ELSE text || CASE WHEN line_no % 2 = 0 THEN ' ' || (1900 + line_no % 100) || '. pp. 3-4' ELSE '' END END""")
 BLOCK_TYPE = "CASE WHEN (doc_id + line_no) % 4 = 0 THEN 'li' ELSE 'p' END"
 
 
@@ -73,7 +73,7 @@ def merge_doi_paragraphs(spark, sf):
 
 
 PAIRS = LineView(line_expr="""CASE line_no % 9 WHEN 1 THEN 'URL:' WHEN 2 THEN 'https://www.' WHEN 3 THEN 'https://h.example/a-' WHEN 4 THEN 'tail' || line_no || '.pdf'
-  WHEN 5 THEN 'See DOI: 10.7868/' WHEN 6 THEN 'S' || line_no || '-X' WHEN 7 THEN CASE WHEN doc_id % 2 = 0 THEN 'https://a.' ELSE 'URL' END ELSE substring(text, 1, 40) END""")
+  WHEN 5 THEN 'See DOI: 10.7868/' WHEN 6 THEN 'S' || line_no || '-X' WHEN 7 THEN CASE WHEN doc_id % 2 = 0 THEN 'https://a.' ELSE 'URL' END ELSE text END""")
 _GLUE = f"""a AS (SELECT doc_id, line_no, text, lead(text) {W} AS nx, row_number() {W} AS n FROM {{src}}),
   b AS (SELECT *, CASE WHEN {m('text', '(?i)^URL\\s*:?$')} AND {m("coalesce(nx, '')", '(?i)^https?://\\S*$')} THEN ' '
      WHEN {m('text', '(?i)DOI:\\s*\\S+/\\s*$')} AND {m("coalesce(nx, '')", '(?i)^[A-Z0-9][A-Z0-9./-]+$')} THEN ''
@@ -173,8 +173,8 @@ def dedupe_corpus_lines(spark, sf):
     return R.dedupe_references(lines, ["lang"])
 
 
-FALL = LineView(line_expr="""CASE WHEN line_no % 7 = 2 AND doc_id % 3 = 0 THEN line_no || '. ' || substring(text, 1, 60)
-  WHEN line_no % 7 = 4 THEN 'Smith 1999 — ' || substring(text, 1, 30) WHEN line_no % 7 = 5 THEN 'url:' WHEN line_no % 7 = 6 THEN '10.1000/' || line_no ELSE substring(text, 1, 50) END""")
+FALL = LineView(line_expr="""CASE WHEN line_no % 7 = 2 AND doc_id % 3 = 0 THEN line_no || '. ' || text
+  WHEN line_no % 7 = 4 THEN 'Smith 1999 — ' || text WHEN line_no % 7 = 5 THEN 'url:' WHEN line_no % 7 = 6 THEN '10.1000/' || line_no ELSE text END""")
 _FALL_BLOCK = f"""r0 AS (SELECT doc_id, line_no, {NS('text')} AS text FROM {FALL.sql} v WHERE {S('text')} <> ''),
   r2 AS (SELECT *, min(CASE WHEN {_END} THEN line_no END) OVER (PARTITION BY doc_id) AS e FROM r0),
   blk AS (SELECT doc_id, line_no, text FROM r2 WHERE e IS NULL OR line_no < e)"""
@@ -233,8 +233,8 @@ def allocate_references(spark, sf):
 
 # --- sections ---------------------------------------------------------------------------------------------------
 STYLE = "CASE (doc_id + line_no) % 13 WHEN 3 THEN 'Abstract EN' WHEN 7 THEN 'Колонтитул' WHEN 9 THEN 'Title' ELSE 'Body' END"
-SECT = LineView(line_expr="""CASE (doc_id * 3 + line_no) % 17 WHEN 1 THEN 'Аннотация' WHEN 4 THEN 'Keywords: ' || substring(text, 1, 30) WHEN 5 THEN 'one, two' WHEN 8 THEN 'For citation: x'
-  WHEN 10 THEN 'References.' WHEN 12 THEN 'Об авторах: x' WHEN 14 THEN 'Introduction' WHEN 15 THEN 'Резюме - ' || substring(text, 1, 30) ELSE replace(replace(text, ',', ''), ';', '') END""")
+SECT = LineView(line_expr="""CASE (doc_id * 3 + line_no) % 17 WHEN 1 THEN 'Аннотация' WHEN 4 THEN 'Keywords: ' || text WHEN 5 THEN 'one, two' WHEN 8 THEN 'For citation: x'
+  WHEN 10 THEN 'References.' WHEN 12 THEN 'Об авторах: x' WHEN 14 THEN 'Introduction' WHEN 15 THEN 'Резюме - ' || text ELSE replace(replace(text, ',', ''), ';', '') END""")
 _M = "regexp_replace(" + NS("replace(lower(text), 'ё', 'е')") + ", '^[ .:;–—-]+|[ .:;–—-]+$', '', 'g')"
 _ALL = {k: "|".join(sorted(v, key=len, reverse=True)) for k, v in R.SECTION_MARKERS.items()}
 _ALONE = "CASE " + " ".join(f"WHEN regexp_matches(mk, '^({v})$') THEN '{k}'" for k, v in _ALL.items()) + " END"

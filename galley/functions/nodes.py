@@ -28,6 +28,7 @@ NODES = T.ArrayType(
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # The page as a whole is not a candidate of any rule, so its text is not repeated.
 _NO_TEXT = {"html", "body", "head"}
+_PROGRAM = {"script", "style", "template"}
 
 
 class _Lister(HTMLParser):
@@ -60,7 +61,8 @@ class _Lister(HTMLParser):
                 pass
 
     def handle_data(self, data):
-        piece = " ".join(data.split())
+        # Program text is no text of the elements around it either.
+        piece = "" if any(n["tag"] in _PROGRAM for n in self.open) else " ".join(data.split())
         if piece:
             self.texts.append(piece)
 

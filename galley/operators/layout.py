@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, nz, norm_space, restore_missing_spaces, strip
-from ..plans.segments import decide, running
+from ..plans.segments import running
 
 PAGE = ["doc_id", "page"]
-# Rows of a page are cut into bands of this height when pages are not known to be small.
+# Rows of a page are cut into bands of this height when pages are not known to be bounded.
 BAND = 20.0
 
 
@@ -72,7 +72,7 @@ def _lines_of_small_pages(words: DataFrame, tolerance: float, keys: list[str]) -
 
 
 def assign_lines(
-    words: DataFrame, tolerance: float = 2.0, keys: list[str] | None = None, bounded: bool | None = None
+    words: DataFrame, tolerance: float = 2.0, keys: list[str] | None = None, bounded: bool = False
 ) -> DataFrame:
     """Adds ``line``: words sorted by top belong together while within the tolerance of the line's first word.
 
@@ -80,15 +80,14 @@ def assign_lines(
     along with a fold over the few distinct tops of the run; most runs span no more than the tolerance and are a line.
     """
     keys = list(keys or PAGE)
-    small = decide(words, keys, bounded)
-    if small:
+    if bounded:
         return _lines_of_small_pages(words, tolerance, keys)
     # Only the distinct tops of a page take part.
     tops = words.select(*keys, "top").distinct()
     band = _band("top")
-    tops = running(tops, keys, "top", order=["top"], band=band, lags={"__prev": F.col("top")}, bounded=small)
+    tops = running(tops, keys, "top", order=["top"], band=band, lags={"__prev": F.col("top")}, bounded=bounded)
     fresh = F.col("__prev").isNull() | (F.col("top") - F.col("__prev") > tolerance)
-    tops = running(tops, keys, "top", order=["top"], band=band, sums={"__run": fresh.cast("int")}, bounded=small)
+    tops = running(tops, keys, "top", order=["top"], band=band, sums={"__run": fresh.cast("int")}, bounded=bounded)
     runs = tops.groupBy(*keys, "__run").agg(F.sort_array(F.collect_list("top")).alias("__tops"))
     runs = runs.withColumn("__anchors", _anchors(F.col("__tops"), tolerance))
     line = F.explode("__tops").alias("top")
@@ -99,7 +98,7 @@ def assign_lines(
 
 
 def lines_from_words(
-    words: DataFrame, tolerance: float = 2.0, keys: list[str] | None = None, bounded: bool | None = None
+    words: DataFrame, tolerance: float = 2.0, keys: list[str] | None = None, bounded: bool = False
 ) -> DataFrame:
     """Text lines of a page, top to bottom: ``(keys, line_top, bottom, x0, x1, text)`` with lost spaces restored."""
     keys = list(keys or PAGE)
@@ -114,11 +113,10 @@ def lines_from_words(
     return out.withColumn("text", restore_missing_spaces("text"))
 
 
-def header_boundary(words: DataFrame, bounded: bool | None = None) -> DataFrame:
+def header_boundary(words: DataFrame, bounded: bool = False) -> DataFrame:
     """Where the page header ends: above the largest vertical gap in the top half, else a fifth of the page."""
     tops = words.select(*PAGE, "page_height", F.bround("top", 1).alias("top")).distinct()
-    small = decide(tops, PAGE, bounded)
-    df = running(tops, PAGE, "top", order=["top"], band=_band("top"), lags={"__prev": F.col("top")}, bounded=small)
+    df = running(tops, PAGE, "top", order=["top"], band=_band("top"), lags={"__prev": F.col("top")}, bounded=bounded)
     h = F.col("page_height")
     gap = F.col("top") - F.col("__prev")
     ok = (F.col("top") <= h * 0.5) & (gap >= F.greatest(F.lit(6.0), h * 0.01))
@@ -133,10 +131,9 @@ def header_boundary(words: DataFrame, bounded: bool | None = None) -> DataFrame:
     )
 
 
-def reading_order_lines(words: DataFrame, tolerance: float = 2.0, bounded: bool | None = None) -> DataFrame:
+def reading_order_lines(words: DataFrame, tolerance: float = 2.0, bounded: bool = False) -> DataFrame:
     """Lines in reading order: on two-column pages the header, then the left, then the right column."""
-    small = decide(words, PAGE, bounded)
-    bounds = header_boundary(words, small)
+    bounds = header_boundary(words, bounded)
     df = words.join(bounds, PAGE)
     body = F.col("top") > F.least(F.col("page_height"), F.col("boundary") + tolerance)
     cols = detect_columns(df.where(body))
@@ -149,7 +146,7 @@ def reading_order_lines(words: DataFrame, tolerance: float = 2.0, bounded: bool
         .otherwise(F.lit(2))
     )
     zoned = df.withColumn("zone", zone)
-    return lines_from_words(zoned, tolerance, [*PAGE, "zone"], small)
+    return lines_from_words(zoned, tolerance, [*PAGE, "zone"], bounded)
 
 
 def bbox_lines(words: DataFrame) -> DataFrame:
@@ -164,16 +161,15 @@ def bbox_lines(words: DataFrame) -> DataFrame:
     ).where("text <> ''")
 
 
-def char_gap_stats(chars: DataFrame, keys: list[str] | None = None, bounded: bool | None = None) -> DataFrame:
+def char_gap_stats(chars: DataFrame, keys: list[str] | None = None, bounded: bool = False) -> DataFrame:
     """Gaps between neighbouring characters of a line: median, p75, p90 by index, and the word-gap threshold.
 
     Percentiles by index come from a histogram of the gaps, so no page's gaps are collected.
     """
     keys = list(keys or PAGE)
-    small = decide(chars, keys, bounded)
     order = ["top", "x0", "ord"]
     df = running(
-        chars, keys, "ord", order=order, band=_band("top"), lags={"__p": F.struct("top", "x1")}, bounded=small
+        chars, keys, "ord", order=order, band=_band("top"), lags={"__p": F.struct("top", "x1")}, bounded=bounded
     )
     gap = F.col("x0") - F.col("__p.x1")
     near = F.abs(F.col("top") - F.col("__p.top")) < 5
@@ -238,7 +234,7 @@ def words_in_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
     return pairs.drop("__wb", "__bb", "__band")
 
 
-def text_in_boxes(words: DataFrame, boxes: DataFrame, tolerance: float = 5.0, bounded: bool | None = None) -> DataFrame:
+def text_in_boxes(words: DataFrame, boxes: DataFrame, tolerance: float = 5.0, bounded: bool = False) -> DataFrame:
     """Text of every box, its lines top to bottom."""
     inside = words_in_boxes(words, boxes)
     lines = lines_from_words(inside, tolerance, [*PAGE, "box_id"], bounded)

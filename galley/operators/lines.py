@@ -19,7 +19,7 @@ from ..functions.text import (
     split_lines,
     strip,
 )
-from ..plans.segments import decide, first_per_key, island_text, row_numbers, running, with_totals
+from ..plans.segments import first_per_key, island_text, row_numbers, running, with_totals
 
 # Running headers that sit inside a line.
 INLINE_HEADERS = [
@@ -88,11 +88,11 @@ def remove_repeated_lines(
     min_repeats: int = 3,
     patterns: Sequence[str] = (),
     keys: Sequence[str] = ("doc_id",),
-    bounded: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Table form: drops lines that occur ``min_repeats`` times in their document and have three characters or more."""
     s = strip(nz("text"))
-    out = line_frequency(lines, s, keys, decide(lines, keys, bounded))
+    out = line_frequency(lines, s, keys, bounded)
     drop = (F.col("freq") >= min_repeats) & (F.length(s) >= 3)
     for p in patterns:
         drop = drop | ((s != "") & s.rlike(f"(?iuU)\\A(?:{p})"))
@@ -104,20 +104,19 @@ PAGE_NUMBER_FORMS = [r"\A\s*\d+\s*\z", r"\Aстр\.\s*\d+", r"\Apage\s+\d+", r"\
 FURNITURE_FORMS = [r"\A№\s*\d+", r"\Ano\.\s*\d+", r"\A\d{4}\s*г\."]
 
 
-def remove_page_furniture(lines: DataFrame, bounded: bool | None = None) -> DataFrame:
+def remove_page_furniture(lines: DataFrame, bounded: bool = False) -> DataFrame:
     """Running headers, footers and page numbers off a paged line table ``(doc_id, page, line_no, text)``.
 
     ``line_no`` is unique within the document. The first of the frequent page numbers stays.
     """
     norm = F.lower(norm_space("text"))
     df = lines.withColumn("__norm_line", norm)
-    small = decide(lines, ["doc_id"], bounded)
-    df = running(df, ["doc_id", "page"], "line_no", sums={"__idx": F.lit(1)}, bounded=small)
-    df = with_totals(df, ["doc_id", "page"], "line_no", {"__size": ("count", F.lit(1))}, bounded=small)
+    df = running(df, ["doc_id", "page"], "line_no", sums={"__idx": F.lit(1)}, bounded=bounded)
+    df = with_totals(df, ["doc_id", "page"], "line_no", {"__size": ("count", F.lit(1))}, bounded=bounded)
     # A page has exactly one first line, so first lines count pages.
     first_line = F.when(F.col("__idx") == 1, F.lit(1))
-    df = with_totals(df, ["doc_id"], "line_no", {"__pages": ("count", first_line)}, bounded=small)
-    df = line_frequency(df, F.col("__norm_line"), ["doc_id"], small)
+    df = with_totals(df, ["doc_id"], "line_no", {"__pages": ("count", first_line)}, bounded=bounded)
+    df = line_frequency(df, F.col("__norm_line"), ["doc_id"], bounded)
 
     n = F.col("__norm_line")
     numbered = P.any_of([n.rlike(P.I + p) for p in PAGE_NUMBER_FORMS])
@@ -145,12 +144,11 @@ def filter_service_blocks(blocks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def select_pages(
-    pages: DataFrame, first: int = 3, last: int = 3, keys: Sequence[str] = ("doc_id",), bounded: bool | None = None
+    pages: DataFrame, first: int = 3, last: int = 3, keys: Sequence[str] = ("doc_id",), bounded: bool = False
 ) -> DataFrame:
     """First ``first`` and last ``last`` pages of a page table, without overlap, in order."""
-    small = decide(pages, keys, bounded)
-    ranked = row_numbers(pages, keys, "page", "__rn", small)
-    ranked = with_totals(ranked, keys, "page", {"__n": ("count", F.lit(1))}, bounded=small)
+    ranked = row_numbers(pages, keys, "page", "__rn", bounded)
+    ranked = with_totals(ranked, keys, "page", {"__n": ("count", F.lit(1))}, bounded=bounded)
     rn, n = F.col("__rn"), F.col("__n")
     return ranked.where((rn <= first) | (rn > F.greatest(F.lit(first), n - last))).select(*pages.columns)
 
@@ -160,19 +158,18 @@ def renumber(
     keys: Sequence[str] = ("doc_id",),
     ordinal: str = "line_no",
     out: str = "line_number",
-    bounded: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Ordinals 1..n after filtering and merging."""
-    return row_numbers(df, keys, ordinal, out, decide(df, keys, bounded))
+    return row_numbers(df, keys, ordinal, out, bounded)
 
 
 def chunk_lines(
-    lines: DataFrame, n: int = 25, keys: Sequence[str] = ("doc_id",), bounded: bool | None = None
+    lines: DataFrame, n: int = 25, keys: Sequence[str] = ("doc_id",), bounded: bool = False
 ) -> DataFrame:
     """Groups of ``n`` non-blank lines: ``(keys, chunk, text, lines)``."""
     kept = lines.where(has_text("text")).withColumn("text", strip(nz("text")))
-    small = decide(lines, keys, bounded)
-    ranked = row_numbers(kept, keys, "line_no", "__rn", small).withColumn("chunk", F.floor((F.col("__rn") - 1) / n))
+    ranked = row_numbers(kept, keys, "line_no", "__rn", bounded).withColumn("chunk", F.floor((F.col("__rn") - 1) / n))
     return ranked.groupBy(*keys, "chunk").agg(
         island_text("line_no", "text", "\n").alias("text"),
         F.count(F.lit(1)).alias("lines"),
@@ -261,7 +258,7 @@ def filter_words_by_script(
     target: str,
     keys: Sequence[str] = ("doc_id", "page"),
     ordinal: str = "ord",
-    bounded: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Keeps words of the target script and words without letters, unless the area already is in that script or
     nothing would remain."""
@@ -271,7 +268,7 @@ def filter_words_by_script(
     none = ~t.rlike(r"\p{L}")
     keep = none | ((cyr > 0) if target == "ru" else (lat > 0))
     totals = {"__cyr": ("sum", cyr), "__lat": ("sum", lat), "__kept": ("count", F.when(keep, 1))}
-    df = with_totals(words, keys, ordinal, totals, bounded=decide(words, keys, bounded))
+    df = with_totals(words, keys, ordinal, totals, bounded=bounded)
     detected = (
         F.when((F.col("__cyr") == 0) & (F.col("__lat") == 0), "unknown")
         .when(F.col("__cyr") > F.col("__lat"), "ru")

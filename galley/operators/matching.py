@@ -20,7 +20,7 @@ from ..functions.text import (
     text_quality,
     word_count,
 )
-from ..plans.segments import decide, first_per_key, with_totals
+from ..plans.segments import first_per_key, with_totals
 
 # --- journals ---------------------------------------------------------------------------------------------------
 
@@ -168,16 +168,15 @@ def _containing_short(phrases: DataFrame, lines: DataFrame) -> DataFrame:
     return short.join(right, ["issue", "__g"]).where(F.col("norm").contains(F.col("phrase")))
 
 
-def locate_article(articles: DataFrame, lines: DataFrame, bounded: bool | None = None) -> DataFrame:
+def locate_article(articles: DataFrame, lines: DataFrame, bounded: bool = False) -> DataFrame:
     """Start line (1-based) of every article ``(issue, name, surname, title)`` in the lines of its issue
     ``(issue, line_no, text)``, null when it is not found.
 
     After the contents list: the author's surname as a word, then the title, then its first words; earliest line.
     """
-    small = decide(lines, ["issue"], bounded)
     norm = F.lower(norm_space("text"))
     df = lines.withColumn("norm", norm).withColumn("__mark", F.when(F.col("norm").rlike(CONTENTS), F.col("line_no")))
-    df = with_totals(df, ["issue"], "line_no", {"__first": ("min", F.col("__mark"))}, bounded=small)
+    df = with_totals(df, ["issue"], "line_no", {"__first": ("min", F.col("__mark"))}, bounded=bounded)
     begin = F.coalesce(F.col("__first") + SKIP_AFTER_CONTENTS, F.lit(SKIP_WITHOUT))
     usable = df.where((F.col("line_no") >= begin) & ~P.is_toc_line("text")).select("issue", "line_no", "norm")
 

@@ -100,7 +100,7 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
         F.col("block_type") == "table-row", F.regexp_replace("html", r"(?i)<t[hd][^>]*>", mark)
     ).otherwise(F.col("html"))
     text = block_text(marked)
-    cells = F.filter(F.transform(F.slice(F.split(text, mark), 2, 1 << 20), strip), lambda x: x != "")
+    cells = F.filter(F.transform(F.slice(F.split(text, mark), F.lit(2), F.size(F.split(text, mark))), strip), lambda x: x != "")
     text = F.when(F.col("block_type") == "table-row", F.array_join(cells, " | ")).otherwise(text)
     out = merged.withColumn("text", text).where("text <> ''")
     # Position after blank blocks are gone: all blocks of a page come from one cell, so one small array per page.
@@ -114,41 +114,52 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 
 def meta_tags(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Meta elements as ``(key, name, value, n)``; natively, since a meta element is one tag."""
-    tags = F.regexp_extract_all(nz(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    df = pages.select(key, F.posexplode(tags).alias("n", "tag"))
+    """Meta elements as ``(key, name, value, n)``, from the node list: comments and odd quoting are the parser's work."""
+    metas = F.filter("nodes", lambda x: x["tag"] == "meta")
+    df = with_nodes(pages.select(key, html), html).select(key, F.posexplode(metas).alias("n", "tag"))
 
     def value(name: str) -> Column:
-        quoted = F.regexp_extract("tag", rf"(?is)[\s\"']{name}\s*=\s*\"([^\"]*)\"", 1)
-        single = F.regexp_extract("tag", rf"(?is)[\s\"']{name}\s*=\s*'([^']*)'", 1)
-        bare = F.regexp_extract("tag", rf"(?is)[\s\"']{name}\s*=\s*([^\s\"'>]+)", 1)
-        return F.coalesce(*[F.nullif(x, F.lit("")) for x in (quoted, single, bare)])
+        return F.nullif(nz(F.col("tag.attrs")[name]), F.lit(""))
 
     name = F.lower(norm_space(F.coalesce(*[value(a) for a in ("name", "property", "itemprop", "http-equiv")])))
-    df = df.select(key, "n", name.alias("name"), nz(value("content")).alias("value"))
-    return df.withColumn("value", norm_space(decode_entities("value"))).where("value <> '' AND name <> ''")
+    df = df.select(key, "n", name.alias("name"), norm_space(nz(value("content"))).alias("value"))
+    return df.where("value <> '' AND name <> ''")
 
 
 # Node types that describe an article.
 ARTICLE_TYPES = ["article", "scholarlyarticle", "creativework", "newsarticle"]
-_GRAPH_DEPTH = 3
 
 
-def _ld_nodes(docs: Column, depth: int = _GRAPH_DEPTH) -> Column:
-    """Objects of embedded data in reading order: lists and ``@graph`` members unfolded."""
-    empty = F.array().cast("array<string>")
+def _ld_nodes(docs: Column) -> Column:
+    """Objects of embedded data in reading order: lists and ``@graph`` members unfolded, at any depth.
 
-    def unfold(d: Column) -> Column:
-        listed = F.coalesce(F.from_json(d, "array<string>"), empty)
-        graph = F.get_json_object(d, "$['@graph']")
-        members = F.when(graph.startswith("["), F.coalesce(F.from_json(graph, "array<string>"), empty)).otherwise(empty)
-        if depth == 0:
-            return F.array(d)
-        return F.when(d.startswith("["), _ld_nodes(listed, depth - 1)).otherwise(
-            F.concat(F.array(d), _ld_nodes(members, depth - 1))
+    A step unfolds every open item by one level; a text cannot nest deeper than it has opening brackets.
+    """
+    texts = F.array().cast("array<string>")
+    items = "array<struct<text:string,done:boolean>>"
+
+    def open_items(found: Column) -> Column:
+        return F.transform(F.coalesce(found, texts), lambda t: F.struct(strip(nz(t)).alias("text"), F.lit(False).alias("done")))
+
+    def unfold(item: Column) -> Column:
+        t = item["text"]
+        graph = F.get_json_object(t, "$['@graph']")
+        members = F.when(graph.startswith("["), F.from_json(graph, "array<string>"))
+        own = F.array(F.struct(t.alias("text"), F.lit(True).alias("done")))
+        return (
+            F.when(item["done"], F.array(item))
+            .when(t.startswith("["), open_items(F.from_json(t, "array<string>")))
+            .otherwise(F.concat(own, open_items(members)))
         )
 
-    return F.flatten(F.transform(docs, lambda d: unfold(strip(nz(d)))))
+    def step(state: Column, _: Column) -> Column:
+        return F.flatten(F.transform(state, unfold)).cast(items)
+
+    def unfolded(doc: Column) -> Column:
+        levels = F.sequence(F.lit(0), F.length(doc) - F.length(F.replace(doc, F.lit("["), F.lit(""))) + 1)
+        return F.transform(F.aggregate(levels, open_items(F.array(doc)).cast(items), step), lambda x: x["text"])
+
+    return F.flatten(F.transform(docs, lambda d: unfolded(nz(d))))
 
 
 def json_ld_article(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -171,7 +182,8 @@ def json_ld_article(pages: DataFrame, key: str = "page_id", html: str = "html")
 
 
 def _xml_text(c: Column) -> Column:
-    return norm_space(F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]+>", " "))
+    bare = norm_space(F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]+>", " "))
+    return F.translate(bare, "\ue010\ue011", "<>")
 
 
 def _elements(xml: Column, tags: str) -> Column:
@@ -188,8 +200,16 @@ def _elements(xml: Column, tags: str) -> Column:
 
 
 def jats_metadata(docs: DataFrame, key: str = "url", xml: str = "xml") -> DataFrame:
-    """Article XML to titles, abstracts and references by language; undeclared languages are told by script."""
-    df = docs.select(key, decode_entities(F.regexp_replace(nz(xml), r"&lt;|&gt;", " ")).alias("__x"))
+    """Article XML to titles, abstracts and references by language; undeclared languages are told by script.
+
+    Escaped angle brackets are set aside while tags are read, and are characters of the text in the end. Text that is
+    not well-formed gives a row of empty fields with ``error`` set.
+    """
+    bare = F.regexp_replace(nz(xml), r"(?s)<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>", "")
+    broken = F.coalesce(F.from_xml(bare, "_corrupt_record string")["_corrupt_record"].isNotNull(), F.lit(False)) & (strip(bare) != "")
+    marked = F.regexp_replace(nz(xml), r"(?i)&(?:lt|#0*60|#x0*3c);", "\ue010")
+    marked = F.regexp_replace(marked, r"(?i)&(?:gt|#0*62|#x0*3e);", "\ue011")
+    df = docs.select(key, broken.alias("error"), decode_entities(F.when(broken, F.lit("")).otherwise(marked)).alias("__x"))
     x = F.col("__x")
     empty = F.struct(F.lit("").alias("en"), F.lit("").alias("ru"))
 
@@ -232,7 +252,7 @@ def jats_metadata(docs: DataFrame, key: str = "url", xml: str = "xml") -> DataFr
             of("ru").alias("ru"), of("en").alias("en"), F.coalesce(first(cites)["text"], _xml_text(r)).alias("any")
         )
 
-    df = df.select(key, titles.alias("t"), abstracts.alias("a"), F.transform(refs, one).alias("r"))
+    df = df.select(key, "error", titles.alias("t"), abstracts.alias("a"), F.transform(refs, one).alias("r"))
     ru = F.flatten(F.transform("r", lambda e: e["ru"]))
     en = F.flatten(F.transform("r", lambda e: e["en"]))
     anyway = F.filter(F.transform("r", lambda e: e["any"]), lambda t: t != "")
@@ -246,12 +266,13 @@ def jats_metadata(docs: DataFrame, key: str = "url", xml: str = "xml") -> DataFr
         ru.alias("references_ru"),
         en.alias("references_en"),
         anyway.alias("__any"),
+        "error",
     ).select(
         key, "title", "original_title", "abstract", "abstract_ru", "abstract_en",
         F.when(F.size("references_en") > 0, F.col("references_en"))
         .when(F.size("references_ru") > 0, F.col("references_ru"))
         .otherwise(F.col("__any")).alias("references"),
-        "references_ru", "references_en",
+        "references_ru", "references_en", "error",
     )
 
 

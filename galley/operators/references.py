@@ -26,7 +26,7 @@ from ..functions.text import (
     strip_invisible,
     word_count,
 )
-from ..plans.segments import decide, first_per_key, island_text, row_numbers, running, with_totals
+from ..plans.segments import first_per_key, island_text, row_numbers, running, with_totals
 
 _MARK = "\ue000"
 
@@ -53,12 +53,12 @@ def merge_doi_items(items: Column | str, mode: str = "wide") -> Column:
 
 
 def merge_doi_lines(
-    lines: DataFrame, mode: str = "wide", keys: Sequence[str] = ("doc_id",), bounded: bool | None = None
+    lines: DataFrame, mode: str = "wide", keys: Sequence[str] = ("doc_id",), bounded: bool = False
 ) -> DataFrame:
     """Table form: ``(keys, line_no, text)`` with the ordinal of the first line of each joined entry."""
     kept = lines.where(has_text("text")).withColumn("text", strip(nz("text")))
     start = F.when(is_address_line(F.col("text"), mode), 0).otherwise(1)
-    df = running(kept, keys, "line_no", sums={"__isl": start}, bounded=decide(lines, keys, bounded))
+    df = running(kept, keys, "line_no", sums={"__isl": start}, bounded=bounded)
     # A leading address line has no entry to join and stands alone with those that follow it.
     return (
         df.groupBy(*keys, "__isl")
@@ -68,13 +68,12 @@ def merge_doi_lines(
 
 
 def merge_doi_paragraphs(
-    blocks: DataFrame, keys: Sequence[str] = ("doc_id",), bounded: bool | None = None
+    blocks: DataFrame, keys: Sequence[str] = ("doc_id",), bounded: bool = False
 ) -> DataFrame:
     """Paragraph rows ``(keys, pos, html, adjacent)``: an address paragraph joins the adjacent one before it."""
     plain = strip(F.regexp_replace(nz("html"), r"<[^>]+>", ""))
     joins = is_address_line(plain, "narrow") & F.col("adjacent")
-    small = decide(blocks, keys, bounded)
-    df = running(blocks, keys, "pos", sums={"__isl": F.when(joins, 0).otherwise(1)}, bounded=small)
+    df = running(blocks, keys, "pos", sums={"__isl": F.when(joins, 0).otherwise(1)}, bounded=bounded)
     return (
         df.groupBy(*keys, "__isl")
         .agg(F.min("pos").alias("pos"), island_text("pos", "html").alias("html"))
@@ -86,7 +85,7 @@ def merge_doi_paragraphs(
 
 
 def assemble_references(
-    blocks: DataFrame, keys: Sequence[str] = ("doc_id",), ordinal: str = "pos", bounded: bool | None = None
+    blocks: DataFrame, keys: Sequence[str] = ("doc_id",), ordinal: str = "pos", bounded: bool = False
 ) -> DataFrame:
     """Blocks ``(keys, pos, block_type, text)`` to blocks with one row per reference inside the reference section.
 
@@ -94,7 +93,6 @@ def assemble_references(
     break the entry; outside the section nothing changes.
     """
     keys = list(keys)
-    small = decide(blocks, keys, bounded)
     df = blocks.withColumn("text", strip(nz("text")))
     df = df.withColumn("__m", P.marker_text("text"))
     m = F.col("__m")
@@ -103,24 +101,24 @@ def assemble_references(
     end = (m.isin(P.END_MARKERS) | P.any_of([m.startswith(p) for p in P.END_PREFIXES])) & ~header
     event = F.when(heading, F.lit("open")).when(end, F.lit("end"))
     df = df.withColumn("__header", header).withColumn("__event", event)
-    df = running(df, keys, ordinal, carries={"__state": F.col("__event")}, bounded=small)
+    df = running(df, keys, ordinal, carries={"__state": F.col("__event")}, bounded=bounded)
     # An end mark counts only inside a section; outside it is an ordinary line, which the carried state already says.
     inside = (F.coalesce(F.col("__state"), F.lit("end")) == "open") & F.col("__event").isNull()
     item = F.col("block_type") == "li"
     plain = inside & ~F.col("__header") & ~F.coalesce(item, F.lit(False))
     df = df.withColumn("__plain", plain)
-    df = running(df, keys, ordinal, lags={"__after_plain": F.col("__plain")}, bounded=small)
+    df = running(df, keys, ordinal, lags={"__after_plain": F.col("__plain")}, bounded=bounded)
     continues = F.col("__plain") & F.coalesce(F.col("__after_plain"), F.lit(False)) & ~F.col("text").rlike(
         P.U + P.BLOCK_NUMBERED
     )
-    df = running(df, keys, ordinal, sums={"__isl": F.when(continues, 0).otherwise(1)}, bounded=small)
+    df = running(df, keys, ordinal, sums={"__isl": F.when(continues, 0).otherwise(1)}, bounded=bounded)
     kept = df.where(~F.col("__header"))
     out = kept.groupBy(*keys, "__isl").agg(
         F.min(ordinal).alias(ordinal),
         F.min_by("block_type", ordinal).alias("block_type"),
         strip(island_text(ordinal, "text")).alias("text"),
     )
-    return row_numbers(out.drop("__isl"), keys, ordinal, "line_number", small)
+    return row_numbers(out.drop("__isl"), keys, ordinal, "line_number", bounded)
 
 
 # --- gluing pairs -----------------------------------------------------------------------------------------------
@@ -133,7 +131,7 @@ DOI_REST = r"\A[A-Z0-9][A-Z0-9\-./]+\z"
 
 
 def glue_pairs(
-    lines: DataFrame, keys: Sequence[str] = ("doc_id",), bounded: bool | None = None
+    lines: DataFrame, keys: Sequence[str] = ("doc_id",), bounded: bool = False
 ) -> DataFrame:
     """Joins a label with its link, a DOI with its rest, a cut address with its tail. Pairs never overlap.
 
@@ -141,9 +139,8 @@ def glue_pairs(
     the run decides.
     """
     keys = list(keys)
-    small = decide(lines, keys, bounded)
     df = lines.withColumn("text", norm_space("text"))
-    df = running(df, keys, "line_no", leads={"__next": F.col("text")}, sums={"__n": F.lit(1)}, bounded=small)
+    df = running(df, keys, "line_no", leads={"__next": F.col("text")}, sums={"__n": F.lit(1)}, bounded=bounded)
     cur, nxt = F.col("text"), nz("__next")
     label = cur.rlike(P.I + URL_LABEL) & nxt.rlike(P.I + URL_WHOLE)
     broken = cur.rlike(P.I + DOI_BROKEN) & nxt.rlike(r"(?i)" + DOI_REST)
@@ -157,10 +154,10 @@ def glue_pairs(
     df = df.withColumn("__kind", kind)
     eligible = F.col("__kind").isNotNull()
     # Position inside the run: rows since the last row that cannot start a pair.
-    df = running(df, keys, "line_no", carries={"__base": F.when(~eligible, F.col("__n"))}, bounded=small)
+    df = running(df, keys, "line_no", carries={"__base": F.when(~eligible, F.col("__n"))}, bounded=bounded)
     odd = ((F.col("__n") - F.coalesce(F.col("__base"), F.lit(0))) % 2) == 1
     df = df.withColumn("__takes", eligible & odd)
-    df = running(df, keys, "line_no", lags={"__taken": F.col("__takes")}, bounded=small)
+    df = running(df, keys, "line_no", lags={"__taken": F.col("__takes")}, bounded=bounded)
     joined = F.when(
         F.col("__takes"),
         norm_space(F.concat(cur, F.when(F.col("__kind") == "space", F.lit(" ")).otherwise(F.lit("")), nxt)),
@@ -172,32 +169,30 @@ def glue_pairs(
 
 
 def reference_block(
-    lines: DataFrame, keys: Sequence[str] = ("doc_id",), bounded: bool | None = None
+    lines: DataFrame, keys: Sequence[str] = ("doc_id",), bounded: bool = False
 ) -> DataFrame:
     """Lines between the first reference heading and the first end mark after it, whitespace normalized."""
     keys = list(keys)
     df = lines.where(has_text("text")).withColumn("text", norm_space("text"))
     head = F.col("text").rlike(P.I + P.REF_HEADER)
     df = df.withColumn("__h", F.when(head, 1).otherwise(0))
-    small = decide(lines, keys, bounded)
-    df = running(df, keys, "line_no", sums={"__open": F.col("__h")}, bounded=small)
+    df = running(df, keys, "line_no", sums={"__open": F.col("__h")}, bounded=bounded)
     # Only lines strictly after the first heading: it is the one row where the running count turns 1.
     after = (F.col("__open") >= 1) & ~((F.col("__open") == 1) & (F.col("__h") == 1))
     df = df.where(after).withColumn("__e", F.when(F.col("text").rlike(P.I + P.REF_END), 1).otherwise(0))
-    df = running(df, keys, "line_no", sums={"__closed": F.col("__e")}, bounded=small)
+    df = running(df, keys, "line_no", sums={"__closed": F.col("__e")}, bounded=bounded)
     return df.where("__closed = 0").select(*lines.columns)
 
 
 def filter_repeated_in_references(
-    lines: DataFrame, keys: Sequence[str] = ("doc_id",), bounded: bool | None = None
+    lines: DataFrame, keys: Sequence[str] = ("doc_id",), bounded: bool = False
 ) -> DataFrame:
     """Inside a block: repeated lines of eight characters or more that look like furniture go."""
     keys = list(keys)
-    small = decide(lines, keys, bounded)
-    df = with_totals(lines, keys, "line_no", {"__size": ("count", F.lit(1))}, bounded=small)
+    df = with_totals(lines, keys, "line_no", {"__size": ("count", F.lit(1))}, bounded=bounded)
     df = df.withColumn("__norm", F.lower(norm_space("text")))
     long = {"__freq": ("count", F.when(F.length("text") >= 8, F.lit(1)))}
-    df = with_totals(df, [*keys, "__norm"], "line_no", long, bounded=small)
+    df = with_totals(df, [*keys, "__norm"], "line_no", long, bounded=bounded)
     least = F.when(F.col("__size") >= 40, 3).otherwise(2)
     return df.where(~((F.col("__freq") >= least) & P.looks_like_furniture(F.col("text")))).select(*lines.columns)
 
@@ -210,7 +205,7 @@ def tidy_entry(c: Column) -> Column:
 
 
 def normalize_references(
-    lines: DataFrame, keys: Sequence[str] = ("doc_id",), parity: bool = False, bounded: bool | None = None
+    lines: DataFrame, keys: Sequence[str] = ("doc_id",), parity: bool = False, bounded: bool = False
 ) -> DataFrame:
     """Reference block of an extracted text to one row per entry: ``(keys, line_no, text)``.
 
@@ -218,16 +213,15 @@ def normalize_references(
     fragments over spaces, which loses text; by default both stay out.
     """
     keys = list(keys)
-    small = decide(lines, keys, bounded)
-    block = filter_repeated_in_references(reference_block(lines, keys, small), keys, small)
-    df = glue_pairs(block, keys, small)
+    block = filter_repeated_in_references(reference_block(lines, keys, bounded), keys, bounded)
+    df = glue_pairs(block, keys, bounded)
     if parity:
         df = df.withColumn("text", norm_space(fix_intra_word_breaks("text")))
     df = df.where("text <> ''").withColumn("__start", P.starts_entry("text"))
     if parity:
         df = df.where(~(P.looks_like_furniture(F.col("text")) & ~F.col("__start")))
         df = df.withColumn("text", fix_intra_word_breaks("text")).withColumn("__start", P.starts_entry("text"))
-    df = running(df, keys, "line_no", sums={"__isl": F.col("__start").cast("int")}, bounded=small).where("__isl > 0")
+    df = running(df, keys, "line_no", sums={"__isl": F.col("__start").cast("int")}, bounded=bounded).where("__isl > 0")
     out = df.groupBy(*keys, "__isl").agg(
         F.min("line_no").alias("line_no"), island_text("line_no", "text").alias("text")
     )
@@ -266,7 +260,7 @@ def estimate_reference_count(c: Column | str) -> Column:
 
 
 def fallback_references(
-    lines: DataFrame, keys: Sequence[str] = ("doc_id",), heading: str = "References", bounded: bool | None = None
+    lines: DataFrame, keys: Sequence[str] = ("doc_id",), heading: str = "References", bounded: bool = False
 ) -> DataFrame:
     """Entries of a bare reference text: the block rules first, else plain starts; then de-duplicated.
 
@@ -275,18 +269,17 @@ def fallback_references(
     """
     keys = list(keys)
     base = lines.where(has_text("text")).withColumn("text", strip(nz("text")))
-    small = decide(lines, keys, bounded)
     first = base.groupBy(*keys).agg((F.min("line_no") - 1).alias("line_no")).withColumn("text", F.lit(heading))
     headed = base.select(*keys, "line_no", "text").unionByName(first.select(*keys, "line_no", "text"))
-    strict = normalize_references(headed, keys, False, small)
+    strict = normalize_references(headed, keys, False, bounded)
     have = strict.select(*keys).distinct()
 
-    df = running(base, keys, "line_no", lags={"__prev": F.col("text")}, bounded=small)
+    df = running(base, keys, "line_no", lags={"__prev": F.col("text")}, bounded=bounded)
     address = F.col("text").rlike(r"(?iU)\A(?:doi\s*:|https?://|doi\.org/|10\.\d{4,9}/)")
     labelled = nz("__prev").rlike(r"(?iU)(?:doi\s*:|url\s*:)\s*\z")
     new = F.col("text").rlike(rf"(?U)\A{NUMBERED_START}") | F.col("text").rlike(rf"(?U)\A{SURNAME_YEAR}")
     df = df.withColumn("__new", (new & ~address & ~labelled).cast("int"))
-    df = running(df, keys, "line_no", sums={"__isl": F.col("__new")}, bounded=small)
+    df = running(df, keys, "line_no", sums={"__isl": F.col("__new")}, bounded=bounded)
     loose = (
         df.groupBy(*keys, "__isl")
         .agg(F.min("line_no").alias("line_no"), island_text("line_no", "text").alias("text"))
@@ -338,7 +331,7 @@ HEADER_STYLES = ["колонтитул", "рубрика"]
 
 
 def carry_sections(
-    paras: DataFrame, keys: Sequence[str] = ("doc_id",), ordinal: str = "line_no", bounded: bool | None = None
+    paras: DataFrame, keys: Sequence[str] = ("doc_id",), ordinal: str = "line_no", bounded: bool = False
 ) -> DataFrame:
     """Adds ``section`` and ``content`` to styled paragraphs ``(keys, line_no, style, text)``.
 
@@ -395,11 +388,10 @@ def carry_sections(
         .when(F.col("__author") | ~body | (m == ""), F.lit("-"))
     )
     df = df.withColumn("__event", event).withColumn("__stop_kw", F.col("__event").isNull() & ~listlike)
-    small = decide(paras, keys, bounded)
     spans = {"__ev": F.col("__event").isNotNull().cast("int")}
-    df = running(df, keys, ordinal, carries={"__open": F.col("__event")}, sums=spans, bounded=small)
+    df = running(df, keys, ordinal, carries={"__open": F.col("__event")}, sums=spans, bounded=bounded)
     # Inside one event span of a keyword section the first long line stops the rest of the span.
-    df = running(df, [*keys, "__ev"], ordinal, sums={"__stops": F.col("__stop_kw").cast("int")}, bounded=small)
+    df = running(df, [*keys, "__ev"], ordinal, sums={"__stops": F.col("__stop_kw").cast("int")}, bounded=bounded)
     state = F.when(F.col("__open").isin("keywords", "keywords_en") & (F.col("__stops") > 0), F.lit("-")).otherwise(
         F.col("__open")
     )
@@ -470,7 +462,7 @@ def reference_lines(c: Column | str) -> Column:
 
 
 # --- inline tokens, metadata lines, paragraphs ------------------------------------------------------------------
-# These follow a text left to right with a state that depends on what was emitted, so they run as small Arrow
+# These follow a text left to right with a state that depends on what was emitted, so they run as bounded Arrow
 # helpers on one text cell; Spark partitions the rows.
 
 _FLAGS = _re.IGNORECASE
@@ -589,14 +581,14 @@ def _continues(prev: str, cur: str) -> bool:
         return False
     if any(p.match(cur) for p in _SAME):
         return True
-    small, open_end = cur[:1].islower(), not prev.endswith((".", "!", "?", ":", ";"))
-    if small and len(cur.split()) <= 2:
+    bounded, open_end = cur[:1].islower(), not prev.endswith((".", "!", "?", ":", ";"))
+    if bounded and len(cur.split()) <= 2:
         return True
-    if open_end and (len(cur) < 40 or small):
+    if open_end and (len(cur) < 40 or bounded):
         return True
-    if prev.endswith((",", ":", ";")) and (len(cur) < 50 or small):
+    if prev.endswith((",", ":", ";")) and (len(cur) < 50 or bounded):
         return True
-    return prev.endswith(".") and small and len(cur) < 30
+    return prev.endswith(".") and bounded and len(cur) < 30
 
 
 def _begins(prev: str, cur: str, size: int) -> bool:

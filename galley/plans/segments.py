@@ -4,13 +4,13 @@ A window partitioned by a document sends all lines of that document to one task.
 bounded, as they are when their lines came out of one text cell, and it needs a single exchange. It is wrong when one
 key holds a large share of a table. So every helper takes ``bounded``:
 
-* ``True``: the caller knows every key is small (its rows came from one cell): plain windows.
-* ``False``: keys are cut into blocks of consecutive ordinals; the ordered work runs per (key, block), blocks roll up
+* ``True``: the caller knows that every key's rows came from one cell: plain windows.
+* ``False`` (default): keys are cut into blocks of consecutive ordinals; the ordered work runs per (key, block), blocks roll up
   to one summary row each, what crosses block borders is resolved on those few rows and joined back on (key, block).
   No window or join key covers more than ``BLOCK`` rows of the big table. The input is checkpointed first, so a chain
   of steps keeps a linear plan and survives lost executors.
 
-Jobs decide once with :func:`bounded_keys`, an aggregate that returns one number.
+Which one is the caller's knowledge of what the rows are, never a count of them.
 """
 
 from __future__ import annotations
@@ -23,28 +23,16 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 BLOCK = 1 << 16
-# A key up to this many rows is sorted in one task; the sort spills, so the bound is about time, not memory.
-BOUNDED_ROWS = 1 << 20
 _B = "__block"
 
 
-def bounded_keys(df: DataFrame, keys: Sequence[str], limit: int = BOUNDED_ROWS) -> bool:
-    """True when no key has more than ``limit`` rows. Counts with map-side combine; one number reaches the driver."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return top is None or top["n"] is None or top["n"] <= limit
-
-
-def decide(df: DataFrame, keys: Sequence[str], bounded: bool | None) -> bool:
-    return bounded_keys(df, keys) if bounded is None else bounded
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Input with fewer partitions than cores (one small file) over all cores; anything larger stays as it is read.
+    """A table of fewer files than cores, dealt over all cores; a layout step for tables of one row group, not a rule of any job.
 
     Work on text cells is bound by the processor, and a scan of many files already has a task per split.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _cut(df: DataFrame) -> DataFrame:

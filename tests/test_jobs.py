@@ -14,9 +14,8 @@ from galley.streaming import ingest as I
 
 @pytest.fixture
 def tiny_blocks(monkeypatch):
-    """Blocks of three rows and keys that never count as small: everything crosses block borders."""
+    """Blocks of three rows: everything crosses block borders."""
     monkeypatch.setattr(segments, "BLOCK", 3)
-    monkeypatch.setattr(segments, "BOUNDED_ROWS", 0)
 
 
 def lines_df(spark):
@@ -45,7 +44,7 @@ JOBS = [
 def test_blocked_equals_plain(spark, tiny_blocks, i):
     df = lines_df(spark)
     plain = sorted(map(str, JOBS[i](df, True).collect()))
-    blocked = sorted(map(str, JOBS[i](df, None).collect()))
+    blocked = sorted(map(str, JOBS[i](df, False).collect()))
     assert plain and plain == blocked
 
 
@@ -228,3 +227,21 @@ def test_anchor_moves_along_a_dense_run(spark, monkeypatch):
         monkeypatch.setattr(segments, "BOUNDED_ROWS", limit)
         got = Y.lines_from_words(w, 2.0, bounded=bounded).orderBy("line_top").collect()
         assert [(r["text"], r["line_top"]) for r in got] == want
+
+
+def test_page_probes(spark):
+    def pages(*html):
+        return spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+
+    metas = G.meta_tags(pages("""<meta name="a" content="a > b"><!-- <meta name='x' content="ghost"> --><meta property=og:t content=v>"""))
+    assert [(r["name"], r["value"]) for r in metas.orderBy("n").collect()] == [("a", "a > b"), ("og:t", "v")]
+    node = {"@type": "Article", "name": "z"}
+    for _ in range(6):
+        node = {"@graph": [{"@type": "WebSite"}, node]}
+    found = G.json_ld_article(pages(f'<script type="application/ld+json">{json.dumps([node])}</script>')).collect()
+    assert [json.loads(r["node"])["name"] for r in found] == ["z"]
+    assert G.with_nodes(pages("<div>Real<script>var a=1;</script></div>")).first()["nodes"][0]["text"] == "Real"
+    xml = [("u", '<article><article-title xml:lang="en">Alloys with x &lt; 0.5 &amp; y</article-title></article>'), ("v", "<article><article-title>T")]
+    got = {r["url"]: r for r in G.jats_metadata(spark.createDataFrame(xml, "url string, xml string")).collect()}
+    assert got["u"]["title"] == "Alloys with x < 0.5 & y" and not got["u"]["error"]
+    assert got["v"]["title"] == "" and got["v"]["error"]
