@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re as _re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from ..functions.text import (
@@ -24,6 +21,7 @@ from ..functions.text import (
     strip,
     strip_chars,
     strip_invisible,
+    upper_ratio,
     word_count,
 )
 from ..plans.segments import first_per_key, island_text, row_numbers, running, with_totals
@@ -462,227 +460,157 @@ def reference_lines(c: Column | str) -> Column:
 
 
 # --- inline tokens, metadata lines, paragraphs ------------------------------------------------------------------
-# These follow a text left to right with a state that depends on what was emitted, so they run as bounded Arrow
-# helpers on one text cell; Spark partitions the rows.
+# All of it is expressions on one text cell: a scan, no exchange.
 
-_FLAGS = _re.IGNORECASE
-_TOKENS = [(k, _re.compile(p, _FLAGS)) for k, p in (
-    ("email", P.EMAIL), ("url", P.URL), ("doi", P.DOI_LABEL), ("type", P.ARTICLE_TYPE))]
-_HEADS = [_re.compile(p.replace(r"\A", "^"), _FLAGS) for p in (P.ABSTRACT_HEAD, P.KEYWORDS_HEAD, P.CITATION_HEAD, P.REFERENCES_HEAD)]
+# What counts as a token inside a line, in order of preference at one place, and what opens a part.
+INLINE = {"url": P.URL, "email": P.EMAIL, "doi": P.DOI_LABEL, "type": P.ARTICLE_TYPE}
+PART_HEADS = [p.replace(r"\A", "^") for p in (P.ABSTRACT_HEAD, P.KEYWORDS_HEAD, P.CITATION_HEAD, P.REFERENCES_HEAD)]
+_ANY_TOKEN = P.I + "|".join(f"(?:{p})" for p in INLINE.values())
 
 
-def _token_spans(line: str) -> list[tuple[int, int, str, str]]:
-    found = sorted(
-        ((m.start(), -m.end(), m.group(0).strip(), kind) for kind, p in _TOKENS for m in p.finditer(line)),
-        key=lambda x: x[:2],
-    )
-    kept, reach = [], -1
-    for start, neg_end, text, kind in found:
-        if start >= reach:
-            kept.append((start, -neg_end, text, kind))
-            reach = -neg_end
-    return kept
-
-
-def _metadata_parts(line: str, depth: int = 0) -> list[str]:
-    line = line.strip()
-    if not line or depth > 10:
-        return [line] if line else []
-    for head in _HEADS:
-        hit = head.search(line)
-        if hit:
-            return _metadata_parts(line[: hit.start()], depth + 1) + [line[hit.start():].strip()]
-    parts, at = [], 0
-    for start, end, text, _ in _token_spans(line):
-        parts += [line[at:start].strip(), text]
-        at = end
-    return [p for p in [*parts, line[at:].strip()] if p]
-
-
-TOKEN_TYPE = T.ArrayType(
-    T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("text", T.StringType()).add("kind", T.StringType())
-)
-
-
-@F.pandas_udf(TOKEN_TYPE)
-def inline_tokens(s: pd.Series) -> pd.Series:
-    """Emails, URLs, DOIs and article-type labels with offsets; overlaps keep the earliest, then the longest."""
-    return s.map(lambda v: [dict(zip(("start", "end", "text", "kind"), t)) for t in _token_spans(v or "")])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_metadata_line(s: pd.Series) -> pd.Series:
-    """A line to its parts: before section heads, then around inline tokens."""
-    return s.map(lambda v: _metadata_parts(v or ""))
+def inline_tokens(c: Column | str) -> Column:
+    """Emails, URLs, DOIs and article-type labels: ``struct(start, end, text, kind)``, leftmost first, without overlaps.
 
+    The text between tokens gives their places: a token starts after all tokens and gaps before it.
+    """
 
-_SAME = [
-    _re.compile(p, f)
-    for p, f in (
-        # Lines that always continue a paragraph.
-        (r"\([^)]+\)\.?\s*\Z", _FLAGS),
-        (r"\s*\d+/\d+\.", 0),
-        (r"\s*\d{4}\.\s*[Ss]\.\s*\d+", 0),
-        (r"\s*[SsCcPp]+\.?\s*\d+(?:[–-]\d+)?\.?\s*\Z", _FLAGS),
-        (r"\s*\d+\s*[PpСс]+\.?\s*\Z", _FLAGS),
-        (r"\s*\d+[–-]\d+\.?\s*\Z", 0),
-        (r"\s*(?:Vol\.|Т\.|№)\s*\d+", _FLAGS),
-    )
-]
+    def tokens(s: Column) -> Column:
+        found = F.regexp_extract_all(s, F.lit(_ANY_TOKEN), F.lit(0))
+        gaps = F.split(s, _ANY_TOKEN, -1)
 
+        def one(t: Column, i: Column) -> Column:
+            def width(items: Column, n: Column) -> Column:
+                return F.aggregate(F.slice(items, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
 
-def _rx(pattern: str, flags: int = _FLAGS):
-    return _re.compile(pattern, flags)
+            start = width(gaps, i + 1) + width(found, i)
+            kind = F.coalesce(*[F.when(t.rlike(rf"{P.I}\A(?:{p})\z"), F.lit(k)) for k, p in INLINE.items()])
+            return F.struct(start.alias("start"), (start + F.length(t)).alias("end"), strip(t).alias("text"), kind.alias("kind"))
 
+        return F.transform(found, one)
 
-_HEADERISH = _rx("|".join((P.ANY_META, P.ARTICLE_TYPE, P.CITATION_HEAD, P.REFERENCES_HEAD, P.SECTION_HEADER.replace(r"\z", r"\Z"))))
-_STANDALONE = _rx("|".join((P.DOI_LABEL, P.EMAIL, P.URL, P.ARTICLE_TYPE)))
-_FRONT = _rx(P.EDITORIAL_DATE + r"|\A\*?\s*e-?mail\s*[:\-]?\s*")
-_AFFIL = _rx("|".join(P.AFFILIATION_STEMS))
-_ENTRY = [_rx(p, 0) for p in (P.RU_AUTHOR, P.EN_AUTHOR)]
-_DETAIL = _rx("|".join((P.YEAR, P.DOI_MENTION, P.VOLUME_MENTION, P.PAGES_MENTION)))
-_REF_HEAD, _REF_STOP, _NUMBERED = _rx(P.REF_HEADER), _rx(P.REF_END), _rx(P.REF_NUMBERED, 0)
-_INITIAL, _SURNAME = _rx(r"[A-ZА-ЯЁ]\.", 0), _rx(r"\b[A-ZА-ЯЁ][a-zа-яё-]{2,}\b", 0)
+    return let(nz(c), tokens)
 
 
-def _flat(s: str) -> str:
-    return " ".join(s.split())
+def split_metadata_line(c: Column | str) -> Column:
+    """A line to its parts: in front of section heads, and around the tokens of what stands before the first head."""
 
+    def around_tokens(s: Column) -> Column:
+        found = F.concat(F.regexp_extract_all(s, F.lit(_ANY_TOKEN), F.lit(0)), F.array(F.lit("")))
+        return F.flatten(F.zip_with(F.split(s, _ANY_TOKEN, -1), found, lambda gap, t: F.array(gap, t)))
 
-def _capitals(s: str) -> float:
-    letters = [c for c in s if c.isalpha()]
-    return sum(c.isupper() for c in letters) / len(letters) if letters else 0.0
+    def cut(state: Column, head: str) -> Column:
+        def by(x: Column) -> Column:
+            at = F.regexp_instr(x["left"], F.lit(P.I + head))
+            rest = F.concat(F.array(F.substr(x["left"], at, F.length(x["left"]))), x["tail"])
+            split = F.struct(strip(F.substr(x["left"], F.lit(1), at - 1)).alias("left"), rest.alias("tail"))
+            return F.when(at > 0, split).otherwise(x)
 
+        return let(state, by)
 
-def _header_like(s: str) -> bool:
-    s = s.strip()
-    return len(s) < 10 or bool(_HEADERISH.search(s)) or (len(s) >= 20 and _capitals(s) >= 0.7)
+    state = F.struct(strip(nz(c)).alias("left"), F.array().cast("array<string>").alias("tail"))
+    for head in PART_HEADS:
+        state = cut(state, head)
+    parts = let(state, lambda x: F.concat(around_tokens(x["left"]), x["tail"]))
+    return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
-def _caps_piece(s: str) -> bool:
-    return 8 <= len(s) <= 140 and not s.endswith((".", "!", "?", ";", ":")) and _capitals(s) >= 0.75
+# Lines that always continue a paragraph (at their start), with and without regard to case.
+CONTINUE_ANY_CASE = [r"\([^)]+\)\.?\s*\z", r"\s*[SsCcPp]+\.?\s*\d+(?:[–-]\d+)?\.?\s*\z", r"\s*\d+\s*[PpСс]+\.?\s*\z", r"\s*(?:Vol\.|Т\.|№)\s*\d+"]
+CONTINUE_AS_IS = [r"\s*\d+/\d+\.", r"\s*\d{4}\.\s*[Ss]\.\s*\d+", r"\s*\d+[–-]\d+\.?\s*\z"]
+# A line and the next that are one, joined by a blank or by nothing.
+JOINED_BY_BLANK = [(r"Ссылка", r"для\s+цитирования\s*:"), (r"URL\s*:", r"https?://")]
+JOINED_TIGHT = (r"\bDOI:\s*[0-9]+\.[0-9]+/\s*", r"[A-Z0-9\-]+")
 
 
-def _stands_alone(s: str) -> bool:
-    if _STANDALONE.search(s) or _FRONT.match(s):
-        return True
-    low = f" {s.lower()} "
-    initials, surnames = len(_INITIAL.findall(s)), len(_SURNAME.findall(s))
-    parted = any(x in low for x in (",", ";", " и ", " and "))
-    if surnames >= 2 and (initials >= 4 or (initials >= 2 and parted)):
-        return True
-    if not _AFFIL.search(s) or len(s.split()) > 28:
-        return False
-    return bool(_re.match(r"[\d*#,.\s]+", s)) or "," in s or not _rx(P.ANY_META).search(s)
+def _rejoined(text: Column) -> Column:
+    """Lines that an extractor cut in two, put together in the text itself."""
+    for head, tail in JOINED_BY_BLANK:
+        text = F.regexp_replace(text, rf"(?imuU)^(\h*{head})\h*\n\h*(?={tail})", "$1 ")
+    head, tail = JOINED_TIGHT
+    return F.regexp_replace(text, rf"(?mU)(?i:({head}))$\n\h*(?={tail}\h*$)", "$1")
 
 
-def _continues(prev: str, cur: str) -> bool:
-    if _header_like(cur):
-        return False
-    if any(p.match(cur) for p in _SAME):
-        return True
-    bounded, open_end = cur[:1].islower(), not prev.endswith((".", "!", "?", ":", ";"))
-    if bounded and len(cur.split()) <= 2:
-        return True
-    if open_end and (len(cur) < 40 or bounded):
-        return True
-    if prev.endswith((",", ":", ";")) and (len(cur) < 50 or bounded):
-        return True
-    return prev.endswith(".") and bounded and len(cur) < 30
+def _part_facts(part: Column) -> Column:
+    """What the rules ask of a part by itself, told once."""
+    s = norm_space(part)
+    ends = lambda *marks: P.any_of([F.endswith(part, F.lit(m)) for m in marks])
+    return F.struct(
+        part.alias("part"), s.alias("flat"), (s == "").alias("blank"),
+        s.rlike(P.I + P.REF_HEADER).alias("opens_list"), s.rlike(P.I + P.REF_END).alias("ends_list"),
+        P.is_reference_start(s).alias("entry"), P.is_front_matter(s).alias("alone"),
+        (ends("-") & (F.length(part) > 1)).alias("hyphen"),
+        (part.rlike(P.I + PART_HEADS[0]) | part.rlike(P.I + PART_HEADS[1])).alias("section"),
+        P.is_metadata_or_header(part).alias("header"),
+        part.rlike(r"\A\p{Lu}").alias("capital"), part.rlike(r"\A\p{Ll}").alias("small"),
+        (part.rlike(P.I + "|".join(rf"\A{p}" for p in CONTINUE_ANY_CASE)) | part.rlike(P.U + "|".join(rf"\A{p}" for p in CONTINUE_AS_IS))).alias("same"),
+        word_count(part).alias("words"), F.length(part).alias("size"),
+    )
 
 
-def _begins(prev: str, cur: str, size: int) -> bool:
-    capital = cur[:1].isupper()
-    return capital and (size > 500 or (size > 150 and len(cur) > 20 and prev.endswith((".", "!", "?"))))
+def _caps(s: Column) -> Column:
+    stop = P.any_of([F.endswith(s, F.lit(m)) for m in (".", "!", "?", ";", ":")])
+    return (F.length(s) >= 8) & (F.length(s) <= 140) & ~stop & (upper_ratio(s) >= 0.75)
 
 
-def _glued_lines(lines: list[str]) -> list[str]:
-    out, skip = [], False
-    for cur, nxt in zip(lines, [*lines[1:], ""]):
-        if skip:
-            skip = False
-            continue
-        spaced = (_re.fullmatch(r"Ссылка", cur, _FLAGS) and _re.match(r"для\s+цитирования\s*:", nxt, _FLAGS)) or (
-            _re.fullmatch(r"URL\s*:", cur, _FLAGS) and _re.match(r"https?://", nxt, _FLAGS)
-        )
-        tight = _re.search(r"\bDOI:\s*[0-9]+\.[0-9]+/\s*\Z", cur, _FLAGS) and _re.fullmatch(r"[A-Z0-9\-]+", nxt)
-        skip = bool(spaced or tight)
-        out.append(f"{cur} {nxt}" if spaced else f"{cur}{nxt}" if tight else cur)
-    return out
-
-
-class _Paragraphs:
-    """Left-to-right state of one text: what is emitted, what is open, whether inside the reference list."""
-
-    def __init__(self):
-        self.done, self.open, self.refs = [], [], False
-
-    def flush(self):
-        text = _flat(" ".join(self.open))
-        self.open = []
-        if text:
-            self.done.append(text)
-
-    def alone(self, part):
-        self.flush()
-        self.done.append(_flat(part))
-
-    def fresh(self, part):
-        self.flush()
-        self.open = [part]
-
-    def take(self, part):
-        s = _flat(part)
-        if _REF_HEAD.match(s):
-            self.alone(part)
-            self.refs = True
-            return
-        if self.refs and not _REF_STOP.match(s):
-            author = any(p.match(s) for p in _ENTRY) and _DETAIL.search(s)
-            if _NUMBERED.match(s) or author:
-                self.fresh(part)
-            else:
-                self.open.append(part)
-            return
-        if self.refs:
-            self.flush()
-            self.refs = False
-        if _stands_alone(s):
-            self.alone(part)
-        elif part.endswith("-") and len(part) > 1:
-            self.open.append(part[:-1].strip())
-        elif _HEADS[0].search(part) or _HEADS[1].search(part):
-            self.fresh(part)
-        elif not self.open:
-            self.open = [part]
-        elif _header_like(part):
-            self.flush()
-            if self.done and _caps_piece(self.done[-1]) and _caps_piece(s):
-                self.done[-1] = _flat(f"{self.done[-1]} {part}")
-            else:
-                self.open = [part]
-        elif not _begins(self.open[-1].rstrip(), part, len(_flat(" ".join(self.open)))) and _continues(self.open[-1].rstrip(), part):
-            self.open.append(part)
-        else:
-            self.fresh(part)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def paragraphs(s: pd.Series) -> pd.Series:
+def paragraphs(c: Column | str) -> Column:
     """Extracted text of a document, one line per row of type, to its paragraphs.
 
-    Blank lines end one; headings and front matter stand alone; a trailing hyphen is cut; the rest follows rules on
-    the previous line, the next one and the length so far.
+    A fold over the parts of the text: the state is what is done, the open paragraph, its last part, and whether the
+    reference list is open. Blank lines end a paragraph; headings and front matter stand alone; a trailing hyphen is
+    cut; the rest depends on the part before and the length so far.
     """
-
-    def one(text):
-        state = _Paragraphs()
-        for line in _glued_lines([x.strip() for x in (text or "").split("\n")]):
-            if not line:
-                state.flush()
-            for part in _metadata_parts(line):
-                state.take(part)
-        state.flush()
-        return state.done
-
-    return s.map(one)
+    none = F.array().cast("array<string>")
+    lines = F.split(_rejoined(nz(c)), "\n")
+    parts = F.flatten(F.transform(lines, lambda x: F.when(strip(x) == "", F.array(F.lit(""))).otherwise(split_metadata_line(x))))
+
+    def state(done: Column, open_: Column, last: Column, refs: Column) -> Column:
+        return F.struct(done.alias("done"), open_.alias("open"), last.alias("last"), refs.alias("refs"))
+
+    def closed(st: Column) -> Column:
+        return F.when(st["open"] == "", st["done"]).otherwise(F.concat(st["done"], F.array(st["open"])))
+
+    def step(was: Column, p: Column) -> Column:
+        part, no = p["part"], F.lit("")
+
+        def within(st: Column) -> Column:
+            prev, size = F.regexp_replace(st["last"], r"(?U)\s+\z", ""), F.length(st["open"])
+            done = closed(st)
+
+            def after(*marks: str) -> Column:
+                return P.any_of([F.endswith(prev, F.lit(m)) for m in marks])
+
+            def add(text: Column) -> Column:
+                return state(st["done"], norm_space(F.concat_ws(" ", st["open"], text)), text, st["refs"])
+
+            fresh = state(done, p["flat"], part, st["refs"])
+            alone = state(F.concat(done, F.array(p["flat"])), no, no, st["refs"])
+            listing = state(F.concat(done, F.array(p["flat"])), no, no, F.lit(True))
+            title = F.get(done, F.size(done) - 1)
+            two = (F.size(done) > 0) & _caps(title) & _caps(p["flat"])
+            joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(norm_space(F.concat_ws(" ", title, part))))
+            heading = F.when(two, state(joined, no, no, st["refs"])).otherwise(fresh)
+            begins = p["capital"] & ((size > 500) | ((size > 150) & (p["size"] > 20) & after(".", "!", "?")))
+            goes_on = p["same"] | (
+                (p["small"] & (p["words"] <= 2))
+                | (~after(".", "!", "?", ":", ";") & ((p["size"] < 40) | p["small"]))
+                | (after(",", ":", ";") & ((p["size"] < 50) | p["small"]))
+                | (after(".") & p["small"] & (p["size"] < 30))
+            )
+            return (
+                F.when(p["blank"], state(done, no, no, st["refs"]))
+                .when(p["opens_list"], listing)
+                .when(st["refs"], F.when(p["entry"], fresh).otherwise(add(part)))
+                .when(p["alone"], alone)
+                .when(p["hyphen"], add(strip(F.substr(part, F.lit(1), F.length(part) - 1))))
+                .when(p["section"] | (st["open"] == ""), fresh)
+                .when(p["header"], heading)
+                .when(~begins & goes_on, add(part))
+                .otherwise(fresh)
+            )
+
+        # The end of the list closes what is open before the part is looked at.
+        ended = was["refs"] & p["ends_list"] & ~p["opens_list"]
+        return let(F.when(ended, state(closed(was), no, no, F.lit(False))).otherwise(was), within)
+
+    start = state(none, F.lit(""), F.lit(""), F.lit(False))
+    return F.aggregate(F.transform(parts, _part_facts), start, step, closed)

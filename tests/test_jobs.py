@@ -217,14 +217,13 @@ def test_hot_key_is_not_collected(spark):
     assert out.count() == 100
 
 
-def test_anchor_moves_along_a_dense_run(spark, monkeypatch):
+def test_anchor_moves_along_a_dense_run(spark):
     """Tops closer than the tolerance to each other but not to the first: lines are cut at the moving anchor."""
     tops = [0.0, 1.5, 3.0, 4.5, 6.0, 6.5, 20.0]
     rows = [(1, 1, i, f"w{i}", float(i), i + 1.0, t, t + 1, 600.0, 800.0) for i, t in enumerate(tops)]
     w = spark.createDataFrame(rows, "doc_id bigint, page int, ord int, text string, x0 double, x1 double, top double, bottom double, page_width double, page_height double")
     want = [("w0 w1", 0.0), ("w2 w3", 3.0), ("w4 w5", 6.0), ("w6", 20.0)]
-    for limit, bounded in ((1 << 20, True), (0, None)):
-        monkeypatch.setattr(segments, "BOUNDED_ROWS", limit)
+    for bounded in (True, False):
         got = Y.lines_from_words(w, 2.0, bounded=bounded).orderBy("line_top").collect()
         assert [(r["text"], r["line_top"]) for r in got] == want
 
