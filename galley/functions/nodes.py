@@ -194,19 +194,22 @@ def heading_block(nodes: Column, headings: list[str], items: bool = False) -> Co
     return F.coalesce(*[for_phrase(p) for p in headings], F.lit(""))
 
 
-def meta_values(nodes: Column, *names: str) -> Column:
-    """Contents of the meta elements of the given names, blank ones dropped, in document order."""
-    wanted = [n.lower() for n in names]
+def meta_pairs(nodes: Column) -> Column:
+    """``struct(name, value)`` of the meta elements in document order, blank values dropped: told once for all lookups."""
 
-    def key(n: Column) -> Column:
-        return F.lower(
-            norm_space(F.coalesce(*[F.nullif(attr(n, a), F.lit("")) for a in ("name", "property", "itemprop", "http-equiv")]))
-        )
+    def pair(n: Column) -> Column:
+        names = [F.nullif(attr(n, a), F.lit("")) for a in ("name", "property", "itemprop", "http-equiv")]
+        return F.struct(F.lower(norm_space(F.coalesce(*names))).alias("name"), norm_space(attr(n, "content")).alias("value"))
+
+    return F.filter(F.transform(F.filter(nodes, lambda n: n["tag"] == "meta"), pair), lambda p: p["value"] != "")
 
-    found = F.filter(nodes, lambda n: (n["tag"] == "meta") & key(n).isin(wanted))
-    return F.filter(F.transform(found, lambda n: norm_space(attr(n, "content"))), lambda v: v != "")
+
+def meta_values(pairs: Column, *names: str) -> Column:
+    """Values of the given names in document order."""
+    wanted = [n.lower() for n in names]
+    return F.transform(F.filter(pairs, lambda p: p["name"].isin(wanted)), lambda p: p["value"])
 
 
-def meta_first(nodes: Column, *names: str) -> Column:
+def meta_first(pairs: Column, *names: str) -> Column:
     """First value, names in any order of the page."""
-    return nz(first(meta_values(nodes, *names)))
+    return nz(first(meta_values(pairs, *names)))

@@ -24,6 +24,7 @@ from ..functions.nodes import (
     heading_block,
     html_nodes,
     meta_first,
+    meta_pairs,
     meta_values,
     section_text as node_section,
     within,
@@ -162,8 +163,8 @@ def _ld_nodes(docs: Column) -> Column:
     return F.flatten(F.transform(docs, lambda d: unfolded(nz(d))))
 
 
-def json_ld_article(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """First embedded node that describes an article, as JSON text; pages without one are absent."""
+def embedded_article(html: Column | str) -> Column:
+    """First embedded node that describes an article, as JSON text; null without one."""
     scripts = F.regexp_extract_all(
         nz(html), F.lit(r"(?is)<script[^>]*type\s*=\s*[\"'][^\"'>]*ld\+json[^>]*>(.*?)</script>"), F.lit(1)
     )
@@ -174,8 +175,12 @@ def json_ld_article(pages: DataFrame, key: str = "page_id", html: str = "html")
         types = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
         return F.exists(F.coalesce(types, F.array().cast("array<string>")), lambda t: F.lower(norm_space(t)).isin(ARTICLE_TYPES))
 
-    node = first(F.filter(_ld_nodes(valid), lambda n: n.startswith("{") & is_article(n)))
-    return pages.select(key, F.explode(F.array_compact(F.array(node))).alias("node"))
+    return first(F.filter(_ld_nodes(valid), lambda n: n.startswith("{") & is_article(n)))
+
+
+def json_ld_article(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Pages with an embedded article: ``(key, node)``; pages without one are absent."""
+    return pages.select(key, F.explode(F.array_compact(F.array(embedded_article(html)))).alias("node"))
 
 
 # --- article XML ------------------------------------------------------------------------------------------------
@@ -476,11 +481,11 @@ def _by_class(nodes: Column, patterns: list[str], lang: str) -> Column:
     return F.coalesce(*[one(p) for p in patterns], F.lit(""))
 
 
-def page_authors(nodes: Column, article: Column) -> Column:
+def page_authors(metas: Column, article: Column) -> Column:
     """Authors of a page: names zipped with affiliations and ORCIDs by position, else the embedded article's."""
-    names = meta_values(nodes, "citation_author", "dc.creator", "author")
-    affs = meta_values(nodes, "citation_author_institution", "citation_author_affiliation")
-    orcids = meta_values(nodes, "citation_author_orcid")
+    names = meta_values(metas, "citation_author", "dc.creator", "author")
+    affs = meta_values(metas, "citation_author_institution", "citation_author_affiliation")
+    orcids = meta_values(metas, "citation_author_orcid")
 
     def person(name: Column, family: Column, given: Column, aff: Column, orcid: Column) -> Column:
         return F.struct(
@@ -525,9 +530,9 @@ def page_authors(nodes: Column, article: Column) -> Column:
 
 def page_metadata(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """Metadata of journal pages with the precedence of sources; the script decides which language a text is."""
-    data = json_ld_article(pages, key, html).withColumnRenamed("node", "ld")
-    df = with_nodes(pages.select(key, url, html), html).drop(html).join(data, key, "left")
-    n, ld = F.col("nodes"), F.col("ld")
+    df = with_nodes(pages.select(key, url, html, embedded_article(html).alias("ld")), html).drop(html)
+    df = df.withColumn("metas", meta_pairs(F.col("nodes")))
+    n, ld, m = F.col("nodes"), F.col("ld"), F.col("metas")
 
     def ld_text(name: str) -> Column:
         value = F.get_json_object(ld, f"$.{name}")
@@ -548,28 +553,28 @@ def page_metadata(pages: DataFrame, key: str = "page_id", html: str = "html", ur
     bib_head = F.lower(nz(first(children(n, bib, lambda x: x["tag"].isin("h1", "h2", "h3", "h4")))["text"]))
     en_page = F.lower(F.regexp_extract(nz(url), r"\?([^#]*)", 1)).contains("sl=en")
     raw_title = pick(
-        meta_first(n, "citation_title"), ld_text("headline"), ld_text("name"), meta_first(n, "og:title", "twitter:title", "dc.title"), tag_text("title"), tag_text("h1")
+        meta_first(m, "citation_title"), ld_text("headline"), ld_text("name"), meta_first(m, "og:title", "twitter:title", "dc.title"), tag_text("title"), tag_text("h1")
     )
     df = df.withColumns(
         {
             "raw_title": strip(F.regexp_replace(raw_title, r"(?U)\s*[|¦]\s*[^|¦]+\z", "")),
-            "raw_abstract": pick(meta_first(n, "citation_abstract", "description", "og:description", "dc.description"), ld_text("description")),
-            "title_en_html": pick(meta_first(n, "citation_title_en"), _by_class(n, TITLE_EN_CLASSES, "en")),
+            "raw_abstract": pick(meta_first(m, "citation_abstract", "description", "og:description", "dc.description"), ld_text("description")),
+            "title_en_html": pick(meta_first(m, "citation_title_en"), _by_class(n, TITLE_EN_CLASSES, "en")),
             "abs_ru": node_section(n, SITE_SECTIONS["abstract_ru"]),
             "abs_en": pick(node_section(n, SITE_SECTIONS["abstract_en"]), _by_class(n, ABSTRACT_EN_CLASSES, "en")),
-            "kw_meta": meta_first(n, "citation_keywords", "keywords", "news_keywords"),
+            "kw_meta": meta_first(m, "citation_keywords", "keywords", "news_keywords"),
             "kw_ru": node_section(n, SITE_SECTIONS["keywords_ru"]),
             "kw_en": node_section(n, SITE_SECTIONS["keywords_en"]),
             "bib": items,
             "bib_en": bib_head.contains("references") | en_page,
             "ref_ru": split_references(node_section(n, SITE_SECTIONS["references_ru"], "\n")),
             "ref_en": split_references(node_section(n, SITE_SECTIONS["references_en"], "\n")),
-            "ref_meta": meta_values(n, "citation_reference"),
-            "pages": parse_pages_meta(meta_first(n, "citation_firstpage"), meta_first(n, "citation_lastpage"), meta_first(n, "citation_pages")),
-            "doi": pick(meta_first(n, "citation_doi"), meta_first(n, "dc.identifier"), ld_text("identifier")),
-            "authors": page_authors(n, ld),
+            "ref_meta": meta_values(m, "citation_reference"),
+            "pages": parse_pages_meta(meta_first(m, "citation_firstpage"), meta_first(m, "citation_lastpage"), meta_first(m, "citation_pages")),
+            "doi": pick(meta_first(m, "citation_doi"), meta_first(m, "dc.identifier"), ld_text("identifier")),
+            "authors": page_authors(m, ld),
         }
-    ).drop("nodes", "ld")
+    ).drop("nodes", "ld", "metas")
     c = F.col
     df = df.withColumn("raw_abstract", strip_tags("raw_abstract")).withColumn(
         "doi", strip(F.regexp_replace("doi", r"(?iU)\A(?:doi:\s*|https?://doi\.org/)", ""))
