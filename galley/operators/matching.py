@@ -183,21 +183,28 @@ def locate_article(articles: DataFrame, lines: DataFrame, bounded: bool = False)
     surname = F.lower(norm_space("surname"))
     title = F.lower(norm_space("title"))
     who = articles.select("issue", "name", surname.alias("phrase")).where(F.length("phrase") >= 2)
-    # A surname is a whole word, so words are the join key; its first word stands for a compound one.
-    first_word = F.regexp_extract("phrase", r"(?U)\A\W*(\w+)", 1)
+    # A surname is a whole word, so words are the join key. Of a frequent word only the first line matters: the earliest
+    # place is found before anything is joined. A compound surname is met on its first word and looked up in the line.
     words = usable.select(
-        "issue", "line_no", "norm", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0)))).alias("__w")
+        "issue", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0)))).alias("__w")
     )
+    simple = F.col("phrase").rlike(r"(?U)\A\w+\z")
+    earliest = words.groupBy("issue", F.col("__w").alias("phrase")).agg(F.min("line_no").alias("line_no"))
+    by_word = who.where(simple).join(earliest, ["issue", "phrase"])
     padded = F.concat(F.lit(" "), F.regexp_replace("norm", r"(?U)[^\w]", " "), F.lit(" "))
     needle = F.concat(F.lit(" "), F.regexp_replace("phrase", r"(?U)[^\w]", " "), F.lit(" "))
-    by_author = (
-        who.withColumn("__w", first_word)
+    by_name = (
+        who.where(~simple)
+        .withColumn("__w", F.regexp_extract("phrase", r"(?U)\A\W*(\w+)", 1))
         .join(words, ["issue", "__w"])
+        .join(usable, ["issue", "line_no"])
         .where(F.col("norm").contains(F.col("phrase")) & padded.contains(needle))
-        .select("issue", "name", "line_no", F.lit(0).alias("rank"))
     )
+    author = ["issue", "name", "line_no", F.lit(0).alias("rank")]
+    by_author = by_word.select(*author).unionByName(by_name.select(*author))
     titles = articles.select("issue", "name", title.alias("phrase")).where("phrase <> ''")
-    equal = titles.join(usable.withColumnRenamed("norm", "phrase"), ["issue", "phrase"])
+    whole = usable.groupBy("issue", F.col("norm").alias("phrase")).agg(F.min("line_no").alias("line_no"))
+    equal = titles.join(whole, ["issue", "phrase"])
     tokens = usable.select("issue", "line_no", F.explode(F.array_distinct(F.split("norm", " "))).alias("__w"))
     first_words = F.array_join(F.slice(F.split("phrase", " "), 1, 5), " ")
     asked = titles.where(F.length("phrase") >= 10).withColumn("rank", F.lit(1))
