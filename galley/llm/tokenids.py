@@ -87,7 +87,7 @@ class Encoder:
         missing = list(set().union(*cut).difference(known)) if cut else []
         plain_text = [m[0] if isinstance(m, tuple) else m if m[:1] == "\n" else " " + m for m in missing]
         for piece, ids in zip(missing, self._pieces(plain_text)):
-            known[piece] = ids if self._regular(piece) else None
+            known[piece] = ids if piece.__class__ is str and piece.isalnum() or self._regular(piece) else None
         look = known.__getitem__
         out: list = []
         for pieces in cut:
