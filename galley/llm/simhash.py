@@ -9,6 +9,7 @@ the components are those of the full graph.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ SEED = 42
 TILE = 1024
 # Shingles whose bits are counted at once: a multiple of 255, so that byte counters cannot overflow.
 _AT_ONCE = 255 * 256
+# Texts that choose the order of shingles in prefixes, and how many shingles are put last. Results do not depend on them.
+ORDER_TEXTS, ORDER_COMMON = 5_000, 1 << 17
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
@@ -234,54 +237,62 @@ def bits_apart(similarity: float, bits: int, sigmas: float = 3.0) -> int:
     return int(bits * share + sigmas * (bits * share * (1 - share)) ** 0.5)
 
 
+def _near_sets(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted distinct hashes) have at least the given Jaccard similarity."""
+    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common)
+
+
+def _all_near(p: pa.Array, q: pa.Array, similarity: float) -> pa.Array:
+    both = zip(p, q)
+    return pa.array([_near_sets(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), similarity) for pair in both], pa.bool_())
+
+
 def _similar_links(sets: DataFrame, names: list[str], radius: int, similarity: float, tile: int) -> DataFrame:
-    """``comp, f0 .., shingles`` (binary) -> ``u0 .., v0 ..``: links within ``radius`` whose sets are similar enough.
+    """``comp, num, f0 .., shingles`` (binary) -> ``u, v`` (numbers): links within ``radius`` whose sets are similar enough.
 
     The same tiled comparison as :func:`links`, inside provisional components, where a pair also has to pass the exact
     comparison of its sorted shingle hashes.
     """
     sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     dealt = sets.join(sizes, "comp").withColumn("sub", F.pmod(F.xxhash64(*names), F.ceil(F.col("n") / tile)).cast("int"))
-    tiles = dealt.groupBy("comp", "sub").agg(F.collect_list(F.struct(*names, "shingles")).alias("own"))
+    tiles = dealt.groupBy("comp", "sub").agg(F.collect_list(F.struct("num", *names, "shingles")).alias("own"))
     tiles = saved(tiles, "set-tiles").df
     right = tiles.select("comp", F.col("sub").alias("j"), F.col("own").alias("other"))
     other = F.when(F.col("sub") < F.col("j"), F.col("other")).alias("other")
     pairs = tiles.join(right, "comp").where("sub <= j").select("own", other)
-    ends = [f"{e}{k}" for e in "uv" for k in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(cell: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
+        def side(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
             rows = cell.values
+            nums = rows.field("num").to_numpy(zero_copy_only=False)
             prints = np.stack([rows.field(n).to_numpy(zero_copy_only=False) for n in names], axis=1).view(np.uint64)
-            return prints, [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("shingles")]
+            return nums, prints, [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("shingles")]
 
         for batch in batches:
             found = []
             for row in range(batch.num_rows):
-                a, held = side(batch.column("own")[row])
+                nums, a, held = side(batch.column("own")[row])
                 b, cell = None, batch.column("other")[row]
                 if cell.is_valid:
-                    b, more = side(cell)
-                    held = held + more
+                    others, b, more = side(cell)
+                    nums, held = np.concatenate([nums, others]), held + more
 
                 def near(x: int, y: int) -> bool:
-                    p, q = held[x], held[y]
-                    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                        return False
-                    both = np.concatenate([p, q])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    return common >= similarity * (len(both) - common)
+                    return _near_sets(held[x], held[y], similarity)
 
                 got = _forest(a, b, radius, near)
                 if len(got):
-                    both = a if b is None else np.concatenate([a, b])
-                    found.append(np.concatenate([both[got[:, 0]], both[got[:, 1]]], axis=1))
+                    found.append(nums[got])
             if found:
-                cells = np.concatenate(found).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells.T.copy()], ends)
+                cells = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells.T.copy()], ["u", "v"])
 
-    return pairs.mapInArrow(run, ", ".join(f"{e} bigint" for e in ends))
+    return pairs.mapInArrow(run, "u bigint, v bigint")
 
 
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -294,6 +305,74 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select(*[c for c in texts.columns if c != "text"], sets.alias("shingles"))
 
 
+def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts hold, from about ``ORDER_TEXTS`` texts. They only choose an order."""
+    every = max(1, texts.count() // ORDER_TEXTS)
+    some = _shingle_sets(texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text"), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *cells]))], ["s"])
+
+    counts = some.mapInArrow(run, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    top = counts.orderBy(F.desc("n"), "s").limit(ORDER_COMMON).select("s").toArrow().column("s").to_numpy()
+    return np.sort(top.view(np.uint64))
+
+
+def _set_prints(docs: DataFrame, width: int, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """``doc_id, text`` -> ``doc_id, f0 .., shingles, set, prefix``: fingerprint and size of the shingle set, a 128-bit
+    name of it, and its first shingles.
+
+    All sets are in one order: shingles in ``common`` last, then by hash. Of ``n`` shingles the prefix has all but
+    ``ceil(similarity * n) - 1``, so two sets of that similarity share at least one shingle of their prefixes.
+    """
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Small batches: a prefix has about half the bytes of its text.
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            out, sizes, sets, first = np.zeros((words, batch.num_rows), np.uint64), [], [], []
+            for i, text in enumerate(batch.column("text")):
+                hashes = np.unique(shingle_hashes(text.as_py() or b"", width))
+                n = len(hashes)
+                for k in range(words):
+                    out[k, i] = majority_bits(_rehash(hashes, k))
+                sizes.append(n)
+                sets.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
+                last = np.zeros(n, bool)
+                if n and len(common):
+                    last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+                ordered = np.concatenate([hashes[~last], hashes[last]])
+                first.append(ordered[: n - math.ceil(similarity * n - 1e-6) + 1].view(np.int64))
+            cells = [pa.array(row.view(np.int64)) for row in out]
+            cells += [pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells], ["doc_id", *names, "shingles", "set", "prefix"])
+
+    fields = [T.StructField(n, T.LongType()) for n in [*names, "shingles"]]
+    fields += [T.StructField("set", T.StringType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    schema = T.StructType([docs.schema["doc_id"], *fields])
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def _prefix_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """``num, root, shingles, prefix`` -> ``u, v``: every pair of different roots whose sets can be similar enough.
+
+    A similar pair shares shingles of its prefixes. What two sets have in common is either in both prefixes, and counted
+    here, or behind the prefix that ends first; pairs that this bound rules out go. Rows of one shingle meet in an equi
+    join, which Spark splits when a shingle is hot.
+    """
+    sized = members.withColumns({"size": F.col("shingles").cast("int"), "rest": (F.col("shingles") - F.size("prefix")).cast("int")})
+    each = sized.select("num", "root", "size", "rest", F.explode("prefix").alias("shingle")).repartition(F.col("shingle"))
+    a, b = (each.select("shingle", *[F.col(c).alias(f"{c}_{e}") for c in ("num", "root", "size", "rest")]) for e in "ab")
+    sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity) - 1e-6
+    met = a.join(b, "shingle").where((F.col("num_a") < F.col("num_b")) & (F.col("root_a") != F.col("root_b")) & sizes)
+    needed = (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6 - F.greatest("rest_a", "rest_b")
+    shared = met.select(F.col("num_a").alias("u"), F.col("num_b").alias("v"), needed.alias("needed"))
+    shared = shared.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
+    return shared.where("n >= needed").select("u", "v")
+
+
 def distinct_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -307,41 +386,62 @@ def distinct_documents(
     """The rows of ``docs``, all columns, one of each group of near-duplicates: the least id (null last).
 
     Two documents are near when their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or
-    more. ``64 * words`` bits of SimHash over the sets find the candidates: the radius is the expected number of
-    differing bits at that similarity and three standard deviations; the sets themselves decide. A group is all that
-    near pairs connect. Sets of a size ratio below ``similarity`` cannot be near, so cells are a step of the size's
-    logarithm and a band of population counts. Texts without a word are duplicates of each other. Rows equal in all
-    columns are one row. An empty table stays empty.
+    more. A group is all that near pairs connect. Most of it is found by ``64 * words`` bits of SimHash over the sets:
+    pairs within the expected number of differing bits and three standard deviations, in cells of a step of the size's
+    logarithm and a band of population counts. Pairs that this misses share a shingle of their prefixes in one common
+    order, so a join of prefixes finds them all; only sets that are not connected yet are compared. The sets decide in
+    both steps. Texts without a word are duplicates of each other. Rows equal in all columns are one row. An empty
+    table stays empty.
     """
     names, radius = [f"f{k}" for k in range(words)], bits_apart(similarity, 64 * words)
     key, text = row_key(docs, id_col), F.col(f"`{text_col}`")
     keyed = docs.select(key.alias("doc_id"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    rows = saved(fingerprints(keyed.select("doc_id", "text"), width, words, distinct=True), "prints").df
-    # Equal fingerprints are one node whatever the set size; its cell is that of the smallest set.
+    texts = keyed.select("doc_id", "text")
+    prints = saved(_set_prints(texts, width, words, similarity, _common_shingles(texts, width)), "prints")
+    rows = prints.df
+    # Equal sets are one; the number is fixed by writing it.
+    sets = rows.withColumnRenamed("doc_id", "key").dropDuplicates(["set"])
+    distinct = saved(sets.withColumn("num", F.monotonically_increasing_id()), "sets")
+    sets = distinct.df
+    # Equal fingerprints meet the tiles once, in the cell of the smallest set.
     node = hex_of(names)
-    classes = rows.groupBy(*names).agg(F.min("shingles").alias("shingles"), F.min("doc_id").alias("key"))
+    classes = sets.groupBy(*names).agg(F.min("shingles").alias("shingles"), F.count(F.lit(1)).alias("n"))
     classes = saved(classes, "classes").df
     step = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1)).cast("double")) / float(-np.log(similarity)) + 1e-9)
     band = F.floor(sum((F.bit_count(n) for n in names), F.lit(0)) / (radius + 1))
     around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
-    def joined(found: DataFrame) -> DataFrame:
-        ends = found.select(*[hex_of([f"{e}{k}" for k in range(words)]).alias(e) for e in "uv"])
-        return components(ends).df
-
-    loose = joined(links(classes, names, radius, [step, band], around, tile))
-    open_ = classes.select(*names, "key", node.alias("u"))
-    inner = open_.join(loose, "u").select(*names, "key", F.col("v").alias("comp"))
-    tops = open_.join(loose.select(F.col("v").alias("u")).distinct(), "u").select(*names, "key", F.col("u").alias("comp"))
-    stands = saved(inner.union(tops), "candidates").df
-    # The texts of candidates only, one of each fingerprint.
-    texts = keyed.select(F.col("doc_id").alias("key"), "text").join(stands, "key")
-    sets = _shingle_sets(texts.select("comp", *names, "text"), width).dropDuplicates(names)
-    roots = joined(_similar_links(sets, names, radius, similarity, set_tile))
-
-    named = rows.select(F.col("doc_id").alias("key"), node.alias("u")).join(roots, "u", "left")
-    grouped = named.select("key", F.coalesce("v", "u").alias("root")).distinct()
+    found = links(classes, names, radius, [step, band], around, tile)
+    loose = components(found.select(*[hex_of([f"{e}{k}" for k in range(words)]).alias(e) for e in "uv"])).df
+    loose = loose.union(loose.select("v", "v").distinct()).toDF("u", "comp")
+    open_ = classes.select(*names, "n", node.alias("u")).join(loose, "u", "left").where("n > 1 or comp is not null")
+    stands = saved(open_.select(*names, F.coalesce("comp", "u").alias("comp")), "candidates").df
+    # The texts of candidates only, one of each set.
+    named = sets.select("key", "num", *names).join(stands, names).select("key", "num", "comp", *names)
+
+    def with_sets(some: DataFrame) -> DataFrame:
+        held = texts.withColumnRenamed("doc_id", "key").join(some, "key")
+        return _shingle_sets(held, width).drop("key").dropDuplicates(["num"])
+
+    close = saved(_similar_links(with_sets(named), names, radius, similarity, set_tile), "links").df
+    near = components(close).df
+    members = sets.join(near.select(F.col("u").alias("num"), F.col("v").alias("root")), "num", "left")
+    members = members.select("num", F.coalesce("root", "num").alias("root"), "shingles", "prefix").where("shingles > 0")
+    pairs = saved(_prefix_pairs(members, similarity), "pairs").df
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("num")).distinct()
+    held = saved(with_sets(sets.select("key", "num").join(ends, "num")), "pair-sets")
+    left, right = (held.df.select(F.col("num").alias(e), F.col("shingles").alias(f"set_{e}")) for e in "uv")
+    similar = F.arrow_udf(lambda p, q: _all_near(p, q, similarity), "boolean")(F.col("set_u"), F.col("set_v"))
+    missed = pairs.join(left, "u").join(right, "v").where(similar).select("u", "v")
+    roots = components(close.union(missed)).df
+
+    rooted = sets.select("set", "num").join(roots.select(F.col("u").alias("num"), "v"), "num", "left")
+    rooted = rooted.select("set", F.coalesce("v", "num").alias("root"))
+    grouped = rows.select(F.col("doc_id").alias("key"), "set").distinct().join(rooted, "set").select("key", "root")
     ids = keyed.groupBy(F.col("doc_id").alias("key"), "id").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("first")
     chosen = grouped.join(ids, "key").groupBy("root").agg(first).select("first.key", "first.n", F.lit(1).alias("copies"))
-    return taken_rows(docs, key, saved(chosen, "chosen").df)
+    chosen = saved(chosen, "chosen").df
+    for table in (prints, distinct, held):
+        table.drop()
+    return taken_rows(docs, key, chosen)

@@ -78,3 +78,22 @@ def test_long_majority():
     hashes = np.full(simhash._AT_ONCE + 300, 1, np.uint64)
     hashes[: len(hashes) // 2 + 1] = 2
     assert simhash.majority_bits(hashes) == 2
+
+
+def test_distinct_documents_keep_one_of_every_pair_at_the_threshold(spark):
+    """Planted pairs at a Jaccard similarity of exactly 0.8; a radius in SimHash bits alone loses some of the short ones."""
+    rows, kept = [], set()
+    for size, pairs in ((5, 400), (15, 120), (50, 40)):
+        # The longer text has a word (or words) more at its end, so its set holds that of the shorter one: 4 of 5, ...
+        for n in range(pairs):
+            words = [f"w{size}x{n}x{k}" for k in range(size + 4)]
+            shorter = words[: len(words) - size // 5]
+            kept.add(len(rows))
+            rows += [(len(rows), " ".join(shorter)), (len(rows) + 1, " ".join(words))]
+    # Just under the threshold: 3 of 4.
+    for n in range(20):
+        words = [f"v{n}x{k}" for k in range(8)]
+        kept |= {len(rows), len(rows) + 1}
+        rows += [(len(rows), " ".join(words[:7])), (len(rows) + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.distinct_documents(docs).collect()} == kept
