@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -496,8 +499,59 @@ def empty_payloads(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cands.where(filled), cands.where(~filled)
 
 
+def _unknown(value, kind: T.DataType):
+    """What the type has no place for: keys of objects, list items by position; null when there is nothing."""
+    if isinstance(kind, T.StructType) and isinstance(value, dict):
+        types = {f.name: f.dataType for f in kind.fields if f.name != "extras"}
+        rest = {k: _unknown(v, types[k]) if k in types else v for k, v in value.items()}
+        return {k: v for k, v in rest.items() if k not in types or v is not None} or None
+    if isinstance(kind, T.ArrayType) and isinstance(value, list):
+        items = [_unknown(v, kind.elementType) for v in value]
+        return items if any(i is not None for i in items) else None
+    return None
+
+
+def _with_unknown(known, rest):
+    """Puts what :func:`_unknown` found back; values that are there stay."""
+    if isinstance(known, dict) and isinstance(rest, dict):
+        return known | {k: _with_unknown(known[k], v) if k in known else v for k, v in rest.items()}
+    if isinstance(known, list) and isinstance(rest, list):
+        return [_with_unknown(k, rest[i]) if i < len(rest) else k for i, k in enumerate(known)]
+    return known
+
+
+def article_extras(c: Column | str) -> Column:
+    """The keys of a record that the fixed struct does not have, at any depth, as JSON text; null if there are none."""
+    kind = T._parse_datatype_string(ARTICLE_DDL)
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            try:
+                rest = _unknown(json.loads(text), kind)
+            except ValueError:
+                rest = None
+            out.append(None if rest is None else json.dumps(rest, ensure_ascii=False))
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(nz(c))
+
+
+def article_to_json(record: Column, extras: Column | str) -> Column:
+    """A record as JSON text with the keys of ``extras`` in their places; list items meet by position."""
+
+    def run(texts: pa.Array, more: pa.Array) -> pa.Array:
+        out = [
+            t if m is None else json.dumps(_with_unknown(json.loads(t), json.loads(m)), ensure_ascii=False)
+            for t, m in zip(texts.to_pylist(), more.to_pylist())
+        ]
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(F.to_json(record), F.col(extras) if isinstance(extras, str) else extras)
+
+
 def article_from_json(c: Column | str) -> Column:
-    """Record text to the fixed struct; null for text that is not an object."""
-    parsed = F.from_json(nz(c), ARTICLE_DDL)
+    """Record text to the fixed struct with other keys in ``extras``; null for text that is not an object."""
+    parsed = F.from_json(nz(c), ARTICLE_DDL).withField("extras", article_extras(c))
     return F.when(strip(nz(c)).startswith("{"), parsed)
 

@@ -1,4 +1,4 @@
-"""Fixed schemas of the records. Unknown keys of a source record travel in ``extras``."""
+"""Fixed schemas of the records. Unknown keys of a source record travel in ``extras``, as JSON text."""
 
 from __future__ import annotations
 
@@ -31,6 +31,7 @@ ARTICLE_FIELDS = {
     "article_url": "string",
     "pdf_url": "string",
     "processed": "boolean",
+    "extras": "string",
 }
 ARTICLE_DDL = ", ".join(f"`{k}` {v}" for k, v in ARTICLE_FIELDS.items())
 ARTICLE_KEYS = ["issue", "name"]

@@ -158,6 +158,30 @@ def test_scan_and_write(spark, archive, tmp_path):
     assert K.issue_structure_errors(whole).count() == 0
 
 
+def test_unknown_keys_make_a_round_trip(spark, tmp_path):
+    record = {
+        "pages": "5-9", "myExtra": {"a": [1, 2.5, None, "й"]}, "flag": True, "extras": "own", "codes": {"doi": "10.1/x", "isbn": "7"},
+        "authors": [{"num": "1"}, {"num": "2", "role": "ed", "individInfo": {"RUS": {"surname": "Ж", "rank": 3}}}],
+    }
+    folder = tmp_path / "in" / "1234-5678_2024_1" / "json"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text(json.dumps(record, ensure_ascii=False), encoding="utf-8")
+    (folder / "b.json").write_text('{"pages": "1"}', encoding="utf-8")
+    table = S.article_records(S.scan_articles(spark, str(tmp_path / "in")))
+    S.write_articles(table, str(tmp_path / "table"))
+    kept = spark.read.parquet(str(tmp_path / "table"))
+    assert {r["name"]: r["extras"] is None for r in kept.collect()} == {"a.json": False, "b.json": True}
+    forms = spark.createDataFrame([("1234-5678_2024_1", "a.json", "New")], "issue string, name string, title string")
+    S.write_articles(A.apply_form(kept, forms), str(tmp_path / "json"), "json")
+    back = {r["name"]: r for r in (json.loads(t.value) for t in spark.read.text(str(tmp_path / "json")).collect())}
+    assert back["a.json"]["artTitles"]["RUS"] == "New"
+    # The form fills the other codes with empty text.
+    assert back["a.json"]["codes"].items() >= record["codes"].items()
+    for key in ("myExtra", "flag", "extras", "authors"):
+        assert back["a.json"][key] == record[key]
+    assert "extras" not in back["b.json"]
+
+
 def test_lists(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Название,DOI\nA,10.1/x\n,\nB,\n", encoding="utf-8")
     assert [tuple(r) for r in S.scan_requests(spark, str(tmp_path / "r.csv")).collect()] == [("10.1/x", "A"), ("", "B")]
