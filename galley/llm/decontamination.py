@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import plain, saved
 
 RATE = 0.08
+# Shorter items are only found as they are, between word borders.
 SHORTEST = 24
 # Characters of items that one pass over the documents looks for; larger benchmarks take more passes.
 SLICE_CHARS = 2_000_000
@@ -33,6 +34,15 @@ def budget(size: int, rate: float = RATE) -> int:
     return int(size * rate)
 
 
+def at_borders(text: str, a: int, b: int) -> bool:
+    """Whether ``text[a:b]`` does not start or end inside a word."""
+
+    def inside(i: int) -> bool:
+        return 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+
+    return not inside(a) and not inside(b)
+
+
 def pieces(item: str, k: int) -> Iterator[tuple[int, str]]:
     """``k + 1`` consecutive pieces, as equal as can be, with their offsets."""
     for i in range(k + 1):
@@ -78,16 +88,16 @@ class Pattern:
 class Items:
     """Test items and the automaton of their pieces, built once per worker."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], rate: float):
-        self.rows, self.rate = rows, rate
+    def __init__(self, rows: list[tuple[int | None, str]], rate: float, shortest: int = SHORTEST):
+        self.rows, self.rate, self.shortest = rows, rate, shortest
         self.automaton = None
 
     def __getstate__(self):
-        return {"rows": self.rows, "rate": self.rate, "automaton": None}
+        return {"rows": self.rows, "rate": self.rate, "shortest": self.shortest, "automaton": None}
 
     def _build(self) -> None:
         self.texts = [t for _, t in self.rows]
-        self.budgets = [budget(len(t), self.rate) for t in self.texts]
+        self.budgets = [budget(len(t), self.rate) if len(t) >= self.shortest else 0 for t in self.texts]
         self.patterns: list[Pattern | None] = [None] * len(self.rows)
         places: dict[str, list[tuple[int, int]]] = {}
         for n, text in enumerate(self.texts):
@@ -104,8 +114,15 @@ class Items:
             self._build()
         text = normal(text)
         regions: dict[int, list[tuple[int, int]]] = {}
+        out = []
+        exact = set()
         for end, (size, where) in self.automaton.iter(text):
             for n, offset in where:
+                if size == len(self.texts[n]) < self.shortest:
+                    if n not in exact and at_borders(text, end - size + 1, end + 1):
+                        exact.add(n)
+                        out.append((self.rows[n][0], 0))
+                    continue
                 a = end - size + 1 - offset - self.budgets[n]
                 b = a + len(self.texts[n]) + 2 * self.budgets[n]
                 held = regions.setdefault(n, [])
@@ -114,7 +131,6 @@ class Items:
                     held[-1] = (min(a, held[-1][0]), max(b, held[-1][1]))
                 else:
                     held.append((a, b))
-        out = []
         for n, held in sorted(regions.items()):
             if self.patterns[n] is None:
                 self.patterns[n] = Pattern(self.texts[n])
@@ -125,23 +141,34 @@ class Items:
         return out
 
 
-def load_items(benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, slice_chars: int = SLICE_CHARS) -> list[Items]:
-    """``item_id, text`` -> the items in slices of at most about ``slice_chars`` characters, each small enough to send.
+def item_slices(
+    benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, slice_chars: int = SLICE_CHARS
+) -> Iterator[tuple[Items, bool]]:
+    """``item_id, text`` -> the items, and whether there are more slices than one, in slices of at most about ``slice_chars`` characters, each small enough to send.
 
-    Null texts, and items of fewer than ``shortest`` characters when normalised, are no evidence and are left out.
+    Items that are equal when normalised are one before they are sliced, and the driver holds one slice at a time. Null
+    texts and those without a word are no evidence and are left out. Items of fewer than ``shortest`` characters are
+    looked for without edits.
     """
-    table = saved(benchmark.select("item_id", "text").where("text is not null"), "items")
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([normal(t.as_py()) for t in texts], pa.string())
+
+    items = benchmark.where("text is not null").select("item_id", F.arrow_udf(run, "string")(F.col("text")).alias("text"))
+    table = saved(items.distinct().where("text != ''"), "items")
     total = table.df.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // slice_chars))
-    out = []
     for k in range(n):
         part = table.df.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        rows = sorted({(r.item_id, normal(r.text)) for r in part}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        rows = [r for r in rows if len(r[1]) >= shortest]
+        rows = sorted({(r.item_id, r.text) for r in part}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         if rows:
-            out.append(Items(rows, rate))
+            yield Items(rows, rate, shortest), n > 1
     table.drop()
-    return out
+
+
+def load_items(benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, slice_chars: int = SLICE_CHARS) -> list[Items]:
+    """All slices of :func:`item_slices` at once."""
+    return [items for items, _ in item_slices(benchmark, rate, shortest, slice_chars)]
 
 
 def matched(items: Items, text: Column) -> Column:
@@ -164,8 +191,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     and two items of one id give a row each. Other columns are ignored.
     """
     texts = plain(docs, doc_id=id_col, text=text_col)
-    slices = load_items(benchmark, rate)
-    found = [texts.select("doc_id", F.explode(matched(s, F.col("text"))).alias("m")) for s in slices]
+    found = []
+    for items, several in item_slices(benchmark, rate):
+        part = texts.select("doc_id", F.explode(matched(items, F.col("text"))).alias("m"))
+        # Written, a slice is no longer part of the plan that the driver holds.
+        found.append(saved(part, "leaks").df if several else part)
     if not found:
         return texts.limit(0).selectExpr("doc_id", "cast(null as bigint) item_id", "cast(null as int) distance")
     return reduce(DataFrame.union, found).select("doc_id", "m.item_id", "m.distance")
@@ -173,7 +203,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of ``docs``, all columns, in which no passage of the benchmark is found."""
-    for items in load_items(benchmark, rate):
+    for items, several in item_slices(benchmark, rate):
         found = docs.withColumn("__leaks", matched(items, F.col(f"`{text_col}`")))
         docs = found.where(F.size("__leaks") == 0).drop("__leaks")
+        if several:
+            docs = saved(docs, "unleaked").df
     return docs

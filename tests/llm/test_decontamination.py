@@ -80,3 +80,20 @@ def test_slices_find_the_same(spark):
     parts = D.load_items(bench, slice_chars=2000)
     assert len(whole) == 1 < len(parts) and sum(len(p.rows) for p in parts) == len(whole[0].rows)
     assert D.leaks(docs, bench).count() > 0
+
+
+def test_short_items_are_found_between_word_borders(spark):
+    docs = spark.createDataFrame(
+        [(1, "What is  2 + 2? I ask"), (2, "somewhat is 2 + 2?"), (3, "a category"), (4, "The CAT!"), (5, "cats; cat"), (6, "what is 2 + 3?")],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(1, "what is 2 + 2?"), (2, "Cat"), (3, " "), (2, "cat")], "item_id long, text string")
+    assert Counter(map(tuple, D.leaks(docs, bench).collect())) == Counter({(1, 1, 0): 1, (4, 2, 0): 1, (5, 2, 0): 1})
+    assert {r.doc_id for r in D.without_leaks(docs, bench).collect()} == {2, 3, 6}
+
+
+def test_copies_of_an_item_are_one_before_slices_are_cut(spark):
+    text = "the same item of the benchmark over and over"
+    bench = spark.createDataFrame([(1, text.upper() if i % 2 else text) for i in range(200)], "item_id long, text string")
+    slices = list(D.item_slices(bench, slice_chars=100))
+    assert len(slices) == 1 and slices[0][0].rows == [(1, text)] and not slices[0][1]
