@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, kdtree, langid, licenses, mixing, quality, sharding, simhash, suffixes, tokenids, urlfilters, whitening
+from . import decontamination, kdtree, langid, licenses, mixing, negatives, quality, sharding, simhash, suffixes, tokenids, urlfilters, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,11 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=negatives.tampered())
+
+
+ORACLES["op13_hard_negatives"] = negatives.ORACLE
