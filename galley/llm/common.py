@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -25,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def give_back() -> None:
+    """At the end of a Python task: memory that it has freed goes back to the system, since workers live on idle."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @dataclass
 class Saved:
     """A table written to the shared folder: its lineage is a file scan, so a lost executor costs one split."""
@@ -75,11 +88,13 @@ def taken_rows(df: DataFrame, key: Column, chosen: DataFrame) -> DataFrame:
 
     ``n`` rows of one key repeat each other in all columns and stand as one. Rows move once, to meet their decision.
     """
-    names = [F.col(f"`{c}`") for c in df.columns]
-    small = chosen.select(F.col("key").alias("__k"), F.col("n").alias("__n"), F.col("copies").cast("int").alias("__copies"))
-    met = df.withColumn("__key", key).join(small, F.col("__key") == F.col("__k"))
-    once = met.where("__n = 1").select(*names, "__copies")
+    # The row travels as one column, so that no name of it meets one of ours.
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("key"))
+    small = chosen.select(F.col("key").alias("k"), "n", F.col("copies").cast("int").alias("copies"))
+    met = row.join(small, F.col("key") == F.col("k"))
+    once = met.where("n = 1").select("row", "copies")
     if not chosen.where("n > 1").isEmpty():
         # One of the repeated rows stands for all, found by an aggregate that combines before it moves.
-        once = once.union(met.where("__n > 1").groupBy(*names, "__copies").agg(F.lit(1)).select(*names, "__copies"))
-    return once.withColumn("__again", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)
+        once = once.union(met.where("n > 1").groupBy("row", "copies").agg(F.lit(1)).select("row", "copies"))
+    again = once.select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    return again.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -15,11 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, saved
+from .common import give_back, plain, saved
 
 RATE = 0.08
-# Shorter items are only found as they are, between word borders.
-SHORTEST = 24
 # Characters of items that one pass over the documents looks for; larger benchmarks take more passes.
 SLICE_CHARS = 2_000_000
 
@@ -88,16 +86,16 @@ class Pattern:
 class Items:
     """Test items and the automaton of their pieces, built once per worker."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], rate: float, shortest: int = SHORTEST):
-        self.rows, self.rate, self.shortest = rows, rate, shortest
+    def __init__(self, rows: list[tuple[int | None, str]], rate: float):
+        self.rows, self.rate = rows, rate
         self.automaton = None
 
     def __getstate__(self):
-        return {"rows": self.rows, "rate": self.rate, "shortest": self.shortest, "automaton": None}
+        return {"rows": self.rows, "rate": self.rate, "automaton": None}
 
     def _build(self) -> None:
         self.texts = [t for _, t in self.rows]
-        self.budgets = [budget(len(t), self.rate) if len(t) >= self.shortest else 0 for t in self.texts]
+        self.budgets = [budget(len(t), self.rate) for t in self.texts]
         self.patterns: list[Pattern | None] = [None] * len(self.rows)
         places: dict[str, list[tuple[int, int]]] = {}
         for n, text in enumerate(self.texts):
@@ -118,7 +116,7 @@ class Items:
         exact = set()
         for end, (size, where) in self.automaton.iter(text):
             for n, offset in where:
-                if size == len(self.texts[n]) < self.shortest:
+                if not self.budgets[n]:
                     if n not in exact and at_borders(text, end - size + 1, end + 1):
                         exact.add(n)
                         out.append((self.rows[n][0], 0))
@@ -142,13 +140,12 @@ class Items:
 
 
 def item_slices(
-    benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, slice_chars: int = SLICE_CHARS
+    benchmark: DataFrame, rate: float = RATE, slice_chars: int = SLICE_CHARS
 ) -> Iterator[tuple[Items, bool]]:
     """``item_id, text`` -> the items, and whether there are more slices than one, in slices of at most about ``slice_chars`` characters, each small enough to send.
 
     Items that are equal when normalised are one before they are sliced, and the driver holds one slice at a time. Null
-    texts and those without a word are no evidence and are left out. Items of fewer than ``shortest`` characters are
-    looked for without edits.
+    texts and those without a word are no evidence and are left out.
     """
 
     def run(texts: pa.Array) -> pa.Array:
@@ -162,13 +159,13 @@ def item_slices(
         part = table.df.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         rows = sorted({(r.item_id, r.text) for r in part}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         if rows:
-            yield Items(rows, rate, shortest), n > 1
+            yield Items(rows, rate), n > 1
     table.drop()
 
 
-def load_items(benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, slice_chars: int = SLICE_CHARS) -> list[Items]:
+def load_items(benchmark: DataFrame, rate: float = RATE, slice_chars: int = SLICE_CHARS) -> list[Items]:
     """All slices of :func:`item_slices` at once."""
-    return [items for items, _ in item_slices(benchmark, rate, shortest, slice_chars)]
+    return [items for items, _ in item_slices(benchmark, rate, slice_chars)]
 
 
 def matched(items: Items, text: Column) -> Column:
@@ -178,6 +175,7 @@ def matched(items: Items, text: Column) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         rows = [held.matches(t.as_py() or "") for t in texts]
+        give_back()
         return pa.array([[{"item_id": i, "distance": d} for i, d in r] for r in rows], kind)
 
     return F.arrow_udf(run, "array<struct<item_id:bigint,distance:int>>").asNondeterministic()(text)
@@ -186,9 +184,10 @@ def matched(items: Items, text: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """``doc_id, item_id, distance``: every document and item of which it holds a passage within ``rate`` edits a character.
 
-    Case and the width of white space do not count. Documents without a match give no row; null and empty texts never
-    match. Rows of the document table that repeat give their rows again; rows of the benchmark that repeat count once,
-    and two items of one id give a row each. Other columns are ignored.
+    Case and the width of white space do not count. An item too short for an edit (under 13 characters at 8 %) is found
+    as it is, between word borders. Documents without a match give no row; null and empty texts never match, very
+    long ones are searched whole. Rows of the document table that repeat give their rows again; rows of the benchmark that
+    repeat count once, and two items of one id give a row each. Other columns are ignored.
     """
     texts = plain(docs, doc_id=id_col, text=text_col)
     found = []
@@ -202,10 +201,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no passage of the benchmark is found."""
+    """The rows of ``docs``, all columns, in which no passage of the benchmark is found.
+
+    Null and empty texts stay, repeated rows stay or go together, and very long texts are searched whole. Without items
+    all rows stay. Columns may have any names.
+    """
     for items, several in item_slices(benchmark, rate):
-        found = docs.withColumn("__leaks", matched(items, F.col(f"`{text_col}`")))
-        docs = found.where(F.size("__leaks") == 0).drop("__leaks")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        found = docs.select(row.alias("row"), matched(items, F.col(f"`{text_col}`")).alias("leaks")).where(F.size("leaks") == 0)
+        docs = found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
         if several:
             docs = saved(docs, "unleaked").df
     return docs

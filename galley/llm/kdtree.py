@@ -1,9 +1,10 @@
 """Exact top-k by inner product: a KD-tree per shard, best-first traversal, k-th scores passed on.
 
-Vectors are dealt over shards of bounded size by a hash of their id. A shard's tree splits at medians of the widest
+Vectors are dealt over shards of bounded size by a hash of their row. A shard's tree splits at medians of the widest
 dimension down to small leaves; every node has the tight box of its vectors. For a query, a box bounds the inner product
 from above; nodes are visited in order of their bounds until none can reach the k-th best score. Every query first meets
-one shard, and the k-th score found there is where its search of all shards starts. Queries meet shards in blocks.
+its own shard, and the k-th score found there is where its search of all shards starts. A task builds the tree of a shard
+once and takes all queries through it; queries are broadcast in rounds of bounded size, shards stay where they are.
 """
 
 from __future__ import annotations
@@ -16,20 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain, saved
+from .common import give_back, saved
+from .vectors import LONG, as_longs, by_score, in_rounds, inner, largest, packed, quantized, unpacked
 
 # Numbers in a shard: 8,192 vectors of 64 components, or fewer longer ones.
 SHARD = 1 << 19
 LEAF = 256
-QUERY_BLOCK = 1024
-# Components beyond this would overflow 64-bit scores of a few thousand dimensions.
-LARGEST = 1 << 25
 
 
 class Tree:
     """KD-tree over the rows of an integer matrix, with tight boxes."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF, nos: np.ndarray | None = None):
+        nos = ids if nos is None else nos
+        self.most = largest(points)
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
         self.children: list[tuple[int, int] | None] = []
@@ -53,14 +54,14 @@ class Tree:
                 order[a:b] = order[a:b][np.argpartition(part[:, spread.argmax()], middle)]
                 self.children[me] = (-1, -1)
                 stack += [(a, a + middle, me, 0), (a + middle, b, me, 1)]
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.nos, self.points = ids[order], nos[order], points[order]
         self.low_, self.high_ = np.array(self.low), np.array(self.high)
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """``(score, id)`` of the k best other than ``own``, ties to the smaller id; none below ``floor``."""
+    def search(self, query: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int, int]]:
+        """``(score, id, row)`` of the k best other than the row ``own``, ties to the smaller id; none below ``floor``."""
         # The largest inner product with any point of each box.
-        bounds = np.where(query > 0, query, 0) @ self.high_.T + np.where(query < 0, query, 0) @ self.low_.T
-        best: list[tuple[int, int]] = []
+        bounds = inner(self.high_, np.maximum(query, 0), self.most) + inner(self.low_, np.minimum(query, 0), self.most)
+        best: list[tuple[int, int, int]] = []
         heap = [(-int(bounds[0]), 0)]
         while heap:
             bound, node = heapq.heappop(heap)
@@ -69,67 +70,79 @@ class Tree:
                 break
             if self.children[node] is None:
                 a, b = self.rows[node]
-                scores = self.points[a:b] @ query
+                scores = inner(self.points[a:b], query, self.most)
                 at = np.flatnonzero(scores >= kth) if kth is not None else np.arange(b - a)
-                for s, i in zip(scores[at].tolist(), self.ids[a:b][at].tolist()):
-                    if i != own:
+                for s, i, n in zip(scores[at].tolist(), self.ids[a:b][at].tolist(), self.nos[a:b][at].tolist()):
+                    if n != own:
                         if len(best) < k:
-                            heapq.heappush(best, (s, -i))
-                        elif (s, -i) > best[0]:
-                            heapq.heapreplace(best, (s, -i))
+                            heapq.heappush(best, (s, -i, -n))
+                        elif (s, -i, -n) > best[0]:
+                            heapq.heapreplace(best, (s, -i, -n))
             else:
                 for child in self.children[node]:
                     if kth is None or bounds[child] >= kth:
                         heapq.heappush(heap, (-int(bounds[child]), child))
-        return [(s, -i) for s, i in best]
+        return [(s, -i, -n) for s, i, n in best]
 
 
-def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``vec_id, v, dims``: floor(scale * x) per component; vectors that cannot take part are left out."""
-    x = F.transform("e", lambda c: F.floor(c.cast("double") * F.lit(float(scale))))
-    sound = F.forall("e", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c.cast("double") * F.lit(float(scale))) < LARGEST), F.lit(False)))
-    rows = plain(vectors, vec_id=id_col, e=vector_col).where("vec_id is not null and e is not null").where(sound)
-    return rows.select("vec_id", x.cast("array<bigint>").alias("v"), F.size("e").alias("dims"))
+FOUND = "no bigint, score bigint, vec_id bigint, found bigint"
 
 
-def _matrix(cell: pa.Scalar, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a packed shard or block; a repeated id counts once, with its least vector."""
-    rows = cell.values
-    ids = rows.field("vec_id").to_numpy()
-    flat = rows.field("v").flatten().to_numpy() if dims else np.empty(0, np.int64)
-    points = flat.reshape(len(ids), dims)
-    order = np.lexsort([*points.T[::-1], ids])
-    ids, points = ids[order], points[order]
-    first = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, bool)
-    return ids[first], points[first]
+def _found(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    nos, scores, ids, found = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(nos), as_longs(scores), pa.array(ids), pa.array(found)], ["no", "score", "vec_id", "found"])
 
 
-def _searched(pairs: DataFrame, k: int, leaf: int) -> DataFrame:
-    """``dims, shard, points, queries, floors`` (one row per shard and block) -> ``query_id, dims, vec_id, score``."""
+def _tree(batch: pa.RecordBatch, row: int, leaf: int) -> tuple[int, Tree]:
+    dims = batch.column("dims")[row].as_py()
+    rows, points = unpacked(batch.column("rows")[row], dims)
+    ids, nos = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "no"))
+    return dims, Tree(ids, points, leaf, nos)
+
+
+def _own_shard(shards: DataFrame, every: int, k: int, leaf: int) -> DataFrame:
+    """What every query finds in the shard that it lies in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                dims = batch.column("dims")[row].as_py()
-                name = (dims, batch.column("shard")[row].as_py())
-                if name != last:
-                    last, tree = name, Tree(*_matrix(batch.column("points")[row], dims), leaf)
-                ids, queries = _matrix(batch.column("queries")[row], dims)
-                floors = dict(batch.column("floors")[row].as_py() or [])
+                _, tree = _tree(batch, row, leaf)
+                out = []
+                for at in np.flatnonzero(tree.ids % every == 0).tolist():
+                    no = int(tree.nos[at])
+                    out += [(no, *hit) for hit in tree.search(tree.points[at], no, k, None)]
+                if out:
+                    yield _found(out)
+        give_back()
+
+    return shards.mapInArrow(run, FOUND)
+
+
+def _searched(shards: DataFrame, asked: DataFrame, k: int, leaf: int) -> DataFrame:
+    """``asked`` (``no, dims, v, floor``) in all shards, none below ``floor``."""
+
+    def search(batches: Iterator[pa.RecordBatch], queries: pa.Table) -> Iterator[pa.RecordBatch]:
+        by_dims: dict[int, list] = {}
+        for no, dims, v, floor in zip(*[queries.column(c).to_pylist() for c in ("no", "dims", "v", "floor")]):
+            by_dims.setdefault(dims, []).append((no, np.array(v, np.int64), floor))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dims, tree = _tree(batch, row, leaf)
                 out = []
-                for q, v in zip(ids.tolist(), queries):
-                    out += [(q, dims, i, s) for s, i in tree.search(v, q, k, floors.get(q))]
+                for no, query, floor in by_dims.get(dims, []):
+                    out += [(no, *hit) for hit in tree.search(query, no, k, floor)]
+                    if len(out) > 1 << 16:
+                        yield _found(out)
+                        out = []
                 if out:
-                    cells = np.array(out, np.int64).T
-                    yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in cells], ["query_id", "dims", "vec_id", "score"])
+                    yield _found(out)
+        give_back()
 
-    names = ["dims", "shard", "points", "queries", "floors"]
-    return pairs.select(*names).mapInArrow(run, "query_id bigint, dims bigint, vec_id bigint, score bigint")
+    return in_rounds(shards.select("dims", "rows"), asked.select("no", "dims", "v", "floor"), search, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("query_id", "dims").orderBy(F.desc("score"), "vec_id")
+    by = Window.partitionBy("no").orderBy(*by_score("vec_id", "found"))
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
@@ -141,40 +154,30 @@ def top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     shard: int = SHARD,
-    block: int = QUERY_BLOCK,
     leaf: int = LEAF,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best other vectors for each whose id is divisible by ``every``.
 
-    Vectors that are null or hold a null or non-finite component take no part, nor do null ids and components of 2^25 or
-    more after scaling. Vectors only meet those of their own length. A repeated id counts once for each length it has,
-    with the least of its vectors. Equal scores go to the smaller id. A query with fewer candidates has them all. An empty table
-    gives no rows.
+    Vectors that are null or hold a null or non-finite component take no part, nor do null ids. Vectors only meet those
+    of their own length. Every row counts, also where an id or a whole row repeats: each is a candidate for all rows but
+    itself, and a query id that occurs twice is asked twice. Equal scores go to the smaller id. A query with fewer candidates
+    has them all. Components beyond 2^62 after scaling count as 2^62, and scores that do not fit a long are cut to its ends. An
+    empty table gives no rows.
     """
     rows = saved(quantized(vectors, id_col, vector_col, scale), "vectors").df
-    total, numbers = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dims"), F.lit(0))).first()
+    numbers = rows.agg(F.coalesce(F.sum("dims"), F.lit(0))).first()[0]
     shards = max(1, -(-numbers // shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    packed = dealt.groupBy("dims", "shard").agg(F.collect_list(F.struct("vec_id", "v")).alias("points"))
-    packed = saved(packed, "shards").df
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("no"), F.lit(shards)).cast("int"))
+    shards = saved(packed(dealt, ["dims", "shard"], ["no", "vec_id", "v"]), "shards").df
+    first = saved(_own_shard(shards, every, k, leaf), "seeds").df
+    floors = first.groupBy("no").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
+    # A score that was cut to the least long bounds nothing.
+    floors = floors.where(F.col("kth") > -LONG - 1).select(F.col("no").alias("f"), F.col("kth").alias("floor"))
     asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-total // (every * block)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    queries = asked.groupBy("dims", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    queries = saved(queries, "queries").df
-    none = F.lit(None).cast("array<struct<q:bigint,kth:bigint>>").alias("floors")
-    # Every block starts with one shard of its own ...
-    first = queries.withColumn("shard", F.col("block") % shards).join(packed, ["dims", "shard"])
-    homes = asked.select(F.col("vec_id").alias("query_id"), F.col("dims").cast("bigint").alias("dims"), "block").distinct()
-    seed = _best(_searched(first.select("*", none), k, leaf), k).join(homes, ["query_id", "dims"])
-    kth = seed.where(F.col("rank") == k).groupBy("dims", "block").agg(
-        F.collect_list(F.struct(F.col("query_id").alias("q"), F.col("score").alias("kth"))).alias("floors")
-    )
-    ready = saved(queries.join(kth, ["dims", "block"], "left"), "blocks").df
-    # ... and takes the k-th score found there to all shards: each shard meets each block, a bounded piece of work.
-    spread = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = spread.join(ready, ["dims", "block"])
-    return _best(_searched(pairs, k, leaf), k).select("query_id", "rank", "vec_id", "score")
+    queries = saved(asked.join(floors, F.col("no") == F.col("f"), "left").select("no", "vec_id", "dims", "v", "floor"), "queries").df
+    found = _best(_searched(shards, queries, k, leaf), k)
+    named = queries.select(F.col("no").alias("q"), F.col("vec_id").alias("query_id"))
+    return found.join(named, F.col("no") == F.col("q")).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

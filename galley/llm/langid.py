@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain, saved
+from .common import give_back, plain, saved
 
 PROFILE = 400
-MAX_LANGS = 2000
+# Languages in one lookup; more take more lookups over the same text.
+LANGS = 256
 UNKNOWN = "und"
 # Distinct n-grams a task holds per language before it passes their counts on.
 HELD = 1 << 20
@@ -104,6 +105,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> DataFrame:
                         yield give(lang)
         for lang in list(held):
             yield give(lang)
+        give_back()
 
     counted = docs.where("text is not null and lang is not null").select("lang", "text")
     grams = counted.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -113,36 +115,44 @@ def learn(docs: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 class Profiles:
-    """Profiles of all languages as one lookup: at most ``MAX_LANGS`` times ``size`` numbers, so it fits any worker."""
+    """Profiles of languages as one lookup of at most ``LANGS`` rows, and a further one for the languages after them."""
 
     def __init__(self, table: DataFrame, size: int = PROFILE):
         kept = saved(table, "profiles")
-        if kept.df.agg(F.count_distinct("lang")).first()[0] > MAX_LANGS:
-            raise ValueError(f"more than {MAX_LANGS} languages")
         rows = kept.df.collect()
         kept.drop()
         self.size = size
-        self.langs = sorted({r.lang for r in rows})
-        self.grams = np.array(sorted({r.gram for r in rows}), np.int64)
-        self.places = np.full((len(self.langs), len(self.grams) + 1), -1, np.int32)
-        at = {lang: k for k, lang in enumerate(self.langs)}
-        for r in rows:
-            self.places[at[r.lang], np.searchsorted(self.grams, r.gram)] = r.place
+        langs = sorted({r.lang for r in rows})
+        self.parts = [self._lookup(rows, langs[a : a + LANGS]) for a in range(0, len(langs), LANGS)]
+
+    @staticmethod
+    def _lookup(rows: list, langs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, their n-grams in order, and by language the place of each, -1 where it has none."""
+        at = {lang: k for k, lang in enumerate(langs)}
+        mine = [r for r in rows if r.lang in at]
+        grams = np.array(sorted({r.gram for r in mine}), np.int64)
+        places = np.full((len(langs), len(grams) + 1), -1, np.int32)
+        for r in mine:
+            places[at[r.lang], np.searchsorted(grams, r.gram)] = r.place
+        return langs, grams, places
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """Nearest language (the first by name among equals) and one minus the distance's share of the largest."""
         codes, counts = gram_counts(text)
-        if not len(codes) or not self.langs:
+        if not len(codes) or not self.parts:
             return UNKNOWN, 0.0
         own = most_frequent(codes, counts, self.size)
-        at = np.searchsorted(self.grams, own)
-        found = at < len(self.grams)
-        found[found] = self.grams[at[found]] == own[found]
-        places = self.places[:, np.where(found, at, len(self.grams))]
-        gaps = np.minimum(np.abs(places - np.arange(len(own))), self.size)
-        far = np.where(places < 0, self.size, gaps).sum(axis=1)
-        best = int(far.argmin())
-        return self.langs[best], float(1.0 - far[best] / (len(own) * self.size))
+        near = []
+        for langs, grams, table in self.parts:
+            at = np.searchsorted(grams, own)
+            found = at < len(grams)
+            found[found] = grams[at[found]] == own[found]
+            places = table[:, np.where(found, at, len(grams))]
+            gaps = np.minimum(np.abs(places - np.arange(len(own))), self.size)
+            far = np.where(places < 0, self.size, gaps).sum(axis=1)
+            near.append((int(far.min()), langs[int(far.argmin())]))
+        far_, lang = min(near)
+        return lang, float(1.0 - far_ / (len(own) * self.size))
 
 
 def predicted(profiles: Profiles, text: Column) -> Column:
@@ -151,6 +161,7 @@ def predicted(profiles: Profiles, text: Column) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         got = [profiles.classify(t.as_py()) for t in texts]
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], fields=list(kind)
         )
@@ -184,6 +195,7 @@ def spoken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """
     known = plain(docs, doc_id=id_col, text=text_col, lang=lang_col)
     profiles = Profiles(learn(known.where(~held_out(F.col("doc_id")))))
-    told = docs.withColumn("__told", predicted(profiles, F.col(f"`{text_col}`")))
-    kept = told.where((F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.score") >= least))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    told = docs.select(row, predicted(profiles, F.col(f"`{text_col}`")).alias("told"))
+    kept = told.where((F.col("told.lang_pred") != UNKNOWN) & (F.col("told.score") >= least))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

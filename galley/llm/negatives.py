@@ -120,7 +120,9 @@ def _searched(pieces: DataFrame, asked: DataFrame, k: int, same: bool) -> DataFr
                         continue
                     scores = inner(points[at], query, bucket.most)
                     for (w, _, high), low in zip(windows, lows):
-                        fits = (scores >= low) & (scores <= high)
+                        # The ends of a long bound nothing.
+                        fits = (scores >= low) | (low == OPEN)
+                        fits &= (scores <= high) | (high == LONG)
                         if fits.any():
                             got = (scores[fits], ids[at[fits]], nos[at[fits]])
                             have = held.get((no, w))

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import plain, saved
 
-# Labelled documents whose features are counted, and features a model keeps, at most.
+# Labelled documents whose features are counted, at most. It bounds the model: a feature that is kept is in several of them.
 SAMPLE = 20_000
-FEATURES = 50_000
 # Documents' worth of belief that a feature says nothing.
 PSEUDO = 5.0
 # Log ratios below this are chance among thousands of features.
@@ -84,7 +83,7 @@ def log_ratio(n: Column, bad: Column, share: float) -> Column:
 
 
 class Evidence:
-    """Weights of at most ``FEATURES`` features, the same on every worker."""
+    """Weights of all features that say something, the same on every worker; the sample bounds their number."""
 
     def __init__(self, counted: DataFrame, shares: dict[str, float]):
         self.weights: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -92,7 +91,7 @@ class Evidence:
             share = min(max(shares[target], 1e-6), 1 - 1e-6)
             told = counted.select("feature", log_ratio(F.col("n"), F.col(target), share).alias("w"))
             # Signs of a fault only: prose around a fault is no excuse for it.
-            rows = told.where(F.col("w") >= LEAST).orderBy(F.desc("w"), "feature").limit(FEATURES).collect()
+            rows = told.where(F.col("w") >= LEAST).collect()
             rows.sort(key=lambda r: r.feature)
             self.weights[target] = (np.array([r.feature for r in rows], np.int64), np.array([r.w for r in rows], np.float64))
 

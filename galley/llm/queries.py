@@ -53,8 +53,7 @@ ORACLES["op3_top_k"] = kdtree.ORACLE
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, events = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
     captures = spark.sql(urlfilters.CAPTURES, pages=pages)
-    entries = spark.sql(urlfilters.ENTRIES, pages=pages, events=events)
-    return urlfilters.evaluate(captures, entries, urlfilters.ALLOW)
+    return urlfilters.evaluate(captures, urlfilters.entries_of(events, pages), urlfilters.ALLOW)
 
 
 ORACLES["op6_url_filters"] = urlfilters.ORACLE

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain, row_key, saved, taken_rows
+from .common import give_back, plain, row_key, saved, taken_rows
 from .components import components
 
 SEED = 42
@@ -85,6 +85,7 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, distinct: bool
                     out[k, i] = majority_bits(_rehash(hashes, k))
             cells = [pa.array(row.view(np.int64)) for row in out]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells, pa.array(sizes, pa.int64())], ["doc_id", *names, "shingles"])
+        give_back()
 
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in [*names, "shingles"]]])
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
@@ -195,6 +196,7 @@ def links(classes: DataFrame, names: list[str], radius: int, cell: list[Column],
             if found:
                 cells = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells.T.copy()], ends)
+        give_back()
 
     return pairs.mapInArrow(run, ", ".join(f"{e} bigint" for e in ends))
 
@@ -291,6 +293,7 @@ def _similar_links(sets: DataFrame, names: list[str], radius: int, similarity: f
             if found:
                 cells = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells.T.copy()], ["u", "v"])
+        give_back()
 
     return pairs.mapInArrow(run, "u bigint, v bigint")
 
@@ -299,7 +302,9 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """Replaces ``text`` by ``shingles``: the sorted distinct 64-bit hashes of its shingles."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t.as_py() or b"", width)).tobytes() for t in texts], pa.binary())
+        out = pa.array([np.unique(shingle_hashes(t.as_py() or b"", width)).tobytes() for t in texts], pa.binary())
+        give_back()
+        return out
 
     sets = F.arrow_udf(run, "binary")(F.col("text").cast("binary"))
     return texts.select(*[c for c in texts.columns if c != "text"], sets.alias("shingles"))
@@ -348,6 +353,7 @@ def _set_prints(docs: DataFrame, width: int, words: int, similarity: float, comm
             cells = [pa.array(row.view(np.int64)) for row in out]
             cells += [pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells], ["doc_id", *names, "shingles", "set", "prefix"])
+        give_back()
 
     fields = [T.StructField(n, T.LongType()) for n in [*names, "shingles"]]
     fields += [T.StructField("set", T.StringType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
@@ -360,10 +366,10 @@ def _prefix_pairs(members: DataFrame, similarity: float) -> DataFrame:
 
     A similar pair shares shingles of its prefixes. What two sets have in common is either in both prefixes, and counted
     here, or behind the prefix that ends first; pairs that this bound rules out go. Rows of one shingle meet in an equi
-    join, which Spark splits when a shingle is hot.
+    join on Spark's own exchange, which adaptive execution splits when a shingle is hot.
     """
     sized = members.withColumns({"size": F.col("shingles").cast("int"), "rest": (F.col("shingles") - F.size("prefix")).cast("int")})
-    each = sized.select("num", "root", "size", "rest", F.explode("prefix").alias("shingle")).repartition(F.col("shingle"))
+    each = sized.select("num", "root", "size", "rest", F.explode("prefix").alias("shingle"))
     a, b = (each.select("shingle", *[F.col(c).alias(f"{c}_{e}") for c in ("num", "root", "size", "rest")]) for e in "ab")
     sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity) - 1e-6
     met = a.join(b, "shingle").where((F.col("num_a") < F.col("num_b")) & (F.col("root_a") != F.col("root_b")) & sizes)

@@ -14,11 +14,12 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import numbered, plain, saved
 
-BASE, LEVELS = 8, 11
-# Later than any time that a cell of the largest size can hold, in seconds.
-FOREVER = BASE**LEVELS
+BASE, LEVELS = 8, 15
+# Seconds are counted from this long before 1970, so that all times a table can hold are above zero, and an open interval ends
+# where the cells end, after all of them.
+BEFORE, FOREVER = BASE**14, BASE**LEVELS
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -63,7 +64,9 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def _seconds(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000))
+    # Whole numbers: a double has no room for the microseconds of distant times.
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return ((micros - F.pmod(micros, F.lit(1_000_000))) / F.lit(1_000_000)).cast("bigint") + F.lit(BEFORE)
 
 
 def _cells(first: Column, end: Column) -> Column:
@@ -99,7 +102,8 @@ def evaluate(
     ``lists``: names of the lists with an active entry, sorted and comma-joined; ``n_entries``: active (list, pattern)
     pairs. A capture is blocked by any list that is not in ``allow``, unless one of those has an entry too. A null or
     odd url and a null time meet nothing. Captures that repeat are looked up once and give their rows again. Times
-    are exact to the microsecond and must lie after 1970. Other columns are ignored.
+    are exact to the microsecond; an entry without an end holds for all times after it. Very long urls are read whole. Other
+    columns are ignored.
     """
     seen = plain(captures, page_id=id_col, url=url_col, fetched=time_col)
     seen = seen.groupBy("page_id", "url", "fetched").agg(F.count(F.lit(1)).alias("n"))
@@ -108,9 +112,12 @@ def evaluate(
     end = F.when(F.col("until").isNull(), F.lit(FOREVER)).otherwise(_seconds(F.col("until")) + 1)
     timed = active.withColumns({"first": _seconds(F.col("since")), "end": end})
     spans = timed.select("list", "pattern", "since", "until", F.explode(_cells(F.col("first"), F.col("end"))).alias("c"))
-    spans = spans.select("list", "pattern", "since", "until", "c.level", "c.cell")
+    spans = saved(spans.select("list", "pattern", "since", "until", "c.level", "c.cell"), "spans").df
     at = _seconds(F.col("fetched"))
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(at / F.lit(BASE**k)).alias("cell")) for k in range(LEVELS)])
+    # Only cell sizes that entries use; there are ``LEVELS`` at most.
+    used = sorted(r.level for r in spans.select("level").distinct().collect())
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(at / F.lit(BASE**k)).alias("cell")) for k in used])
+    levels = levels if used else F.array().cast("array<struct<level:int,cell:bigint>>")
     named = seen.where("fetched is not null").select("page_id", "url", "fetched", F.explode(patterns_of(F.col("url"))).alias("pattern"))
     placed = named.select("*", F.explode(levels).alias("c")).select("page_id", "url", "fetched", "pattern", "c.level", "c.cell")
     met = placed.join(spans, ["pattern", "level", "cell"]).where("since <= fetched and (until is null or fetched < until)")
@@ -126,15 +133,23 @@ def evaluate(
     )
 
 
-# The lists of the query: dated entries that the event log gives for hosts, domains and path prefixes of the pages.
+# The lists of the query: every row of the event log is a dated entry for the host, the domain or the path of a page. Pages are
+# numbered by their id, and the event's id names the number.
 CAPTURES = """SELECT page_id, url,
   TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id * 7919 % 2592000) AS fetched FROM {pages}"""
 ENTRIES = """SELECT event_type AS list, ts, event_id AS seq, CASE WHEN floor(value) % 3 < 2 THEN 'add' ELSE 'remove' END AS action,
   CASE user_id % 3 WHEN 0 THEN 'host:' || host WHEN 1 THEN 'domain:' || array_join(slice(split(host, '[.]'), -2, 2), '.')
     ELSE 'path:' || host || '/' || split(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), '/')[1] END AS pattern
-  FROM (SELECT e.*, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1)) AS host FROM {events} e JOIN {pages} ON page_id = event_id)"""
+  FROM (SELECT e.*, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1)) AS host FROM {events} e JOIN {pages} p ON p.no = e.event_id % {n})"""
 ALLOW = ("purchase",)
 
+
+def entries_of(events: DataFrame, pages: DataFrame) -> DataFrame:
+    """One entry per event, as in ``ENTRIES``."""
+    lined = numbered(pages.select("page_id", "url"), [F.col("page_id"), F.col("url")], "no").df
+    return events.sparkSession.sql(ENTRIES, events=events, pages=lined, n=max(1, lined.count()))
+
+
 ORACLE = """
 WITH hosts AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1)) AS host,
   list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), '/'), lambda p: p <> '') AS parts,
@@ -143,7 +158,8 @@ captures AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 79
 entries AS (SELECT event_type AS list, ts, event_id AS seq, floor(value)::BIGINT % 3 < 2 AS added,
   CASE user_id % 3 WHEN 0 THEN 'host:' || host WHEN 1 THEN 'domain:' || string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1]
     ELSE 'path:' || host || '/' || first END AS pattern
-  FROM events JOIN hosts ON page_id = event_id),
+  FROM events JOIN (SELECT *, row_number() OVER (ORDER BY page_id, url) - 1 AS no FROM hosts) h
+    ON h.no = event_id % (SELECT count(*) FROM pages)),
 named AS (
   SELECT page_id, fetched, 'host:' || host AS pattern FROM captures UNION
   SELECT page_id, fetched, 'domain:' || array_to_string(string_split(host, '.')[i:], '.') FROM (

@@ -13,4 +13,5 @@ def awkward(spark):
         (10, "\U0001f600\u0000 zero", "en", "", 2), (11, same + " nu", "en", "a", 1),
     ]
     cols = "doc_id long, text string, lang string, source string, n_chars long, f0 string, cell string, u string, key string, size string, n string"
-    return spark.createDataFrame([(*r, "x", "x", "x", "x", "x", "x") for r in rows], cols)
+    clash = ["__key", "__n", "__k", "__copies", "__leaks", "__told", "row", "k", "copies", "told", "leaks"]
+    return spark.createDataFrame([(*r, *["x"] * 6, *[f"keep{i}" for i in clash]) for r in rows], cols + "".join(f", {c} string" for c in clash))

@@ -17,7 +17,7 @@ def brute(docs, items, rate=D.RATE):
     out = Counter()
     for doc_id, text in docs:
         for item_id, item in {(i, D.normal(t)) for i, t in items if t is not None}:
-            if len(item) >= D.SHORTEST and text:
+            if D.budget(len(item), rate) and text:
                 d = distance(item, D.normal(text))
                 if d <= D.budget(len(item), rate):
                     out[(doc_id, item_id, d)] += 1
@@ -82,14 +82,14 @@ def test_slices_find_the_same(spark):
     assert D.leaks(docs, bench).count() > 0
 
 
-def test_short_items_are_found_between_word_borders(spark):
+def test_items_without_edits_are_found_between_word_borders(spark):
     docs = spark.createDataFrame(
         [(1, "What is  2 + 2? I ask"), (2, "somewhat is 2 + 2?"), (3, "a category"), (4, "The CAT!"), (5, "cats; cat"), (6, "what is 2 + 3?")],
         "doc_id long, text string",
     )
     bench = spark.createDataFrame([(1, "what is 2 + 2?"), (2, "Cat"), (3, " "), (2, "cat")], "item_id long, text string")
-    assert Counter(map(tuple, D.leaks(docs, bench).collect())) == Counter({(1, 1, 0): 1, (4, 2, 0): 1, (5, 2, 0): 1})
-    assert {r.doc_id for r in D.without_leaks(docs, bench).collect()} == {2, 3, 6}
+    assert Counter(map(tuple, D.leaks(docs, bench).collect())) == Counter({(1, 1, 0): 1, (2, 1, 0): 1, (6, 1, 1): 1, (4, 2, 0): 1, (5, 2, 0): 1})
+    assert {r.doc_id for r in D.without_leaks(docs, bench).collect()} == {3}
 
 
 def test_copies_of_an_item_are_one_before_slices_are_cut(spark):
@@ -97,3 +97,16 @@ def test_copies_of_an_item_are_one_before_slices_are_cut(spark):
     bench = spark.createDataFrame([(1, text.upper() if i % 2 else text) for i in range(200)], "item_id long, text string")
     slices = list(D.item_slices(bench, slice_chars=100))
     assert len(slices) == 1 and slices[0][0].rows == [(1, text)] and not slices[0][1]
+
+
+def test_short_items_have_their_edit(spark):
+    docs = spark.createDataFrame([(1, "see the quick brwn fox ju here"), (2, "the quick brown fox ju"), (3, "the quik brwn fox ju")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "the quick brown fox ju"), (8, "brown fox")], "item_id long, text string")
+    assert Counter(map(tuple, D.leaks(docs, bench).collect())) == Counter({(1, 7, 1): 1, (2, 7, 0): 1, (2, 8, 0): 1})
+
+
+def test_clashing_names(spark):
+    names = ["leaks", "row", "__leaks", "__told", "__key", "__n", "__k", "__copies"]
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon", *names), (2, "other words", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(7, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    assert [tuple(r) for r in D.without_leaks(docs, bench).collect()] == [(2, "other words", *names)]

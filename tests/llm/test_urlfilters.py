@@ -77,3 +77,17 @@ def test_cells_cover_each_second_once(spark, first, end):
 def test_python_stays_out(spark):
     plan = urlfilters.evaluate(*tables(spark, [(1, "http://b.org", at(1))]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("ArrowEval", "BatchEval", "MapIn", "Cartesian", "NestedLoop"))
+
+
+def test_every_event_is_an_entry(spark):
+    base = "/root/testdata/sf0.001"
+    events, pages = spark.read.parquet(f"{base}/events.parquet"), spark.read.parquet(f"{base}/pages.parquet")
+    assert urlfilters.entries_of(events, pages).count() == events.count()
+
+
+def test_distant_times(spark):
+    far = datetime(9000, 1, 1)
+    entries = [("bad", "host:b.org", datetime(1950, 1, 1), 1, "add"), ("good", "host:b.org", datetime(1960, 1, 1), 2, "add"), ("good", "host:b.org", datetime(2300, 1, 1), 3, "remove")]
+    captures = [(1, "http://b.org", far), (2, "http://b.org", datetime(1949, 1, 1)), (3, "http://b.org", datetime(1955, 5, 5, 5, 5, 5)), (4, "http://b.org", datetime(2299, 1, 1))]
+    got = Counter(map(tuple, urlfilters.evaluate(*tables(spark, captures, entries), allow=("good",)).collect()))
+    assert got == brute(captures, entries, ("good",))
