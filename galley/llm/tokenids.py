@@ -31,8 +31,8 @@ BLOCK = 1 << 16
 # A task starts another file at this many ids.
 FILE_IDS = 1 << 24
 END = 0
-# Pieces that each of an encoder's two generations remembers: about 20 MB.
-CACHED = 100_000
+# Pieces that each of an encoder's two generations remembers, at about 200 bytes each. Fewer take less memory and more time.
+CACHED = 300_000
 # Characters of texts that are encoded at once.
 AT_ONCE = 1 << 19
 # Texts on which cutting at blanks is compared with the library before it is used.
@@ -50,7 +50,8 @@ class Encoder:
     pieces are encoded once. Texts with other white space at a cut are given to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
+        self.cached = cached
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -114,7 +115,7 @@ class Encoder:
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else []):
             out[i] = ids
-        if len(known) > CACHED:
+        if len(known) > self.cached:
             # What was not asked for in a whole generation is forgotten.
             self.known, self.older = {}, known
         return out
@@ -133,14 +134,14 @@ class Encoder:
             yield from self._encoded(part)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    """One encoder per worker, vocabulary file and size of its memory."""
+    if (path, cached) not in _ENCODERS:
+        _ENCODERS[path, cached] = Encoder(path, cached)
+    return _ENCODERS[path, cached]
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -266,7 +267,7 @@ class Reader:
             yield doc_id, n, pieces(n)
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: int = END, bits: bool = False) -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: int = END, bits: bool = False, cached: int = CACHED) -> DataFrame:
     """``doc_id, text`` -> files under ``folder`` and their manifest ``part, seq, file, n_docs, n_ids, start``.
 
     Documents lie in ascending order of id (null first, then by text), over files that are themselves in order. A task
@@ -276,7 +277,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: int = END, bit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        part, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
+        part, encode = TaskContext.get().partitionId(), encoder(vocabulary, cached).encode
         rows: list[tuple] = []
         writer = out = None
 
@@ -337,7 +338,7 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", bits: bool = False) -> DataFrame:
+def token_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", bits: bool = False, cached: int = CACHED) -> DataFrame:
     """Encodes, writes and reads back every row: ``doc_id, start, n_tokens, ids_crc32``.
 
     A null or empty text is the end id alone. Rows with a null id come first; rows of equal id follow each other by
@@ -347,4 +348,4 @@ def token_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     folder = f"{shared_dir(spark)}/galley-ids-{uuid.uuid4().hex}"
     folder = folder if re.match(r"\w+://|\w+:/", folder) else "file://" + folder
     texts = plain(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return read_digests(write_ids(texts, folder, vocabulary, bits=bits), folder)
+    return read_digests(write_ids(texts, folder, vocabulary, bits=bits, cached=cached), folder)

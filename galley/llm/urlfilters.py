@@ -107,6 +107,8 @@ def evaluate(
     """
     seen = plain(captures, page_id=id_col, url=url_col, fetched=time_col)
     seen = seen.groupBy("page_id", "url", "fetched").agg(F.count(F.lit(1)).alias("n"))
+    # The number stands for the capture while it is spread; it is fixed by writing it.
+    seen = saved(seen.withColumn("no", F.monotonically_increasing_id()), "captures").df
     active = validity(plain(entries, list="list", pattern="pattern", ts="ts", seq="seq", action="action"))
     # To the end of the last second that the interval touches; the exact times are compared after the join.
     end = F.when(F.col("until").isNull(), F.lit(FOREVER)).otherwise(_seconds(F.col("until")) + 1)
@@ -118,14 +120,13 @@ def evaluate(
     used = sorted(r.level for r in spans.select("level").distinct().collect())
     levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(at / F.lit(BASE**k)).alias("cell")) for k in used])
     levels = levels if used else F.array().cast("array<struct<level:int,cell:bigint>>")
-    named = seen.where("fetched is not null").select("page_id", "url", "fetched", F.explode(patterns_of(F.col("url"))).alias("pattern"))
-    placed = named.select("*", F.explode(levels).alias("c")).select("page_id", "url", "fetched", "pattern", "c.level", "c.cell")
+    named = seen.where("fetched is not null").select("no", "fetched", F.explode(patterns_of(F.col("url"))).alias("pattern"))
+    placed = named.select("*", F.explode(levels).alias("c")).select("no", "fetched", "pattern", "c.level", "c.cell")
     met = placed.join(spans, ["pattern", "level", "cell"]).where("since <= fetched and (until is null or fetched < until)")
-    hits = met.select("page_id", "url", "fetched", F.lit(0).cast("bigint").alias("n"), "list")
-    every = seen.select("*", F.lit(None).cast("string").alias("list")).unionByName(hits)
-    known = every.groupBy("page_id", "url", "fetched").agg(
-        F.sum("n").alias("n"), F.array_sort(F.collect_set("list")).alias("names"), F.count("list").alias("n_entries")
-    )
+    hits = met.groupBy("no").agg(F.array_sort(F.collect_set("list")).alias("names"), F.count("list").alias("n_entries"))
+    known = seen.join(hits.withColumnRenamed("no", "h"), F.col("no") == F.col("h"), "left").drop("h")
+    none = F.array().cast("array<string>")
+    known = known.withColumns({"names": F.coalesce("names", none), "n_entries": F.coalesce("n_entries", F.lit(0).cast("bigint"))})
     allowed = F.arrays_overlap("names", F.array(*[F.lit(a) for a in allow]).cast("array<string>"))
     out = known.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return out.select(
