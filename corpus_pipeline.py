@@ -10,29 +10,41 @@ from galley.llm import decontamination, langid, mixing, queries, simhash, tokeni
 from galley.llm.common import saved
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: a worker gets them in Arrow batches of about 8 MB, not of ten thousand rows or 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents in no language that the corpus teaches go."""
+    small_batches(spark)
     return langid.spoken(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of every group of near-duplicates (five-word shingles, similarity 0.8) the least id stays."""
+    small_batches(spark)
     return simhash.distinct_documents(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that hold a passage of the benchmark go."""
+    small_batches(spark)
     return decontamination.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents as often as the mix takes them; those that it takes zero times go."""
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: token files, and what is read back from them for every document."""
-    return tokenids.token_ids(docs, queries.vocabulary())
+    small_batches(spark)
+    # The workers of the stages before it live on beside it, so its encoder remembers less.
+    return tokenids.token_ids(docs, queries.vocabulary(), cached=50_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
