@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import articles as R
 from ..operators import issues as K
 from ..schemas import AUTHORS
+from ..session import checkpoint_dir
+from ..sources import files
 from .issue_jobs import ISSUE, JOURNALS, PAGES
 from .registry import View, query
 from .scalars import S
@@ -254,13 +257,27 @@ _CFG = f"""cfg AS (SELECT i.issue, regexp_extract(i.issue, '{_IK}', 1) AS issn,
    JOIN (SELECT *, row_number() OVER (PARTITION BY upper(ISSN) ORDER BY ord) AS rn FROM {JOURNALS.sql} j0) j ON upper(j.ISSN) = upper(regexp_extract(i.issue, '{_IK}', 1)) AND rn = 1)"""
 
 
-@query("issue_xml", f"""WITH {_CFG}, arts AS (SELECT issue, string_agg({_XML}, '' ORDER BY {_MIN} NULLS LAST, lower(name)) AS x FROM {FSQL} GROUP BY issue)
+ISSUE_XML = f"""WITH {_CFG}, arts AS (SELECT issue, string_agg({_XML}, '' ORDER BY {_MIN} NULLS LAST, lower(name)) AS x FROM {FSQL} GROUP BY issue)
   SELECT issue, '<journal><titleid>0</titleid><issn>' || issn || '</issn><journalInfo lang="RUS"><title>' || title || '</title></journalInfo><issue>' || {el('volume', 'volume')} || '<number>' || number || '</number><dateUni>' || year || '</dateUni><pages>' || pages
-   || '</pages><articles>' || x || '</articles></issue></journal>' AS xml FROM cfg JOIN arts USING (issue) WHERE pages <> ''""")
+   || '</pages><articles>' || x || '</articles></issue></journal>' AS xml FROM cfg JOIN arts USING (issue) WHERE pages <> ''"""
+
+
+@query("issue_xml", ISSUE_XML)
 def issue_xml(spark, sf):
     return K.issue_xml(records(spark, sf), JOURNALS.df(spark, sf)).select("issue", _FLATX_col().alias("xml"))
 
 
+@query("write_issue_xml", ISSUE_XML)
+def write_issue_xml(spark, sf):
+    """The files as they are read back, one per issue, by the name that the writer gave them."""
+    folder = f"{checkpoint_dir(spark)}/issue-files-{uuid.uuid4().hex}"
+    made = files.write_issue_xml(records(spark, sf), JOURNALS.df(spark, sf), folder)
+    read = spark.read.option("pathGlobFilter", "*.xml").text(folder, wholetext=True)
+    named = read.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("f"), F.regexp_replace("value", r"\A<\?xml[^>]*\?>\s*", "").alias("xml"))
+    met = named.join(made, F.col("f") == F.col("file"))
+    return met.select("issue", F.regexp_replace(_FLATX_col(), r"\s+\z", "").alias("xml"))
+
+
 @query("issue_xml_parts", f"""WITH {_CFG}, good AS (SELECT issue FROM cfg WHERE pages <> '') SELECT issue, 0 AS part, count(*) AS n FROM good GROUP BY issue UNION ALL SELECT issue, 2, count(*) FROM good GROUP BY issue
   UNION ALL SELECT issue, 1, count(*) FROM {FSQL} WHERE issue IN (SELECT issue FROM good) GROUP BY issue""")
 def issue_xml_parts(spark, sf):
@@ -293,7 +310,8 @@ NOTES = View("orders", ["o_orderkey", """'<journal><titleid>' || CASE WHEN o_ord
   || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '<number>1</number>' END || CASE WHEN o_orderkey % 2 = 0 THEN '<references></references>' ELSE '<references><reference>r</reference></references>' END || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE '</journal>' END AS xml"""])
 
 
-@query("xsd_errors", "SELECT o_orderkey, 'schema' AS rule FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")
+@query("xsd_errors", """SELECT o_orderkey, f.element AS element, f.rule AS rule FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 11 = 0 THEN [{'element': 'journal', 'rule': 'parse'}]
+  ELSE list_filter([CASE WHEN o_orderkey % 5 = 0 THEN {'element': 'titleid', 'rule': 'value'} END, CASE WHEN o_orderkey % 7 = 0 THEN {'element': 'number', 'rule': 'missing'} END], lambda x: x IS NOT NULL) END) AS f FROM orders) v""")
 def xsd_errors(spark, sf):
     return K.xsd_errors(NOTES.df(spark, sf), os.path.join(os.path.dirname(os.path.abspath(__file__)), "order_note.xsd"))
 

@@ -63,8 +63,14 @@ def expire_runs(spark, sf):
     return H.expire_runs(RUNS.df(spark, sf), F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"), 2).select("event_id", "run_id")
 
 
-@query("list_runs", f"SELECT run_id, string_agg(DISTINCT issue, ',' ORDER BY issue) AS issues FROM {RUNS.sql} v GROUP BY run_id")
+@query("list_runs", f"""WITH p AS (SELECT DISTINCT run_id, issue FROM {RUNS.sql} v) SELECT dense_rank() OVER (ORDER BY run_id DESC) AS run_no, run_id,
+  row_number() OVER (PARTITION BY run_id ORDER BY issue) AS issue_no, issue FROM p""")
 def list_runs(spark, sf):
+    return H.list_runs(RUNS.df(spark, sf))
+
+
+@query("run_issue_lists", f"SELECT run_id, string_agg(DISTINCT issue, ',' ORDER BY issue) AS issues FROM {RUNS.sql} v GROUP BY run_id")
+def run_issue_lists(spark, sf):
     return H.run_issue_lists(RUNS.df(spark, sf)).select("run_id", F.array_join("issues", ",").alias("issues"))
 
 
@@ -126,17 +132,24 @@ def invalid_records(spark, sf):
     return H.invalid_records(JSONS.df(spark, sf))
 
 
-@query("order_articles", f"SELECT issue, name, row_number() OVER (PARTITION BY issue ORDER BY {_MIN} ASC NULLS LAST, lower(name)) AS pos FROM {A}")
+@query("order_articles", f"SELECT issue, name, row_number() OVER (PARTITION BY issue ORDER BY {_MIN} ASC NULLS LAST, lower(name), name) AS pos FROM {A}")
 def order_articles(spark, sf):
-    df = ARTICLES.df(spark, sf).withColumn("place", H.article_place(C("pages")))
-    df = H.union_sources(df)
-    w = F.expr("row_number() OVER (PARTITION BY issue ORDER BY place.last, place.page, place.name)")
-    return df.select("issue", "name", w.cast("bigint").alias("pos"))
+    return H.order_articles(ARTICLES.df(spark, sf)).select("issue", "name", "pos")
+
+
+EVENT_ARTICLES = View("events", ["event_type AS issue", "'E' || event_id AS name", "CASE WHEN user_id % 7 = 0 THEN 'x' ELSE cast(user_id AS string) || '-' || cast(user_id + 3 AS string) END AS pages"])
+
+
+@query("order_events", f"""SELECT issue, name, row_number() OVER (PARTITION BY issue ORDER BY CASE WHEN pages = 'x' THEN NULL ELSE cast(split_part(pages, '-', 1) AS INTEGER) END ASC NULLS LAST, lower(name), name) AS pos
+  FROM {EVENT_ARTICLES.sql} v""")
+def order_events(spark, sf):
+    """Few very large issues."""
+    return H.order_articles(EVENT_ARTICLES.df(spark, sf)).select("issue", "name", "pos")
 
 
-@query("order_listing", f"SELECT issue, name, pages FROM {A} ORDER BY issue, try_cast(nullif(regexp_extract(trim(pages), '^([0-9]+)', 1), '') AS INTEGER) NULLS LAST, name")
+@query("order_listing", f"""SELECT issue, name, pages, row_number() OVER (ORDER BY issue, try_cast(nullif(regexp_extract(trim(pages), '^([0-9]+)', 1), '') AS INTEGER) NULLS LAST, name) AS pos FROM {A}""")
 def order_listing(spark, sf):
-    return H.order_listing(ARTICLES.df(spark, sf)).select("issue", "name", "pages")
+    return H.order_listing(ARTICLES.df(spark, sf)).select("issue", "name", "pages", "pos")
 
 
 @query("union_sources", f"SELECT issue, stem, 'article' AS kind FROM {A} UNION ALL SELECT issue, stem, 'file' FROM {FL}")

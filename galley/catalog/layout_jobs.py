@@ -238,7 +238,8 @@ def bbox_suggestions(spark, sf):
     return s.select("issn", "field_id", "page", F.round("x1", 5).alias("x1"), F.round("y1", 5).alias("y1"), "confidence", "samples")
 
 
-@query("template_summary", "SELECT 'j' || l_suppkey AS issn, count(*) FILTER (l_linestatus = 'F') AS processed, count(DISTINCT l_returnflag) AS fields FROM lineitem GROUP BY l_suppkey")
+@query("template_summary", """SELECT *, row_number() OVER (ORDER BY processed DESC, issn) AS pos FROM (
+  SELECT 'j' || l_suppkey AS issn, count(*) FILTER (l_linestatus = 'F') AS processed, count(DISTINCT l_returnflag) AS fields FROM lineitem GROUP BY l_suppkey) v""")
 def template_summary(spark, sf):
     li = table(spark, sf, "lineitem")
     done = li.where("l_linestatus = 'F'").selectExpr("'j' || l_suppkey AS issn")

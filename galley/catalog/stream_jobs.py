@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
+from ..session import checkpoint_dir
 from ..sources.files import enrichment_rows, snapshot_rows
-from ..streaming.ingest import write_progress
+from ..streaming.ingest import read_progress, write_progress
 from .registry import View, query, table
 
 _COUNT = "count(*) FILTER (value > 10)"
@@ -17,11 +18,9 @@ def progress_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     stream = stream.selectExpr("event_type AS issue", "value > 10 AS processed")
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{configured.rstrip('/')}/progress-{id(stream)}" if configured else tempfile.mkdtemp(prefix="galley-stream-")
-    name = f"progress_{id(stream)}"
-    write_progress(stream, name, base).awaitTermination()
-    return spark.table(name)
+    base = f"{checkpoint_dir(spark)}/progress-{uuid.uuid4().hex}"
+    write_progress(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return read_progress(spark, f"{base}/table")
 
 
 FOUND = View("orders", ["'10.1/' || o_orderkey AS doi", "'t' || o_custkey AS title", "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'u' || o_orderkey END AS url", "'ru' AS title_ru", "CASE WHEN o_orderkey % 5 = 1 THEN 'boom' ELSE '' END AS error", "'1-2' AS pages"])

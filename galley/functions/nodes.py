@@ -1,29 +1,23 @@
 """HTML text to a flat list of element nodes.
 
 Spark has no HTML reader. One small Arrow helper on the standard library's tokenizer lists the elements of a page in
-document order with their extent, attributes and text; every rule over pages is then a Spark expression on that list.
+document order, and the pieces of its text once. An element is an interval of both: the elements inside it are those from
+``ord + 1`` to ``close``, its text the pieces from ``from`` up to ``to``. Every rule over pages is then a Spark expression that
+makes the text of the few elements it asks about.
 """
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import let, norm_space, nz
 
-NODES = T.ArrayType(
-    T.StructType()
-    .add("ord", T.IntegerType())
-    .add("close", T.IntegerType())
-    .add("parent", T.IntegerType())
-    .add("tag", T.StringType())
-    .add("attrs", T.MapType(T.StringType(), T.StringType()))
-    .add("text", T.StringType())
-)
+NODE = "ord:int,close:int,parent:int,tag:string,attrs:map<string,string>,from:int,to:int"
+PAGE = f"struct<nodes:array<struct<{NODE}>>,texts:array<string>>"
 # Elements without an end tag.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # The page as a whole is not a candidate of any rule, so its text is not repeated.
@@ -75,29 +69,59 @@ class _Lister(HTMLParser):
         self.close()
         while self.open:
             self._shut()
-        out = []
         for n in self.nodes:
-            raw = n["tag"] in _NO_TEXT
-            text = "" if raw else " ".join(self.texts[n["from"]: n["to"]])
-            out.append({"ord": n["ord"], "close": n["close"], "parent": n["parent"], "tag": n["tag"], "attrs": n["attrs"], "text": text})
-        return out
+            if n["tag"] in _NO_TEXT:
+                n["to"] = n["from"]
+        return self
+
+
+def _listed(pages: list[_Lister]) -> pa.StructArray:
+    """The elements and text pieces of many pages as one Arrow column."""
+    nodes = [n for p in pages for n in p.nodes]
+
+    def offsets(sizes) -> pa.Array:
+        out = [0]
+        for size in sizes:
+            out.append(out[-1] + size)
+        return pa.array(out, pa.int32())
+
+    numbers = {k: pa.array([n[k] for n in nodes], pa.int32()) for k in ("ord", "close", "parent", "from", "to")}
+    attrs = pa.MapArray.from_arrays(
+        offsets(len(n["attrs"]) for n in nodes), pa.array([k for n in nodes for k in n["attrs"]], pa.string()),
+        pa.array([v for n in nodes for v in n["attrs"].values()], pa.string()),
+    )
+    fields = {"ord": numbers["ord"], "close": numbers["close"], "parent": numbers["parent"], "tag": pa.array([n["tag"] for n in nodes], pa.string()),
+              "attrs": attrs, "from": numbers["from"], "to": numbers["to"]}
+    rows = pa.StructArray.from_arrays(list(fields.values()), list(fields))
+    lists = pa.ListArray.from_arrays(offsets(len(p.nodes) for p in pages), rows)
+    texts = pa.ListArray.from_arrays(offsets(len(p.texts) for p in pages), pa.array([t for p in pages for t in p.texts], pa.string()))
+    return pa.StructArray.from_arrays([lists, texts], ["nodes", "texts"])
+
+
+def _list_pages(html: pa.Array) -> pa.Array:
+    pages = []
+    for page in html:
+        lister = _Lister()
+        lister.feed(page.as_py() or "")
+        pages.append(lister.finish())
+    return _listed(pages)
 
 
-@F.pandas_udf(NODES)
-def html_nodes(html: pd.Series) -> pd.Series:
-    """Element nodes of every page."""
+def with_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds ``nodes``, the elements of every page, and ``texts``, the pieces of its text."""
+    # Not because results vary: it keeps filters on the result above the helper, so a page is read once and not once more
+    # for the filter below.
+    listed = F.arrow_udf(_list_pages, PAGE).asNondeterministic()(F.col(html).cast("string"))
+    return pages.withColumn("__page", listed).withColumns({"nodes": F.col("__page.nodes"), "texts": F.col("__page.texts")}).drop("__page")
 
-    def one(page):
-        lister = _Lister()
-        lister.feed(page or "")
-        return lister.finish()
 
-    return html.map(one)
+def text_of(node: Column) -> Column:
+    """Text of an element and all inside it; null for no element."""
+    return F.array_join(F.slice(F.col("texts"), node["from"] + 1, node["to"] - node["from"]), " ")
 
 
-# Not because results vary: it keeps filters on the result above the helper, so a page is read once and not once more
-# for the filter below.
-html_nodes = html_nodes.asNondeterministic()
+def has_text(node: Column) -> Column:
+    return node["to"] > node["from"]
 
 
 def attr(node: Column, name: str) -> Column:
@@ -129,65 +153,75 @@ def is_heading(n: Column) -> Column:
     return n["tag"].isin(HEADINGS)
 
 
-def _heading_text(n: Column) -> Column:
-    return F.regexp_replace(F.lower(n["text"]), r":+\z", "")
+def with_headings(pages: DataFrame) -> DataFrame:
+    """Adds ``heads``: the headings of a page with their lower-cased text, found in one pass for all rules."""
+    heads = F.transform(
+        F.filter("nodes", is_heading),
+        lambda n: F.struct(n["ord"].alias("ord"), n["parent"].alias("parent"), n["tag"].alias("tag"), F.lower(text_of(n)).alias("t")),
+    )
+    return pages.withColumn("heads", heads)
+
+
+def _after(head: Column) -> Column:
+    """Siblings behind a heading: a filter over what is left of its parent only."""
+    nodes = F.col("nodes")
+    end = F.when(head["parent"] < 0, F.size(nodes) - 1).otherwise(F.get(nodes, head["parent"])["close"])
+    return F.filter(F.slice(nodes, head["ord"] + 2, end - head["ord"]), lambda n: n["parent"] == head["parent"])
 
 
-def section_text(nodes: Column, headings: list[str], sep: str = " ") -> Column:
+def section_text(headings: list[str], sep: str = " ") -> Column:
     """Text after the first heading that contains a wanted phrase and is followed by any, up to the next heading.
 
-    Siblings count. Another wanted heading is skipped; a foreign heading ends the section once there is text.
+    Siblings count. Another wanted heading is skipped; a foreign heading ends the section once there is text. Needs
+    ``nodes``, ``texts`` and ``heads``.
     """
     wanted = [h.lower() for h in headings]
 
-    def hit(n: Column) -> Column:
-        t = _heading_text(n)
-        out = F.lit(False)
+    def hit(t: Column) -> Column:
+        bare, out = F.regexp_replace(t, r":+\z", ""), F.lit(False)
         for w in wanted:
-            out = out | t.contains(w)
+            out = out | bare.contains(w)
         return out
 
     def text_after(head: Column) -> Column:
-        siblings = F.filter(
-            nodes, lambda n: (n["parent"] == head["parent"]) & (n["ord"] > head["ord"]) & (n["text"] != "")
-        )
+        siblings = F.filter(_after(head), has_text)
         start = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("parts"))
 
         def step(acc: Column, n: Column) -> Column:
-            heading = is_heading(n)
-            stop = acc["done"] | (heading & ~hit(n) & (F.size(acc["parts"]) > 0))
-            skip = stop | (heading & hit(n))
-            parts = F.when(skip, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(n["text"])))
+            own = is_heading(n) & hit(F.lower(text_of(n)))
+            stop = acc["done"] | (is_heading(n) & ~own & (F.size(acc["parts"]) > 0))
+            parts = F.when(stop | own, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(text_of(n))))
             return F.struct(stop.alias("done"), parts.alias("parts"))
 
         return F.aggregate(siblings, start, step, lambda acc: F.array_join(acc["parts"], sep))
 
-    heads = F.filter(nodes, lambda n: is_heading(n) & hit(n))
-    found = F.filter(F.transform(heads, text_after), lambda t: t != "")
+    found = F.filter(F.transform(F.filter("heads", lambda h: hit(h["t"])), text_after), lambda t: t != "")
     return nz(first(found))
 
 
-def heading_block(nodes: Column, headings: list[str], items: bool = False) -> Column:
+def heading_block(headings: list[str], items: bool = False) -> Column:
     """Text after the first matching heading, phrase by phrase in order of preference; list items line by line.
 
-    Only real headings ``h1`` to ``h6`` end the block.
+    Only real headings ``h1`` to ``h6`` end the block. Needs ``nodes``, ``texts`` and ``heads``.
     """
     real = [f"h{i}" for i in range(1, 7)]
     kinds = HEADINGS if not items else HEADINGS[:-1]
 
     def for_phrase(phrase: str) -> Column:
-        head = first(F.filter(nodes, lambda n: n["tag"].isin(kinds) & F.lower(n["text"]).contains(phrase.lower())))
+        head = first(F.filter("heads", lambda h: h["tag"].isin(kinds) & h["t"].contains(phrase.lower())))
 
         def body(h: Column) -> Column:
-            siblings = F.filter(nodes, lambda n: (n["parent"] == h["parent"]) & (n["ord"] > h["ord"]))
-            end = F.coalesce(first(F.filter(siblings, lambda n: n["tag"].isin(real)))["ord"], F.lit(1 << 30))
-            block = F.filter(siblings, lambda n: (n["ord"] < end) & (n["text"] != ""))
-            plain = F.array_join(F.transform(block, lambda n: n["text"]), "\n" if items else " ")
-            if not items:
-                return plain
-            nxt = first(siblings)
-            listed = F.transform(children(nodes, nxt, lambda n: n["tag"] == "li"), lambda n: n["text"])
-            return F.when(nxt["tag"].isin("ol", "ul"), F.array_join(listed, "\n")).otherwise(plain)
+            def among(siblings: Column) -> Column:
+                end = F.coalesce(first(F.filter(siblings, lambda n: n["tag"].isin(real)))["ord"], F.lit(1 << 30))
+                block = F.filter(siblings, lambda n: (n["ord"] < end) & has_text(n))
+                plain = F.array_join(F.transform(block, text_of), "\n" if items else " ")
+                if not items:
+                    return plain
+                nxt = first(siblings)
+                listed = F.transform(children(F.col("nodes"), nxt, lambda n: n["tag"] == "li"), text_of)
+                return F.when(nxt["tag"].isin("ol", "ul"), F.array_join(listed, "\n")).otherwise(plain)
+
+            return let(_after(h), among)
 
         return F.nullif(let(head, body), F.lit(""))
 

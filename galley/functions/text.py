@@ -1,9 +1,11 @@
-"""Text scalars as Column functions. All native: no Python on the row path except entity decoding."""
+"""Text scalars as Column functions. All native: no Python on the row path."""
 
 from __future__ import annotations
 
 import html as _html
+import json
 import re as _re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -76,14 +78,47 @@ def normalize_search_title(c: Column | str) -> Column:
     return strip(F.translate(s, "“”‘’–—", "\"\"''--"))
 
 
+# Where the standard's references stand in a text, and what they mean: names from the standard table; numbers below 160 that
+# do not stand for the character of that number.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_NAMES = json.dumps(html5, ensure_ascii=False)
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+_LOW = json.dumps({str(n): _html.unescape(f"&#{n};") for n in range(160) if _html.unescape(f"&#{n};") != chr(n)})
+
+
+def _referred(e: Column) -> Column:
+    """One character reference to text; what is none stays as it is."""
+    name = F.substr(e, F.lit(2), F.length(e))
+    named = F.try_element_at(F.from_json(F.lit(_NAMES), "map<string,string>"), name)
+    # A name without its semicolon may be the start of a longer word.
+    start = F.regexp_extract(name, rf"\A(?:{_OPEN_NAMES})", 0)
+    part = F.concat(F.try_element_at(F.from_json(F.lit(_NAMES), "map<string,string>"), start), F.substr(name, F.length(start) + 1, F.length(name)))
+    word = F.coalesce(named, F.when(start != "", part), e)
+
+    digits = F.regexp_replace(F.regexp_extract(e, r"\A&#[xX]?([0-9a-fA-F]+)", 1), r"\A0+(?=.)", "")
+    digits = F.when(F.length(digits) > 8, F.lit("99999999")).otherwise(digits)
+    code = F.when(e.rlike(r"\A&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    low = F.try_element_at(F.from_json(F.lit(_LOW), "map<string,string>"), code.cast("string"))
+    gap = code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    number = (
+        F.when(low.isNotNull(), low)
+        .when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
+        .when(gap, F.lit(""))
+        .when(code == 0xFEFF, F.lit("\ufeff"))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
+    return F.when(e.startswith("&#"), number).otherwise(word)
+
+
 def decode_entities(c: Column | str) -> Column:
-    """HTML character references to text. Spark has no built-in for it; rows without ``&`` pass through."""
-    return _unescape(col(c))
+    """HTML character references to text; rows without ``&`` pass through."""
 
+    def decoded(s: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(s, F.lit(_REFERENCE), F.lit(0)), _referred)
+        pairs = F.zip_with(F.split(s, _REFERENCE, -1), F.concat(found, F.array(F.lit(""))), lambda gap, e: F.concat(gap, e))
+        return F.when(s.contains("&"), F.array_join(pairs, "")).otherwise(s)
 
-@F.pandas_udf(T.StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: _html.unescape(v) if v is not None and "&" in v else v)
+    return let(col(c), decoded)
 
 
 def escape_html(c: Column | str) -> Column:

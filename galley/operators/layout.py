@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, nz, norm_space, restore_missing_spaces, strip
-from ..plans.segments import running
+from ..plans.segments import positions, running
 
 PAGE = ["doc_id", "page"]
 # Rows of a page are cut into bands of this height when pages are not known to be bounded.
@@ -365,11 +365,8 @@ def bbox_suggestions(samples: DataFrame, width: float, height: float, min_confid
 
 
 def template_summary(samples: DataFrame, processed: DataFrame) -> DataFrame:
-    """Journals with their processed articles and the number of known fields, busiest first."""
+    """Journals with their processed articles and the number of known fields; ``pos`` ranks them, busiest first."""
     fields = samples.select(*FIELD).distinct().groupBy("issn").agg(F.count(F.lit(1)).alias("fields"))
     counts = processed.groupBy("issn").agg(F.count(F.lit(1)).alias("processed"))
-    return (
-        fields.join(counts, "issn", "left")
-        .select("issn", F.coalesce("processed", F.lit(0)).alias("processed"), "fields")
-        .orderBy(F.desc("processed"), "issn")
-    )
+    met = fields.join(counts, "issn", "left").select("issn", F.coalesce("processed", F.lit(0)).alias("processed"), "fields")
+    return positions(met, [], [F.desc("processed"), F.col("issn")])

@@ -21,12 +21,15 @@ from ..functions.nodes import (
     children,
     first,
     has_class,
+    has_text,
     heading_block,
-    html_nodes,
     meta_first,
     meta_pairs,
     meta_values,
     section_text as node_section,
+    text_of,
+    with_headings,
+    with_nodes,
     within,
 )
 from ..functions.text import (
@@ -94,21 +97,22 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
             ),
         )
     )
-    merged = df.select(key, F.posexplode(F.array_sort(F.concat(others, rows))).alias("n", "b")).select(key, "n", "b.*")
     # Cells are parted by a mark that survives tag removal, so a row is cleaned once and not cell by cell.
     mark = "\ue000"
-    marked = F.when(
-        F.col("block_type") == "table-row", F.regexp_replace("html", r"(?i)<t[hd][^>]*>", mark)
-    ).otherwise(F.col("html"))
-    text = block_text(marked)
-    cells = F.filter(F.transform(F.slice(F.split(text, mark), F.lit(2), F.size(F.split(text, mark))), strip), lambda x: x != "")
-    text = F.when(F.col("block_type") == "table-row", F.array_join(cells, " | ")).otherwise(text)
-    out = merged.withColumn("text", text).where("text <> ''")
-    # Position after blank blocks are gone: all blocks of a page come from one cell, so one small array per page.
-    packed = out.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "block_type", "html", "text"))).alias("b"))
-    return packed.select(key, F.posexplode("b").alias("i", "b")).select(
-        key, (F.col("i") + 1).alias("pos"), "b.block_type", "b.html", "b.text"
-    )
+
+    def cleaned(x: Column) -> Column:
+        row = x["block_type"] == "table-row"
+
+        def joined(text: Column) -> Column:
+            cells = F.split(text, mark)
+            filled = F.filter(F.transform(F.slice(cells, F.lit(2), F.size(cells)), strip), lambda c: c != "")
+            return F.when(row, F.array_join(filled, " | ")).otherwise(text)
+
+        marked = F.when(row, F.regexp_replace(x["html"], r"(?i)<t[hd][^>]*>", mark)).otherwise(x["html"])
+        return F.struct(x["block_type"].alias("block_type"), x["html"].alias("html"), let(block_text(marked), joined).alias("text"))
+
+    blocks = F.filter(F.transform(F.array_sort(F.concat(others, rows)), cleaned), lambda x: x["text"] != "")
+    return df.select(key, F.posexplode(blocks).alias("i", "b")).select(key, (F.col("i") + 1).alias("pos"), "b.block_type", "b.html", "b.text")
 
 
 # --- tags and embedded data -------------------------------------------------------------------------------------
@@ -134,7 +138,8 @@ ARTICLE_TYPES = ["article", "scholarlyarticle", "creativework", "newsarticle"]
 def _ld_nodes(docs: Column) -> Column:
     """Objects of embedded data in reading order: lists and ``@graph`` members unfolded, at any depth.
 
-    A step unfolds every open item by one level; a text cannot nest deeper than it has opening brackets.
+    A step unfolds every open item by one level, and steps do nothing once no item is open; a text cannot nest deeper
+    than it has opening brackets.
     """
     texts = F.array().cast("array<string>")
     items = "array<struct<text:string,done:boolean>>"
@@ -153,12 +158,15 @@ def _ld_nodes(docs: Column) -> Column:
             .otherwise(F.concat(own, open_items(members)))
         )
 
-    def step(state: Column, _: Column) -> Column:
-        return F.flatten(F.transform(state, unfold)).cast(items)
+    def state(found: Column) -> Column:
+        return F.struct(found.alias("items"), F.exists(found, lambda x: ~x["done"]).alias("open"))
+
+    def step(was: Column, _: Column) -> Column:
+        return F.when(was["open"], let(F.flatten(F.transform(was["items"], unfold)).cast(items), state)).otherwise(was)
 
     def unfolded(doc: Column) -> Column:
         levels = F.sequence(F.lit(0), F.length(doc) - F.length(F.replace(doc, F.lit("["), F.lit(""))) + 1)
-        return F.transform(F.aggregate(levels, open_items(F.array(doc)).cast(items), step), lambda x: x["text"])
+        return F.aggregate(levels, state(open_items(F.array(doc)).cast(items)), step, lambda was: F.transform(was["items"], lambda x: x["text"]))
 
     return F.flatten(F.transform(docs, lambda d: unfolded(nz(d))))
 
@@ -281,11 +289,6 @@ def jats_metadata(docs: DataFrame, key: str = "url", xml: str = "xml") -> DataFr
     )
 
 
-def with_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds the element list of every page."""
-    return pages.withColumn("nodes", html_nodes(html))
-
-
 # --- pages of the publication system ----------------------------------------------------------------------------
 
 # Captions, labels and headings of the publication pages.
@@ -307,12 +310,15 @@ def _captioned(nodes: Column, blocks: Column) -> Column:
     """``struct(lang, text)`` of language blocks: the caption tells the language and is cut off the text."""
 
     def one(b: Column) -> Column:
-        cap = first(children(nodes, b, lambda n: has_class(n, "lang_caption")))["text"]
-        up = F.upper(nz(cap))
-        lang = F.when(up.rlike(EN_CAPTION), F.lit("en")).when(up.rlike(RU_CAPTION), F.lit("ru"))
-        starts = F.upper(b["text"]).startswith(up)
-        text = F.when(starts, strip(F.substr(b["text"], F.length(nz(cap)) + 1, F.length(b["text"])))).otherwise(b["text"])
-        return F.struct(F.when(cap.isNotNull(), lang).alias("lang"), text.alias("text"))
+        cap = text_of(first(children(nodes, b, lambda n: has_class(n, "lang_caption"))))
+
+        def cut(whole: Column) -> Column:
+            up = F.upper(nz(cap))
+            lang = F.when(up.rlike(EN_CAPTION), F.lit("en")).when(up.rlike(RU_CAPTION), F.lit("ru"))
+            text = F.when(F.upper(whole).startswith(up), strip(F.substr(whole, F.length(nz(cap)) + 1, F.length(whole)))).otherwise(whole)
+            return F.struct(F.when(cap.isNotNull(), lang).alias("lang"), text.alias("text"))
+
+        return let(text_of(b), cut)
 
     return F.filter(F.transform(blocks, one), lambda x: x["lang"].isNotNull() & (x["text"] != ""))
 
@@ -324,18 +330,18 @@ def _of(items: Column, lang: str) -> Column:
 def detail_page_metadata(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
     """Publication pages: titles and abstracts from language blocks, page numbers, keywords and references from
     labelled table rows, headings where those are missing."""
-    df = with_nodes(pages, html).select(key, "nodes")
+    df = with_headings(with_nodes(pages, html).select(key, "nodes", "texts"))
     n = F.col("nodes")
     df = df.withColumn("ml", _captioned(n, F.filter("nodes", lambda x: has_class(x, "multilang"))))
 
     def row(r: Column) -> Column:
         def body(kids: Column) -> Column:
             cells = F.filter(kids, lambda x: x["tag"] == "td")
-            text = F.array_join(F.filter(F.transform(cells, lambda x: x["text"]), lambda t: t != ""), " ")
+            text = F.array_join(F.transform(F.filter(cells, has_text), text_of), " ")
             marked = F.filter(cells, lambda x: has_class(x, "multilang"))
             return F.struct(
                 r["ord"].alias("ord"),
-                nz(first(F.filter(kids, lambda x: x["tag"] == "th"))["text"]).alias("label"),
+                nz(text_of(first(F.filter(kids, lambda x: x["tag"] == "th")))).alias("label"),
                 text.alias("cell"),
                 (F.size(marked) > 0).alias("marked"),
                 _captioned(n, marked).alias("listed"),
@@ -349,7 +355,7 @@ def detail_page_metadata(pages: DataFrame, key: str = "url", html: str = "html")
         return F.struct(hit["ord"].alias("ord"), hit["close"].alias("close"))
 
     def titled(x: Column) -> Column:
-        return F.exists(within(n, x), lambda y: (y["tag"] == "th") & y["text"].rlike(REFERENCE_LABEL))
+        return F.exists(within(n, x), lambda y: (y["tag"] == "th") & text_of(y).rlike(REFERENCE_LABEL))
 
     df = df.withColumns(
         {
@@ -396,7 +402,7 @@ def detail_page_metadata(pages: DataFrame, key: str = "url", html: str = "html")
         return nz(F.get(_of(F.col("ml"), lang), F.lit(i)))
 
     def else_heading(value: Column, name: str) -> Column:
-        return F.when(value != "", value).otherwise(heading_block(n, DETAIL_HEADINGS[name]))
+        return F.when(value != "", value).otherwise(heading_block(DETAIL_HEADINGS[name]))
 
     references_ru = nz(_last(_of(F.col("rr"), "ru")))
     return df.select(
@@ -408,7 +414,7 @@ def detail_page_metadata(pages: DataFrame, key: str = "url", html: str = "html")
         normalize_keywords(else_heading(nz("k.ru"), "keywords_ru")).alias("keywords_ru"),
         normalize_keywords(else_heading(nz("k.en"), "keywords_en")).alias("keywords_en"),
         F.when(references_ru != "", references_ru)
-        .otherwise(heading_block(n, DETAIL_HEADINGS["references"], items=True))
+        .otherwise(heading_block(DETAIL_HEADINGS["references"], items=True))
         .alias("references_ru"),
         nz(_last(_of(F.col("rr"), "en"))).alias("references_en"),
         F.col("f").alias("first_page"),
@@ -423,7 +429,7 @@ def _last(items: Column) -> Column:
 
 def publication_links(pages: DataFrame, base_url: str, key: str = "page_id", html: str = "html") -> DataFrame:
     """Links to publications ``(key, pos, url, title)``: the styled ones, else any with an identifier, distinct."""
-    df = with_nodes(pages, html).select(key, "nodes")
+    df = with_nodes(pages, html).select(key, "nodes", "texts")
     links = F.filter("nodes", lambda x: (x["tag"] == "a") & (attr(x, "href") != ""))
     href = lambda x: attr(x, "href")
     styled = F.filter(
@@ -437,7 +443,7 @@ def publication_links(pages: DataFrame, base_url: str, key: str = "page_id", htm
 
     def row(x: Column) -> Column:
         full = F.when(href(x).startswith("http"), href(x)).otherwise(F.concat(F.lit(base_url.rstrip("/")), href(x)))
-        return F.struct(full.alias("url"), x["text"].alias("title"))
+        return F.struct(full.alias("url"), text_of(x).alias("title"))
 
     def distinct(rows: Column) -> Column:
         urls = F.transform(rows, lambda r: r["url"])
@@ -452,7 +458,7 @@ def publication_links(pages: DataFrame, base_url: str, key: str = "page_id", htm
 
 def section_text(pages: DataFrame, headings: list[str], sep: str = " ", key: str = "page_id", html: str = "html") -> DataFrame:
     """Section of every page under one of the headings; empty where there is none."""
-    return with_nodes(pages, html).select(key, node_section(F.col("nodes"), headings, sep).alias("text"))
+    return with_headings(with_nodes(pages, html)).select(key, node_section(headings, sep).alias("text"))
 
 
 # Meta names, section headings and classes of journal pages.
@@ -474,9 +480,9 @@ def _by_class(nodes: Column, patterns: list[str], lang: str) -> Column:
     def one(p: str) -> Column:
         def fits(n: Column) -> Column:
             own = F.lower(norm_space(F.when(attr(n, "lang") != "", attr(n, "lang")).otherwise(attr(n, "xml:lang"))))
-            return attr(n, "class").rlike("(?i)" + p) & ((own == "") | own.startswith(lang)) & (n["text"] != "")
+            return attr(n, "class").rlike("(?i)" + p) & ((own == "") | own.startswith(lang)) & has_text(n)
 
-        return first(F.filter(nodes, fits))["text"]
+        return text_of(first(F.filter(nodes, fits)))
 
     return F.coalesce(*[one(p) for p in patterns], F.lit(""))
 
@@ -531,7 +537,7 @@ def page_authors(metas: Column, article: Column) -> Column:
 def page_metadata(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """Metadata of journal pages with the precedence of sources; the script decides which language a text is."""
     df = with_nodes(pages.select(key, url, html, embedded_article(html).alias("ld")), html).drop(html)
-    df = df.withColumn("metas", meta_pairs(F.col("nodes")))
+    df = with_headings(df).withColumn("metas", meta_pairs(F.col("nodes")))
     n, ld, m = F.col("nodes"), F.col("ld"), F.col("metas")
 
     def ld_text(name: str) -> Column:
@@ -543,14 +549,14 @@ def page_metadata(pages: DataFrame, key: str = "page_id", html: str = "html", ur
         return F.coalesce(*[F.nullif(norm_space(o), F.lit("")) for o in options], F.lit(""))
 
     def tag_text(tag: str) -> Column:
-        return nz(first(F.filter(n, lambda x: x["tag"] == tag))["text"])
+        return nz(text_of(first(F.filter(n, lambda x: x["tag"] == tag))))
 
     bib = F.coalesce(
         first(F.filter(n, lambda x: attr(x, "id") == "articleBibliography")),
         first(F.filter(n, lambda x: has_class(x, "article-bibliography"))),
     )
-    items = F.filter(F.transform(children(n, bib, lambda x: x["tag"] == "li"), lambda x: x["text"]), lambda t: t != "")
-    bib_head = F.lower(nz(first(children(n, bib, lambda x: x["tag"].isin("h1", "h2", "h3", "h4")))["text"]))
+    items = F.transform(children(n, bib, lambda x: (x["tag"] == "li") & has_text(x)), text_of)
+    bib_head = F.lower(nz(text_of(first(children(n, bib, lambda x: x["tag"].isin("h1", "h2", "h3", "h4"))))))
     en_page = F.lower(F.regexp_extract(nz(url), r"\?([^#]*)", 1)).contains("sl=en")
     raw_title = pick(
         meta_first(m, "citation_title"), ld_text("headline"), ld_text("name"), meta_first(m, "og:title", "twitter:title", "dc.title"), tag_text("title"), tag_text("h1")
@@ -560,21 +566,21 @@ def page_metadata(pages: DataFrame, key: str = "page_id", html: str = "html", ur
             "raw_title": strip(F.regexp_replace(raw_title, r"(?U)\s*[|¦]\s*[^|¦]+\z", "")),
             "raw_abstract": pick(meta_first(m, "citation_abstract", "description", "og:description", "dc.description"), ld_text("description")),
             "title_en_html": pick(meta_first(m, "citation_title_en"), _by_class(n, TITLE_EN_CLASSES, "en")),
-            "abs_ru": node_section(n, SITE_SECTIONS["abstract_ru"]),
-            "abs_en": pick(node_section(n, SITE_SECTIONS["abstract_en"]), _by_class(n, ABSTRACT_EN_CLASSES, "en")),
+            "abs_ru": node_section(SITE_SECTIONS["abstract_ru"]),
+            "abs_en": pick(node_section(SITE_SECTIONS["abstract_en"]), _by_class(n, ABSTRACT_EN_CLASSES, "en")),
             "kw_meta": meta_first(m, "citation_keywords", "keywords", "news_keywords"),
-            "kw_ru": node_section(n, SITE_SECTIONS["keywords_ru"]),
-            "kw_en": node_section(n, SITE_SECTIONS["keywords_en"]),
+            "kw_ru": node_section(SITE_SECTIONS["keywords_ru"]),
+            "kw_en": node_section(SITE_SECTIONS["keywords_en"]),
             "bib": items,
             "bib_en": bib_head.contains("references") | en_page,
-            "ref_ru": split_references(node_section(n, SITE_SECTIONS["references_ru"], "\n")),
-            "ref_en": split_references(node_section(n, SITE_SECTIONS["references_en"], "\n")),
+            "ref_ru": split_references(node_section(SITE_SECTIONS["references_ru"], "\n")),
+            "ref_en": split_references(node_section(SITE_SECTIONS["references_en"], "\n")),
             "ref_meta": meta_values(m, "citation_reference"),
             "pages": parse_pages_meta(meta_first(m, "citation_firstpage"), meta_first(m, "citation_lastpage"), meta_first(m, "citation_pages")),
             "doi": pick(meta_first(m, "citation_doi"), meta_first(m, "dc.identifier"), ld_text("identifier")),
             "authors": page_authors(m, ld),
         }
-    ).drop("nodes", "ld", "metas")
+    ).drop("nodes", "texts", "heads", "ld", "metas")
     c = F.col
     df = df.withColumn("raw_abstract", strip_tags("raw_abstract")).withColumn(
         "doi", strip(F.regexp_replace("doi", r"(?iU)\A(?:doi:\s*|https?://doi\.org/)", ""))
@@ -620,7 +626,7 @@ def page_metadata(pages: DataFrame, key: str = "page_id", html: str = "html", ur
 def jats_link(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """Address of a page's article XML: a link that says so, else an alternate link, else a meta element."""
     links = F.filter("nodes", lambda x: (x["tag"] == "a") & F.map_contains_key(x["attrs"], "href"))
-    direct = first(F.filter(links, lambda x: F.lower(attr(x, "href")).contains("jats") | F.lower(x["text"]).contains("jats")))
+    direct = first(F.filter(links, lambda x: F.lower(attr(x, "href")).contains("jats") | F.lower(text_of(x)).contains("jats")))
     alternate = first(
         F.filter(
             "nodes",
@@ -642,40 +648,46 @@ LINK_POINTS = {"equal": 5, "inside": 4, "around": 2, "dated": 1}
 
 def rank_search_links(pages: DataFrame, key: str = "page_id", html: str = "html", base: str = "url", title: str = "title", k: int = 5) -> DataFrame:
     """Best links of a search page ``(key, rank, url, score)`` for a wanted title; ``k`` is the size of the report."""
-    df = with_nodes(pages, html).select(key, base, F.lower(norm_space(title)).alias("__t"), "nodes")
-    links = F.filter("nodes", lambda x: (x["tag"] == "a") & (attr(x, "href") != ""))
-    df = df.select(key, base, "__t", F.posexplode(links).alias("n", "a"))
-    a = F.col("a")
-    df = df.select(key, base, "__t", "n", strip(attr(a, "href")).alias("href"), norm_space(a["text"]).alias("anchor"))
-    df = df.where((F.col("href") != "") & ~F.col("href").startswith("#") & ~F.lower("href").startswith("javascript:"))
-    df = df.withColumn("url_", resolve_url(base, "href")).withColumn("__x", F.lower("anchor"))
+    df = with_nodes(pages, html).select(key, base, F.lower(norm_space(title)).alias("__t"), "nodes", "texts")
 
     def host(c: Column | str) -> Column:
         return F.lower(F.regexp_extract(c, r"\A[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
-    path = F.lower(F.regexp_extract("url_", r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
-    skip = F.lit(False)
-    for s in SKIP_PATHS:
-        skip = skip | path.contains(s)
-    t, x = F.col("__t"), F.col("__x")
-    wanted = t != ""
+    t = F.col("__t")
 
     def points(test: Column, name: str) -> Column:
         return F.when(test, F.lit(LINK_POINTS[name])).otherwise(F.lit(0))
 
-    score = (
-        points(wanted & (t == x), "equal")
-        + points(wanted & x.contains(t), "inside")
-        + points(wanted & t.contains(x) & (F.length(x) > 24), "around")
-        + points(path.rlike(r"/20\d{2}/"), "dated")
-    )
-    df = df.withColumn("score", score)
-    df = df.where((host("url_") == host(base)) & ~skip & (F.length("anchor") >= 12) & (F.col("score") > 0))
-    # First accepted occurrence of an address, then the best k of a page: aggregates over the links of one page cell.
-    firsts = df.groupBy(key, "url_").agg(F.min(F.struct("n", "score")).alias("f"))
-    tops = firsts.groupBy(key).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("f.score")).alias("s"), F.col("f.n").alias("n"), "url_"))), 1, k).alias("top")
-    )
-    return tops.select(key, F.posexplode("top").alias("i", "l")).select(
-        key, (F.col("i") + 1).alias("rank"), F.col("l.url_").alias("url"), (-F.col("l.s")).alias("score")
+    def scored(x: Column) -> Column:
+        """Address and score of a link; score 0 for one that is not taken."""
+        low = F.lower(x["anchor"])
+        path = F.lower(F.regexp_extract(x["url"], r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
+        skip = F.lit(False)
+        for s in SKIP_PATHS:
+            skip = skip | path.contains(s)
+        score = (
+            points((t != "") & (t == low), "equal")
+            + points((t != "") & low.contains(t), "inside")
+            + points((t != "") & t.contains(low) & (F.length(low) > 24), "around")
+            + points(path.rlike(r"/20\d{2}/"), "dated")
+        )
+        taken = (host(x["url"]) == host(base)) & ~skip & (F.length(x["anchor"]) >= 12)
+        return F.struct((-F.when(taken, score).otherwise(F.lit(0))).alias("s"), x["n"].alias("n"), x["url"].alias("url"))
+
+    def usable(x: Column) -> Column:
+        href = strip(attr(x, "href"))
+        return (x["tag"] == "a") & (href != "") & ~href.startswith("#") & ~F.lower(href).startswith("javascript:")
+
+    def link(x: Column) -> Column:
+        return F.struct(x["ord"].alias("n"), resolve_url(base, strip(attr(x, "href"))).alias("url"), norm_space(text_of(x)).alias("anchor"))
+
+    good = F.filter(F.transform(F.transform(F.filter("nodes", usable), link), scored), lambda x: x["s"] < 0)
+
+    def best(items: Column) -> Column:
+        """First occurrence of an address, then the best ``k`` of the page."""
+        urls = F.transform(items, lambda x: x["url"])
+        return F.slice(F.array_sort(let(urls, lambda us: F.filter(items, lambda x, i: F.array_position(us, x["url"]) == i + 1))), 1, k)
+
+    return df.select(key, F.posexplode(let(good, best)).alias("i", "l")).select(
+        key, (F.col("i") + 1).alias("rank"), F.col("l.url").alias("url"), (-F.col("l.s")).alias("score")
     )

@@ -471,22 +471,22 @@ _ANY_TOKEN = P.I + "|".join(f"(?:{p})" for p in INLINE.values())
 def inline_tokens(c: Column | str) -> Column:
     """Emails, URLs, DOIs and article-type labels: ``struct(start, end, text, kind)``, leftmost first, without overlaps.
 
-    The text between tokens gives their places: a token starts after all tokens and gaps before it.
+    The text between tokens gives their places: one pass adds up gaps and tokens.
     """
 
     def tokens(s: Column) -> Column:
         found = F.regexp_extract_all(s, F.lit(_ANY_TOKEN), F.lit(0))
-        gaps = F.split(s, _ANY_TOKEN, -1)
+        pairs = F.zip_with(found, F.slice(F.split(s, _ANY_TOKEN, -1), F.lit(1), F.size(found)), lambda t, gap: F.struct(t.alias("t"), F.length(gap).alias("gap")))
+        kinds = "array<struct<start:int,end:int,text:string,kind:string>>"
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("done"))
 
-        def one(t: Column, i: Column) -> Column:
-            def width(items: Column, n: Column) -> Column:
-                return F.aggregate(F.slice(items, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-
-            start = width(gaps, i + 1) + width(found, i)
+        def step(acc: Column, x: Column) -> Column:
+            t, start = x["t"], acc["at"] + x["gap"]
             kind = F.coalesce(*[F.when(t.rlike(rf"{P.I}\A(?:{p})\z"), F.lit(k)) for k, p in INLINE.items()])
-            return F.struct(start.alias("start"), (start + F.length(t)).alias("end"), strip(t).alias("text"), kind.alias("kind"))
+            token = F.struct(start.alias("start"), (start + F.length(t)).alias("end"), strip(t).alias("text"), kind.alias("kind"))
+            return F.struct((start + F.length(t)).alias("at"), F.concat(acc["done"], F.array(token)).alias("done"))
 
-        return F.transform(found, one)
+        return F.aggregate(pairs, none, step, lambda acc: acc["done"])
 
     return let(nz(c), tokens)
 
@@ -514,9 +514,24 @@ def split_metadata_line(c: Column | str) -> Column:
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
-# Lines that always continue a paragraph (at their start), with and without regard to case.
-CONTINUE_ANY_CASE = [r"\([^)]+\)\.?\s*\z", r"\s*[SsCcPp]+\.?\s*\d+(?:[–-]\d+)?\.?\s*\z", r"\s*\d+\s*[PpСс]+\.?\s*\z", r"\s*(?:Vol\.|Т\.|№)\s*\d+"]
-CONTINUE_AS_IS = [r"\s*\d+/\d+\.", r"\s*\d{4}\.\s*[Ss]\.\s*\d+", r"\s*\d+[–-]\d+\.?\s*\z"]
+# Lines that always continue a paragraph, and whether case counts for them.
+CONTINUES = [
+    (r"\A\([^)]+\)\.?\s*\z", False),
+    (r"\A\s*\d+/\d+\.\s*\d{4}\.", True),
+    (r"\A\s*\d{4}\.\s*[Ss]\.\s*\d+", True),
+    (r"\A\s*[SsCcPp]+\.?\s*\d+[–-]\d+\.?\s*\z", False),
+    (r"\A\s*[SsCcPp]+\.?\s*\d+\.?\s*\z", False),
+    (r"\A\s*\d+\s*[PpСс]+\.?\s*\z", False),
+    (r"\A\s*\d+[–-]\d+\.?\s*\z", True),
+    (r"\A\s*\d+/\d+\.", True),
+    (r"\A\s*(?:Vol\.|Т\.|№)\s*\d+", False),
+]
+# Sizes in characters and words at which a line continues a paragraph or begins one.
+FEW_WORDS = 2
+SHORT_LINE, SHORT_AFTER_COMMA, SHORT_AFTER_STOP = 40, 50, 30
+FULL_SENTENCE, LONG_PARAGRAPH, TOO_LONG_PARAGRAPH = 20, 150, 500
+# Length of a title line, and its share of capitals.
+TITLE_LENGTH, TITLE_CAPITALS = (8, 140), 0.75
 # A line and the next that are one, joined by a blank or by nothing.
 JOINED_BY_BLANK = [(r"Ссылка", r"для\s+цитирования\s*:"), (r"URL\s*:", r"https?://")]
 JOINED_TIGHT = (r"\bDOI:\s*[0-9]+\.[0-9]+/\s*", r"[A-Z0-9\-]+")
@@ -542,75 +557,110 @@ def _part_facts(part: Column) -> Column:
         (part.rlike(P.I + PART_HEADS[0]) | part.rlike(P.I + PART_HEADS[1])).alias("section"),
         P.is_metadata_or_header(part).alias("header"),
         part.rlike(r"\A\p{Lu}").alias("capital"), part.rlike(r"\A\p{Ll}").alias("small"),
-        (part.rlike(P.I + "|".join(rf"\A{p}" for p in CONTINUE_ANY_CASE)) | part.rlike(P.U + "|".join(rf"\A{p}" for p in CONTINUE_AS_IS))).alias("same"),
+        P.any_of([part.rlike((P.U if cased else P.I) + p) for p, cased in CONTINUES]).alias("same"),
+        norm_space(F.substr(part, F.lit(1), F.length(part) - 1)).alias("cut"), _caps(s).alias("title"),
         word_count(part).alias("words"), F.length(part).alias("size"),
     )
 
 
 def _caps(s: Column) -> Column:
     stop = P.any_of([F.endswith(s, F.lit(m)) for m in (".", "!", "?", ";", ":")])
-    return (F.length(s) >= 8) & (F.length(s) <= 140) & ~stop & (upper_ratio(s) >= 0.75)
+    low, high = TITLE_LENGTH
+    return (F.length(s) >= low) & (F.length(s) <= high) & ~stop & (upper_ratio(s) >= TITLE_CAPITALS)
+
+
+# Parts that one inner fold goes through.
+CHUNK = 512
+# What a part is to the paragraphs: nothing, a further part, a first part; the same without its trailing hyphen.
+_NONE, _ON, _FIRST, _ON_CUT, _FIRST_CUT = range(5)
 
 
 def paragraphs(c: Column | str) -> Column:
     """Extracted text of a document, one line per row of type, to its paragraphs.
 
-    A fold over the parts of the text: the state is what is done, the open paragraph, its last part, and whether the
-    reference list is open. Blank lines end a paragraph; headings and front matter stand alone; a trailing hyphen is
-    cut; the rest depends on the part before and the length so far.
+    A fold over the parts of the text says of each part whether it begins a paragraph or goes on. Its state has a constant
+    size: the length of the open paragraph, its text while it is short enough for a title, the last part, and whether
+    the reference list is open. The paragraphs are cut out by these marks at the end. Blank lines end a paragraph;
+    headings and front matter stand alone; a trailing hyphen is cut; the rest depends on the part before and the length.
     """
-    none = F.array().cast("array<string>")
     lines = F.split(_rejoined(nz(c)), "\n")
     parts = F.flatten(F.transform(lines, lambda x: F.when(strip(x) == "", F.array(F.lit(""))).otherwise(split_metadata_line(x))))
 
-    def state(done: Column, open_: Column, last: Column, refs: Column) -> Column:
-        return F.struct(done.alias("done"), open_.alias("open"), last.alias("last"), refs.alias("refs"))
+    def state(size: Column, text: Column, last: Column, refs: Column) -> Column:
+        return F.struct(size.alias("size"), text.alias("text"), last.alias("last"), refs.alias("refs"))
 
-    def closed(st: Column) -> Column:
-        return F.when(st["open"] == "", st["done"]).otherwise(F.concat(st["done"], F.array(st["open"])))
+    no, zero = F.lit(""), F.lit(0)
 
-    def step(was: Column, p: Column) -> Column:
-        part, no = p["part"], F.lit("")
+    def rule(was: Column, p: Column) -> Column:
+        """State behind a part, and the part's mark."""
 
         def within(st: Column) -> Column:
-            prev, size = F.regexp_replace(st["last"], r"(?U)\s+\z", ""), F.length(st["open"])
-            done = closed(st)
+            prev, open_ = F.regexp_replace(st["last"], r"(?U)\s+\z", ""), st["size"] > 0
+
+            def told(mark, next_: Column) -> Column:
+                return F.struct((F.lit(mark) if isinstance(mark, int) else mark).alias("mark"), next_.alias("next"))
 
             def after(*marks: str) -> Column:
                 return P.any_of([F.endswith(prev, F.lit(m)) for m in marks])
 
-            def add(text: Column) -> Column:
-                return state(st["done"], norm_space(F.concat_ws(" ", st["open"], text)), text, st["refs"])
-
-            fresh = state(done, p["flat"], part, st["refs"])
-            alone = state(F.concat(done, F.array(p["flat"])), no, no, st["refs"])
-            listing = state(F.concat(done, F.array(p["flat"])), no, no, F.lit(True))
-            title = F.get(done, F.size(done) - 1)
-            two = (F.size(done) > 0) & _caps(title) & _caps(p["flat"])
-            joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(norm_space(F.concat_ws(" ", title, part))))
-            heading = F.when(two, state(joined, no, no, st["refs"])).otherwise(fresh)
-            begins = p["capital"] & ((size > 500) | ((size > 150) & (p["size"] > 20) & after(".", "!", "?")))
+            def add(flat: Column, last: Column, on: int, first: int) -> Column:
+                size = F.when(flat == "", st["size"]).when(open_, st["size"] + 1 + F.length(flat)).otherwise(F.length(flat))
+                text = F.when(size > TITLE_LENGTH[1], no).when(open_, F.concat_ws(" ", st["text"], flat)).otherwise(flat)
+                return told(F.when(open_, F.lit(on)).otherwise(F.lit(first)), state(size, text, last, st["refs"]))
+
+            short = F.when(F.length(p["flat"]) <= TITLE_LENGTH[1], p["flat"]).otherwise(no)
+            fresh = told(_FIRST, state(F.length(p["flat"]), short, p["part"], st["refs"]))
+            go_on = add(p["flat"], p["part"], _ON, _FIRST)
+            heading = F.when(_caps(st["text"]) & p["title"], told(_ON, state(zero, no, no, st["refs"]))).otherwise(fresh)
+            begins = p["capital"] & (
+                (st["size"] > TOO_LONG_PARAGRAPH) | ((st["size"] > LONG_PARAGRAPH) & (p["size"] > FULL_SENTENCE) & after(".", "!", "?"))
+            )
             goes_on = p["same"] | (
-                (p["small"] & (p["words"] <= 2))
-                | (~after(".", "!", "?", ":", ";") & ((p["size"] < 40) | p["small"]))
-                | (after(",", ":", ";") & ((p["size"] < 50) | p["small"]))
-                | (after(".") & p["small"] & (p["size"] < 30))
+                (p["small"] & (p["words"] <= FEW_WORDS))
+                | (~after(".", "!", "?", ":", ";") & ((p["size"] < SHORT_LINE) | p["small"]))
+                | (after(",", ":", ";") & ((p["size"] < SHORT_AFTER_COMMA) | p["small"]))
+                | (after(".") & p["small"] & (p["size"] < SHORT_AFTER_STOP))
             )
             return (
-                F.when(p["blank"], state(done, no, no, st["refs"]))
-                .when(p["opens_list"], listing)
-                .when(st["refs"], F.when(p["entry"], fresh).otherwise(add(part)))
-                .when(p["alone"], alone)
-                .when(p["hyphen"], add(strip(F.substr(part, F.lit(1), F.length(part) - 1))))
-                .when(p["section"] | (st["open"] == ""), fresh)
+                F.when(p["blank"], told(_NONE, state(zero, no, no, st["refs"])))
+                .when(p["opens_list"], told(_FIRST, state(zero, no, no, F.lit(True))))
+                .when(st["refs"], F.when(p["entry"], fresh).otherwise(go_on))
+                .when(p["alone"], told(_FIRST, state(zero, no, no, st["refs"])))
+                .when(p["hyphen"], add(p["cut"], strip(F.substr(p["part"], F.lit(1), p["size"] - 1)), _ON_CUT, _FIRST_CUT))
+                .when(p["section"] | ~open_, fresh)
                 .when(p["header"], heading)
-                .when(~begins & goes_on, add(part))
+                .when(~begins & goes_on, go_on)
                 .otherwise(fresh)
             )
 
         # The end of the list closes what is open before the part is looked at.
         ended = was["refs"] & p["ends_list"] & ~p["opens_list"]
-        return let(F.when(ended, state(closed(was), no, no, F.lit(False))).otherwise(was), within)
+        return let(F.when(ended, state(zero, no, no, F.lit(False))).otherwise(was), within)
+
+    marks = F.array().cast("array<int>")
+
+    def inner(acc: Column, p: Column) -> Column:
+        return let(rule(acc["st"], p), lambda r: F.struct(r["next"].alias("st"), F.concat(acc["marks"], F.array(r["mark"])).alias("marks")))
+
+    def outer(acc: Column, chunk: Column) -> Column:
+        """A chunk's marks are appended at once, so that a long text is not copied at every part."""
+        start = F.struct(acc["st"].alias("st"), marks.alias("marks"))
+        return let(F.aggregate(chunk, start, inner), lambda r: F.struct(r["st"].alias("st"), F.concat(acc["marks"], F.array(r["marks"])).alias("marks")))
+
+    def cut_out(facts: Column) -> Column:
+        n = F.size(facts)
+        chunks = F.transform(F.sequence(zero, F.floor((n - 1) / F.lit(CHUNK)).cast("int")), lambda i: F.slice(facts, i * CHUNK + 1, F.lit(CHUNK)))
+        start = F.struct(state(zero, no, no, F.lit(False)).alias("st"), F.array().cast("array<array<int>>").alias("marks"))
+        return let(F.aggregate(chunks, start, outer, lambda acc: F.flatten(acc["marks"])), lambda ms: cut_by(facts, ms))
+
+    def cut_by(facts: Column, ms: Column) -> Column:
+        texts = F.zip_with(facts, ms, lambda p, m: F.when(m == _NONE, no).when(m >= _ON_CUT, p["cut"]).otherwise(p["flat"]))
+        firsts = F.filter(F.transform(ms, lambda m, i: F.when(m.isin(_FIRST, _FIRST_CUT), i)), lambda i: i.isNotNull())
+
+        def whole(ts: Column, at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(ts)))
+            return F.zip_with(at, ends, lambda a, b: F.array_join(F.filter(F.slice(ts, a + 1, b - a), lambda t: t != ""), " "))
+
+        return let(texts, lambda ts: let(firsts, lambda at: whole(ts, at)))
 
-    start = state(none, F.lit(""), F.lit(""), F.lit(False))
-    return F.aggregate(F.transform(parts, _part_facts), start, step, closed)
+    return F.filter(let(F.transform(parts, _part_facts), cut_out), lambda t: t != "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import parse_pages, start_page_loose
 from ..functions.text import col
-from ..plans.segments import first_per_key
+from ..plans.segments import first_per_key, positions
 from .lines import safe_names
 
 
@@ -89,8 +89,11 @@ def issue_file_counts(files: DataFrame) -> DataFrame:
 
 
 def list_runs(archive: DataFrame) -> DataFrame:
-    """Runs, newest first, with the number and the names of their issues, one row per (run, issue)."""
-    return archive.select("run_id", "issue").distinct().orderBy(F.desc("run_id"), "issue")
+    """``(run_no, run_id, issue_no, issue)``: runs numbered newest first, and in each its issues by name, one row per pair."""
+    pairs = archive.select("run_id", "issue").distinct()
+    runs = positions(pairs.select("run_id").distinct(), [], [F.desc("run_id")], "run_no")
+    placed = positions(pairs, ["run_id"], [F.col("issue")], "issue_no").withColumnRenamed("run_id", "__run")
+    return placed.join(runs, F.col("__run").eqNullSafe(F.col("run_id"))).select("run_no", "run_id", "issue_no", "issue")
 
 
 def list_current(current: DataFrame) -> DataFrame:
@@ -111,10 +114,12 @@ def invalid_records(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def order_articles(articles: DataFrame, *extra: str) -> DataFrame:
-    """Start page ascending, unparsable last, then lower-cased name."""
-    return articles.orderBy(
-        *[col(e) for e in extra], F.asc_nulls_last(parse_pages("pages")["min_page"]), F.lower("name"), "name"
-    )
+    """Adds ``pos``, an article's place in its issue: start page ascending, unparsable last, then lower-cased name.
+
+    ``extra`` columns come before the page. An issue of any size is ordered by many tasks.
+    """
+    order = [*[col(e) for e in extra], F.asc_nulls_last(parse_pages("pages")["min_page"]), F.lower("name"), F.col("name")]
+    return positions(articles, ["issue"], order)
 
 
 def article_place(pages: Column | str, name: Column | str = "name") -> Column:
@@ -124,8 +129,8 @@ def article_place(pages: Column | str, name: Column | str = "name") -> Column:
 
 
 def order_listing(articles: DataFrame) -> DataFrame:
-    """Issue, loose start page with missing last, name as written."""
-    return articles.orderBy("issue", F.asc_nulls_last(start_page_loose("pages")), "name")
+    """Adds ``pos``, the place in the listing of all issues: issue, loose start page with missing last, name as written."""
+    return positions(articles, [], [F.col("issue"), F.asc_nulls_last(start_page_loose("pages")), F.col("name")])
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

@@ -184,12 +184,62 @@ def row_numbers(
     return running(df, keys, ordinal, sums={name: F.lit(1)}, bounded=bounded)
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The first row of every key by ``order``: an aggregate with map-side combine, not a per-key sort."""
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """Adds each row's place from 1 inside its key by any order, or in the whole table without keys.
+
+    Rows are range-partitioned by key and order, so a key of any size is split by place; a partition numbers its own rows,
+    and what stands before it inside the key comes from one summary row per key and partition. Rows that tie in the
+    order are numbered as they come.
+    """
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    agg = F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("__row")
-    return df.groupBy(*keys).agg(agg).select(*keys, "__row.*").select(*df.columns)
+    by = [*[F.col(k) for k in keys], *order]
+    lined = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    lined = _cut(lined.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    pieces = lined.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__add"))
+    met = _join_back(lined, starts, [*keys, "__part"])
+    return met.select(*df.columns, (F.col("__at") + F.col("__add")).alias(name))
+
+
+# Width of the numbers that a place in an order is packed from.
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
+def _packed(df: DataFrame, order: Sequence[Column]) -> Column:
+    """Whole numbers of at most 64 bits together, null first, and a hash of the row behind them, as one decimal."""
+    tie = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 4)
+    out = F.lit(0).cast("decimal(38,0)")
+    for o in order:
+        bits = _BITS[df.select(o.alias("o")).schema[0].dataType.simpleString()]
+        out = (out * F.lit(1 << bits).cast("decimal(20,0)")).cast("decimal(38,0)")
+        out = (out + F.coalesce(o.cast("decimal(20,0)"), F.lit(-(1 << (bits - 1))).cast("decimal(20,0)"))).cast("decimal(38,0)")
+    return ((out * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)") + tie.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """The first row of every key by ``order`` (numbers, null first); of rows that tie, one by a hash of the row.
+
+    Two phases: a hash aggregate of the place alone, which fits its buffers and combines before it moves, then a
+    semi-join on key and place takes the rows. Nothing is sorted by key, and no row travels inside an aggregate. Fractions
+    take a round of their own each; whole numbers of together 64 bits and the tie take one.
+    """
+    keys, names = list(keys), df.columns
+    kinds = [df.select(o.alias("o")).schema[0].dataType.simpleString() for o in order]
+    taken = 0
+    while taken < len(order) and kinds[taken] in _BITS and sum(_BITS[k] for k in kinds[: taken + 1]) <= 64:
+        taken += 1
+    last = taken == len(order)
+    place = _packed(df, order[:taken]) if last else (order[0].cast("bigint") if kinds[0] in _BITS else order[0].cast("double"))
+    least = F.lit(-(1 << 63)).cast("bigint") if kinds and kinds[0] in _BITS else F.lit(float("-inf"))
+    placed = df.withColumn("__p", place if last else F.coalesce(place, least))
+    tops = placed.groupBy(*keys).agg(F.min("__p").alias("__least")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = F.col("__p") == F.col("__least")
+    for k in keys:
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`__k_{k}`"))
+    rows = placed.join(tops, same, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    # Rows that repeat each other whole are one; a distinct keeps no buffers.
+    return rows.distinct() if last else first_per_key(rows, keys, *order[1:])
 
 
 def island_text(ordinal: str, text: str, sep: str = " ") -> Column:

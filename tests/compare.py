@@ -54,8 +54,8 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None):
     want_types = dict(zip(want.columns, [str(d[1]) for d in rel.description])) if rel.description else {}
     a, b = canon(got), canon(want)
     if len(a) != len(b):
-        only_a = [x for x in a if x not in set(b)][:2]
-        only_b = [x for x in b if x not in set(a)][:2]
+        sa, sb = set(a), set(b)
+        only_a, only_b = [x for x in a if x not in sb][:2], [x for x in b if x not in sa][:2]
         return "ROWS", f"{len(a)} vs {len(b)}\n   spark {str(only_a)[:600]}\n   duck  {str(only_b)[:600]}", t1 - t0
     if a != b:
         sa, sb = set(a), set(b)

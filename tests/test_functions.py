@@ -141,6 +141,34 @@ def test_paragraphs(spark):
 def test_nodes(spark):
     html = "<html><body><h2>Abstract:</h2><p>One</p><p>Two <b>x</b></p><h3>Other</h3><p>Three</p></body></html>"
     df = spark.createDataFrame([(0, html), (1, "<div id=a><br><i>q</div></p>tail")], "i int, t string")
-    df = df.withColumn("n", nodes.html_nodes("t")).orderBy("i")
-    got = df.select(nodes.section_text(F.col("n"), ["abstract"]).alias("s"), F.size("n").alias("k")).collect()
+    df = nodes.with_headings(nodes.with_nodes(df, "t")).orderBy("i")
+    got = df.select(nodes.section_text(["abstract"]).alias("s"), F.size("nodes").alias("k")).collect()
     assert got[0]["s"] == "One Two x" and got[1]["k"] == 3
+
+
+def test_entities_are_those_of_the_standard(spark):
+    import html
+    import random
+
+    rng = random.Random(4)
+    bits = ["&", "amp", "amp;", "#", "#x", "41", ";", "lt", "gt;", "notit;", "not", "&#0;", "&#128;", "&#x110000;", "&#xD800;", "&#65279;", "&#xFDD0;", "&#x1F600;", "&#99999999999;", " ", "x",
+            "&nbsp;", "&eacute", "&NotEqualTilde;", "&zwnj;", "Ж", "&copy2", "&#x;", "&#;", "&a", "&#13;", "&#x80", "&#1;", "&#0000065;"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(3000)] + bits + ["", "no entity", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.o for r in df.select("i", text.decode_entities("t").alias("o")).collect()}
+    wrong = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if t is not None and got[i] != html.unescape(t)]
+    assert not wrong and got[len(texts) - 1] is None, wrong[:5]
+
+
+def test_line_predicates_have_no_python(spark):
+    from galley.functions import predicates as P
+
+    df = spark.createDataFrame([("x",)], "t string")
+    checks = [P.is_reference_heading, P.is_reference_end, P.is_running_header, P.list_kind]
+    for check in checks:
+        try:
+            out = df.select(check("t"))
+        except TypeError:
+            out = df.select(check("t", "t"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "ArrowEval" not in plan

@@ -2,6 +2,7 @@
 
 import json
 import os
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,14 +151,24 @@ def test_scan_and_write(spark, archive, tmp_path):
     S.write_articles(good, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     journals = spark.createDataFrame([(0, "1234-5678", "", "", "Журнал", "", "u", "Y")], "ord int, ISSN string, ISSN_Print string, ISSN_Online string, Title string, TitleEn string, Url string, RAS string")
-    S.write_issue_xml(good, journals, str(tmp_path / "xml"))
-    folder = tmp_path / "xml" / "issue=1234-5678_2024_1"
-    xml = "".join((folder / f).read_text(encoding="utf-8") for f in sorted(os.listdir(folder)) if f.startswith("part"))
-    assert xml.startswith("<journal>") and xml.rstrip().endswith("</journal>") and "<spin>77</spin>" in xml and "Журнал" in xml
+    made = S.write_issue_xml(good, journals, str(tmp_path / "xml"), str(tmp_path / "work")).collect()
+    assert [(r["issue"], r["file"]) for r in made] == [("1234-5678_2024_1", "1234-5678_2024_1.xml")] and os.listdir(tmp_path / "xml") == ["1234-5678_2024_1.xml"]
+    xml = (tmp_path / "xml" / "1234-5678_2024_1.xml").read_text(encoding="utf-8")
+    assert ElementTree.fromstring(xml.encode()).tag == "journal" and "<spin>77</spin>" in xml and "Журнал" in xml
     whole = K.issue_xml(good, journals).where("issue = '1234-5678_2024_1'")
     assert K.issue_structure_errors(whole).count() == 0
 
 
+def test_records_and_journals_over_many_lines(spark, tmp_path):
+    folder = tmp_path / "1234-5678_2024_1"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps({"pages": "5-9", "codes": {"doi": "10.1/x"}}, indent=2), encoding="utf-8")
+    (tmp_path / "journals.txt").write_text(json.dumps([{"ISSN": "1234-5678", "Title": "J"}], indent=2), encoding="utf-8")
+    rows = S.scan_articles(spark, str(tmp_path)).collect()
+    assert [(r["name"], r["pages"], r["record"]["codes"]["doi"]) for r in rows] == [("a.json", "5-9", "10.1/x")]
+    assert [r["ISSN"] for r in S.scan_journals(spark, str(tmp_path / "journals.txt")).collect()] == ["1234-5678"]
+
+
 def test_unknown_keys_make_a_round_trip(spark, tmp_path):
     record = {
         "pages": "5-9", "myExtra": {"a": [1, 2.5, None, "й"]}, "flag": True, "extras": "own", "codes": {"doi": "10.1/x", "isbn": "7"},
@@ -263,8 +274,21 @@ def test_page_probes(spark):
         node = {"@graph": [{"@type": "WebSite"}, node]}
     found = G.json_ld_article(pages(f'<script type="application/ld+json">{json.dumps([node])}</script>')).collect()
     assert [json.loads(r["node"])["name"] for r in found] == ["z"]
-    assert G.with_nodes(pages("<div>Real<script>var a=1;</script></div>")).first()["nodes"][0]["text"] == "Real"
+    assert G.with_nodes(pages("<div>Real<script>var a=1;</script></div>")).select(G.text_of(F.col("nodes")[0]).alias("t")).first()["t"] == "Real"
     xml = [("u", '<article><article-title xml:lang="en">Alloys with x &lt; 0.5 &amp; y</article-title></article>'), ("v", "<article><article-title>T")]
     got = {r["url"]: r for r in G.jats_metadata(spark.createDataFrame(xml, "url string, xml string")).collect()}
     assert got["u"]["title"] == "Alloys with x < 0.5 & y" and not got["u"]["error"]
     assert got["v"]["title"] == "" and got["v"]["error"]
+
+
+def test_first_per_key_sorts_nothing(spark):
+    rows = [(k, n, s, f"t{k}-{n}-{i}") for i in range(3) for k in (None, "a", "b") for n, s in ((3, 0.5), (1, 2.5), (1, 0.25), (None, None))]
+    df = spark.createDataFrame(rows + rows[:4], "k string, n int, s double, t string")
+    whole = segments.first_per_key(df, ["k"], F.col("n"))
+    assert {r["k"]: r["n"] for r in whole.collect()} == {None: None, "a": None, "b": None} and whole.count() == 3
+    known = df.where("n is not null")
+    assert {r["k"]: (r["s"], r["n"]) for r in segments.first_per_key(known, ["k"], F.col("s"), F.col("n")).collect()} == {k: (0.25, 1) for k in (None, "a", "b")}
+    assert segments.first_per_key(known, ["k"], F.col("n"), F.col("s")).count() == 3
+    again = R.dedupe_references(spark.createDataFrame([(1, i, t) for i, t in enumerate(["x doi.org/10.1/a", "y", "y"])], "doc_id long, line_no int, text string"))
+    for query in (whole, again):
+        assert "SortAggregate" not in query._jdf.queryExecution().executedPlan().toString()
