@@ -10,6 +10,7 @@ Layout: ``MAGIC`` | block planes ... | footer (zstandard) | footer length, u64 |
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -52,6 +53,8 @@ class Encoder:
 
     def __init__(self, path: str, cached: int = CACHED):
         self.cached = cached
+        # A task has one core; threads beside it would only take time from other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
