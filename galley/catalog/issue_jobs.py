@@ -223,8 +223,10 @@ def pending_files(spark, sf):
 # --- locating articles: the documents of a source are the articles of one issue ----------------------------------
 ISSUE_LINES = LineView()
 _LOC_LINES = "(SELECT d.source AS issue, (row_number() OVER (PARTITION BY d.source ORDER BY l.doc_id, l.line_no) - 1)::BIGINT AS line_no, l.text FROM " + ISSUE_LINES.sql + " l JOIN documents d USING (doc_id))"
+# The whole first line of a document is its title; every other one has a word that no line has.
+_LOC_TITLE = "split_part(text, chr(10), 1) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' zzz' END"
 _LOC_ARTS = ("(SELECT source AS issue, 'd' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN regexp_extract(text, '([A-Za-z]{7,})', 1) ELSE '' END AS surname, "
-             "CASE WHEN doc_id % 2 = 0 THEN substring(text, 3, 40) ELSE substring(text, 1, 60) || ' zzz' END AS title FROM documents)")
+             f"{_LOC_TITLE} AS title FROM documents)")
 _TOCX = f"(length({S('text')}) < 5 OR (regexp_matches({S('text')}, '^\\s*\\S+.*[0-9]+\\s*$') AND len(regexp_extract_all({S('text')}, '[0-9]+')) <= 2))"
 
 
@@ -242,7 +244,7 @@ def locate_article(spark, sf):
     lines = lines.select("issue", (C("doc_id") * 1000000 + C("n")).alias("k"), "text")
     lines = L.renumber(lines, ["issue"], "k", "line_no").select("issue", (C("line_no") - 1).alias("line_no"), "text")
     arts = docs.selectExpr("source AS issue", "'d' || doc_id AS name", "CASE WHEN doc_id % 3 = 0 THEN regexp_extract(text, '([A-Za-z]{7,})', 1) ELSE '' END AS surname",
-                           "CASE WHEN doc_id % 2 = 0 THEN substring(text, 3, 40) ELSE substring(text, 1, 60) || ' zzz' END AS title")
+                           f"{_LOC_TITLE} AS title")
     return M.locate_article(arts, lines).select("issue", "name", F.coalesce("start_line", F.lit(-1)).cast("bigint").alias("start_line"))
 
 
@@ -251,7 +253,8 @@ PUBS = View("part", ["'u' || p_partkey AS url", "'10.1000/P' || p_partkey AS doi
 REQS = View("part", ["p_partkey AS request_id", "CASE p_partkey % 4 WHEN 0 THEN '10.1000/p' || p_partkey WHEN 1 THEN '10.1000/zz' ELSE '' END AS doi",
                      """CASE p_partkey % 5 WHEN 0 THEN p_name || ' of the ' || p_type || ' in a long study of every single brand like ' || p_brand || ' number ' || p_partkey
                         WHEN 1 THEN p_name || ' of the ' || p_type || ' in a long study of every single brand unlike the others'
-                        WHEN 2 THEN 'nothing' WHEN 3 THEN '' ELSE '  ' || p_name || '  of the ' || p_type || ' in a long study of every single brand like ' || p_brand || ' number ' || p_partkey || '!' END AS title"""])
+                        WHEN 2 THEN CASE p_partkey % 4 WHEN 0 THEN regexp_extract(p_name || ' of the ' || p_type || ' in a long study of every single brand like ' || p_brand || ' number ' || p_partkey, '^(([^ ]+ ){2}[^ ]+) ', 1) WHEN 1 THEN regexp_extract(p_name || ' of the ' || p_type || ' in a long study of every single brand like ' || p_brand || ' number ' || p_partkey, '^(([^ ]+ ){5}[^ ]+) ', 1)
+                          WHEN 2 THEN regexp_extract(p_name || ' of the ' || p_type || ' in a long study of every single brand like ' || p_brand || ' number ' || p_partkey, '^(([^ ]+ ){10}[^ ]+) ', 1) ELSE 'nothing' END WHEN 3 THEN '' ELSE '  ' || p_name || '  of the ' || p_type || ' in a long study of every single brand like ' || p_brand || ' number ' || p_partkey || '!' END AS title"""])
 _T = f"lower({NS('title')})"
 _12 = "array_to_string(string_split(t, ' ')[1:12], ' ')"
 _70 = "trim(substr(t, 1, 70))"
@@ -262,8 +265,9 @@ _70 = "trim(substr(t, 1, 70))"
   h AS (SELECT request_id, 1 AS pass_no, p1.ord, url FROM q1 JOIN p1 ON q1.d = p1.d AND q1.t = p1.t AND q1.d <> '' AND q1.t <> ''
    UNION ALL SELECT request_id, 2, p1.ord, url FROM q1 JOIN p1 ON q1.d = p1.d AND q1.d <> ''
    UNION ALL SELECT request_id, 3, p1.ord, url FROM q1 JOIN p1 ON q1.t = p1.t AND q1.t <> ''
-   UNION ALL SELECT request_id, 4, p1.ord, url FROM q1 JOIN p1 ON q1.t12 = p1.t12 AND length(q1.t12) > 20 AND q1.t12 <> q1.t
-   UNION ALL SELECT request_id, 5, p1.ord, url FROM q1 JOIN p1 ON q1.t70 = p1.t70 AND length(q1.t70) > 25 AND q1.t70 <> q1.t),
+   UNION ALL SELECT request_id, 4, p1.ord, url FROM q1 JOIN p1 ON starts_with(p1.t, q1.t || ' ') AND len(string_split(q1.t, ' ')) >= 3
+   UNION ALL SELECT request_id, 5, p1.ord, url FROM q1 JOIN p1 ON q1.t12 = p1.t12 AND length(q1.t12) > 20 AND q1.t12 <> q1.t
+   UNION ALL SELECT request_id, 6, p1.ord, url FROM q1 JOIN p1 ON q1.t70 = p1.t70 AND length(q1.t70) > 25 AND q1.t70 <> q1.t),
   b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pass_no, ord) AS rn FROM h)
   SELECT q.request_id, coalesce(pass_no, 0) AS pass_no, coalesce(url, '') AS url FROM q LEFT JOIN b ON b.request_id = q.request_id AND rn = 1""")
 def match_requests(spark, sf):

@@ -161,9 +161,13 @@ def select_pages(spark, sf):
     return L.select_pages(PAGE_TABLE.df(spark, sf).select("doc_id", "page").distinct(), bounded=True)
 
 
-@query("renumber", f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS line_number FROM {LINES.sql} v WHERE length(text) % 3 <> 0")
+# Ordinals with gaps: every line keeps its order, and how far apart two stand depends on the text.
+SPARSE = "cast(line_no * 3 + length(text) % 3 AS bigint)"
+
+
+@query("renumber", f"SELECT doc_id, {SPARSE} AS line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS line_number FROM {LINES.sql} v")
 def renumber(spark, sf):
-    return L.renumber(LINES.df(spark, sf).where("length(text) % 3 <> 0").select("doc_id", "line_no"), bounded=True)
+    return L.renumber(LINES.df(spark, sf).selectExpr("doc_id", f"{SPARSE} AS line_no"), bounded=True)
 
 
 @query("renumber_turns", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role <> 'system'")

@@ -44,7 +44,7 @@ def repeated_lines(spark, sf):
 
 @query("renumber_by_source", LINES.oracle("renumber"))
 def renumber(spark, sf):
-    return L.renumber(LINES.df(spark, sf).where("length(text) % 3 <> 0").select("doc_id", "line_no"))
+    return L.renumber(LINES.df(spark, sf).selectExpr("doc_id", f"{line_jobs.SPARSE} AS line_no"))
 
 
 @query("merge_doi_lines_by_source", REFS.oracle("merge_doi_lines"))

@@ -228,11 +228,18 @@ def locate_article(articles: DataFrame, lines: DataFrame, bounded: bool = False)
 # --- requests ---------------------------------------------------------------------------------------------------
 
 
+# Words that a cut title must have, so that a common beginning is not taken for one.
+CUT_WORDS = 3
+
+
 def match_requests(requests: DataFrame, publications: DataFrame) -> DataFrame:
     """Publication of every request ``(request_id, doi, title)`` from ``(url, doi, title, ord)``.
 
-    Passes in order: DOI and title, DOI, title, first twelve words, first seventy characters. Each pass is an equi
-    join; the short-title passes compare the same cut of both titles. The first hit of the first pass wins.
+    Passes in order: DOI and title, DOI, title, a cut title, first twelve words, first seventy characters. A request of
+    ``CUT_WORDS`` words or more that begins a publication's title at a word border is a cut title. Each pass is an equi join:
+    a publication is listed under every beginning of its title, and of each beginning the first publication is kept
+    before anything meets, so a frequent one is a single row. The short-title passes compare the same cut of both titles.
+    The first hit of the first pass wins.
     """
     doi, title = F.lower(strip(nz("doi"))), F.lower(normalize_search_title("title"))
 
@@ -245,18 +252,25 @@ def match_requests(requests: DataFrame, publications: DataFrame) -> DataFrame:
     q = q.withColumn("t12", F.when((F.length(q12) > 20) & (q12 != F.col("t")), q12))
     q = q.withColumn("t70", F.when((F.length(q70) > 25) & (q70 != F.col("t")), q70))
     p = p.withColumn("t12", shorter(F.col("t"))[0]).withColumn("t70", shorter(F.col("t"))[1])
-
-    # Candidates meet on one key column, so five passes cost one join: key = kind of cut plus its value.
+    # The beginnings of a title, word by word, without the whole; of a request only itself.
+    words = F.split(F.col("t"), " ")
+    sizes = F.sequence(F.lit(CUT_WORDS), F.greatest(F.size(words) - 1, F.lit(CUT_WORDS)))
+    begins = F.when(F.size(words) > CUT_WORDS, F.transform(sizes, lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")))
+    p = p.withColumn("cuts", F.coalesce(begins, F.array().cast("array<string>")))
+    q = q.withColumn("cuts", F.when(F.size(words) >= CUT_WORDS, F.array("t")).otherwise(F.array().cast("array<string>")))
+
+    # Candidates meet on one key column, so all passes cost one join: key = kind of cut plus its value.
     def keys() -> Column:
         d, t = F.col("d"), F.col("t")
         parts = [
             F.when((d != "") & (t != ""), F.concat(F.lit("1|"), d, F.lit("|"), t)),
             F.when(d != "", F.concat(F.lit("2|"), d)),
             F.when(t != "", F.concat(F.lit("3|"), t)),
-            F.when(F.col("t12").isNotNull() & (t != ""), F.concat(F.lit("4|"), F.col("t12"))),
-            F.when(F.col("t70").isNotNull() & (t != ""), F.concat(F.lit("5|"), F.col("t70"))),
+            F.when(F.col("t12").isNotNull() & (t != ""), F.concat(F.lit("5|"), F.col("t12"))),
+            F.when(F.col("t70").isNotNull() & (t != ""), F.concat(F.lit("6|"), F.col("t70"))),
         ]
-        return F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull()))
+        cuts = F.transform("cuts", lambda c: F.concat(F.lit("4|"), c))
+        return F.explode(F.concat(F.filter(F.array(*parts), lambda x: x.isNotNull()), cuts))
 
     first = p.select("url", "ord", keys().alias("k")).groupBy("k").agg(F.min_by("url", "ord").alias("url"))
     hits = q.select("request_id", keys().alias("k")).join(first, "k")

@@ -212,9 +212,9 @@ def _packed(df: DataFrame, order: Sequence[Column]) -> Column:
     out = F.lit(0).cast("decimal(38,0)")
     for o in order:
         bits = _BITS[df.select(o.alias("o")).schema[0].dataType.simpleString()]
-        out = (out * F.lit(1 << bits).cast("decimal(20,0)")).cast("decimal(38,0)")
-        out = (out + F.coalesce(o.cast("decimal(20,0)"), F.lit(-(1 << (bits - 1))).cast("decimal(20,0)"))).cast("decimal(38,0)")
-    return ((out * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)") + tie.cast("decimal(20,0)")).cast("decimal(38,0)")
+        out = (out * F.lit(str(1 << bits)).cast("decimal(20,0)")).cast("decimal(38,0)")
+        out = (out + F.coalesce(o.cast("decimal(20,0)"), F.lit(str(-(1 << (bits - 1)))).cast("decimal(20,0)"))).cast("decimal(38,0)")
+    return ((out * F.lit(str(1 << 60)).cast("decimal(19,0)")).cast("decimal(38,0)") + tie.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -231,7 +231,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFra
         taken += 1
     last = taken == len(order)
     place = _packed(df, order[:taken]) if last else (order[0].cast("bigint") if kinds[0] in _BITS else order[0].cast("double"))
-    least = F.lit(-(1 << 63)).cast("bigint") if kinds and kinds[0] in _BITS else F.lit(float("-inf"))
+    least = F.lit(str(-(1 << 63))).cast("bigint") if kinds and kinds[0] in _BITS else F.lit(float("-inf"))
     placed = df.withColumn("__p", place if last else F.coalesce(place, least))
     tops = placed.groupBy(*keys).agg(F.min("__p").alias("__least")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
     same = F.col("__p") == F.col("__least")

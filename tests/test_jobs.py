@@ -152,7 +152,8 @@ def test_scan_and_write(spark, archive, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     journals = spark.createDataFrame([(0, "1234-5678", "", "", "Журнал", "", "u", "Y")], "ord int, ISSN string, ISSN_Print string, ISSN_Online string, Title string, TitleEn string, Url string, RAS string")
     made = S.write_issue_xml(good, journals, str(tmp_path / "xml"), str(tmp_path / "work")).collect()
-    assert [(r["issue"], r["file"]) for r in made] == [("1234-5678_2024_1", "1234-5678_2024_1.xml")] and os.listdir(tmp_path / "xml") == ["1234-5678_2024_1.xml"]
+    assert sorted((r["issue"], r["file"]) for r in made) == [(i, f"{i}.xml") for i in ("1234-5678_2024_1", "1234-5678_2024_2")]
+    assert sorted(os.listdir(tmp_path / "xml")) == ["1234-5678_2024_1.xml", "1234-5678_2024_2.xml"]
     xml = (tmp_path / "xml" / "1234-5678_2024_1.xml").read_text(encoding="utf-8")
     assert ElementTree.fromstring(xml.encode()).tag == "journal" and "<spin>77</spin>" in xml and "Журнал" in xml
     whole = K.issue_xml(good, journals).where("issue = '1234-5678_2024_1'")

@@ -16,7 +16,8 @@ ALWAYS = [
     "remove_repeated_lines", "repeated_lines_table", "remove_page_furniture", "extract_best_doi", "parse_pages", "assemble_references",
     "normalize_references", "carry_sections", "dedupe_references", "issue_config", "match_source_files", "match_requests", "best_candidate",
     "issue_page_range", "lines_from_words", "char_gap_stats", "words_in_boxes", "average_bbox", "apply_form", "article_errors", "html_blocks",
-    "jats_metadata", "progress_stream",
+    "jats_metadata", "progress_stream", "list_runs", "order_articles", "order_events", "write_issue_xml", "xsd_errors", "renumber",
+    "page_metadata", "locate_article", "distinct_in_order", "template_summary",
 ]
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 NAMES = sorted(QUERIES) if os.environ.get("GALLEY_ALL") else ALWAYS
@@ -32,7 +33,8 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     status, note, _ = compare(spark, con, SF, name, QUERIES[name], ORACLES.get(name))
-    assert status in ("ok", "rows-only"), note
+    # A query without SQL has a test of its own and is only run here.
+    assert status == ("ok" if name in ORACLES else "rows-only"), note
 
 
 def test_entry(spark):
