@@ -500,21 +500,34 @@ def empty_payloads(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _unknown(value, kind: T.DataType):
-    """What the type has no place for: keys of objects, list items by position; null when there is nothing."""
+    """What the type has no place for; null when there is nothing. Items of a list keep their ``num``, if all have their own."""
     if isinstance(kind, T.StructType) and isinstance(value, dict):
         types = {f.name: f.dataType for f in kind.fields if f.name != "extras"}
         rest = {k: _unknown(v, types[k]) if k in types else v for k, v in value.items()}
         return {k: v for k, v in rest.items() if k not in types or v is not None} or None
     if isinstance(kind, T.ArrayType) and isinstance(value, list):
         items = [_unknown(v, kind.elementType) for v in value]
-        return items if any(i is not None for i in items) else None
+        if not any(i is not None for i in items):
+            return None
+        if _numbered(value):
+            items = [(i or {}) | {"num": v["num"]} for v, i in zip(value, items)]
+        return items
     return None
 
 
+def _numbered(items: list) -> bool:
+    """Whether the items are objects that each have a ``num`` of their own."""
+    nums = [i.get("num") if isinstance(i, dict) else None for i in items]
+    return all(isinstance(n, str) and n for n in nums) and len(set(nums)) == len(nums)
+
+
 def _with_unknown(known, rest):
     """Puts what :func:`_unknown` found back; values that are there stay."""
     if isinstance(known, dict) and isinstance(rest, dict):
         return known | {k: _with_unknown(known[k], v) if k in known else v for k, v in rest.items()}
+    if isinstance(known, list) and isinstance(rest, list) and rest and _numbered(rest) and all(isinstance(k, dict) for k in known):
+        by_num = {r["num"]: r for r in rest}
+        return [_with_unknown(k, by_num[k["num"]]) if k.get("num") in by_num else k for k in known]
     if isinstance(known, list) and isinstance(rest, list):
         return [_with_unknown(k, rest[i]) if i < len(rest) else k for i, k in enumerate(known)]
     return known
@@ -538,7 +551,7 @@ def article_extras(c: Column | str) -> Column:
 
 
 def article_to_json(record: Column, extras: Column | str) -> Column:
-    """A record as JSON text with the keys of ``extras`` in their places; list items meet by position."""
+    """A record as JSON text with the keys of ``extras`` in their places; list items meet by ``num``, else by position."""
 
     def run(texts: pa.Array, more: pa.Array) -> pa.Array:
         out = [

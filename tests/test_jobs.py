@@ -194,6 +194,14 @@ def test_unknown_keys_make_a_round_trip(spark, tmp_path):
     assert "extras" not in back["b.json"]
 
 
+def test_unknown_keys_stay_with_their_author(spark):
+    text = json.dumps({"authors": [{"num": "1", "role": "ed"}, {"num": "2", "rank": 3}, {"num": "3"}]})
+    row = spark.createDataFrame([(text,)], "value string").select(A.article_from_json("value").alias("r"))
+    moved = row.withColumn("r", F.col("r").withField("authors", F.slice(F.reverse("r.authors"), 1, 2)))
+    back = json.loads(moved.select(A.article_to_json(F.col("r").dropFields("extras"), F.col("r.extras")).alias("t")).first()["t"])
+    assert [(a["num"], a.get("role"), a.get("rank")) for a in back["authors"]] == [("3", None, None), ("2", None, 3)]
+
+
 def test_lists(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Название,DOI\nA,10.1/x\n,\nB,\n", encoding="utf-8")
     assert [tuple(r) for r in S.scan_requests(spark, str(tmp_path / "r.csv")).collect()] == [("10.1/x", "A"), ("", "B")]

@@ -18,6 +18,7 @@ ALWAYS = [
     "issue_page_range", "lines_from_words", "char_gap_stats", "words_in_boxes", "average_bbox", "apply_form", "article_errors", "html_blocks",
     "jats_metadata", "progress_stream", "list_runs", "order_articles", "order_events", "write_issue_xml", "xsd_errors", "renumber",
     "page_metadata", "locate_article", "distinct_in_order", "template_summary",
+    "scan_articles", "ingest_stream", "scan_source_files", "scan_requests", "scan_journals", "decode_text", "write_articles", "fix_intra_word_breaks",
 ]
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 NAMES = sorted(QUERIES) if os.environ.get("GALLEY_ALL") else ALWAYS
