@@ -143,14 +143,24 @@ def _smaller(rows: DataFrame, keys: list[str], counts: dict[str, Column], name:
     groups = rows.groupBy(*keys).agg(*[F.sum(e.cast("bigint")).alias(n) for n, e in counts.items()])
     table = numbered(groups, [F.col(k) for k in keys], "__no").df.withColumn("__bucket", F.floor(F.col("__no") / F.lit(BUCKET)))
     sums = table.groupBy("__bucket").agg(*[F.sum(n).alias(f"{n}_all") for n in counts])
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("__bucket").orderBy("__no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__bucket", *[F.coalesce(F.sum(f"{n}_all").over(before), F.lit(0)).alias(f"{n}_off") for n in counts])
+    offsets = _offsets(sums, list(counts))
     local = table.select(*keys, "__bucket", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(n) for n in counts])
     out = local.join(offsets, "__bucket").select(*keys, *[(F.col(n) + F.col(f"{n}_off")).alias(n) for n in counts])
     return saved(out, f"smaller-{name}").df
 
 
+def _offsets(sums: DataFrame, names: list[str]) -> DataFrame:
+    """``__bucket`` and ``<name>_all`` -> ``<name>_off``, the sum of all buckets before; one task only sees a row per ``BUCKET`` buckets."""
+    sums = sums.withColumn("__upper", F.floor(F.col("__bucket") / F.lit(BUCKET)))
+    uppers = sums.groupBy("__upper").agg(*[F.sum(f"{n}_all").alias(f"{n}_sum") for n in names])
+    above = Window.orderBy("__upper").rowsBetween(Window.unboundedPreceding, -1)
+    beside = Window.partitionBy("__upper").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    uppers = uppers.select("__upper", *[F.coalesce(F.sum(f"{n}_sum").over(above), F.lit(0)).alias(f"{n}_up") for n in names])
+    local = sums.select("__upper", "__bucket", *[F.coalesce(F.sum(f"{n}_all").over(beside), F.lit(0)).alias(n) for n in names])
+    return local.join(uppers, "__upper").select("__bucket", *[(F.col(n) + F.col(f"{n}_up")).alias(f"{n}_off") for n in names])
+
+
 def ranks(symbols: DataFrame, length: int, span: int = PACK) -> DataFrame:
     """``chain, k, c`` -> ``chain, k, r``: how many suffixes are smaller, by their first ``length`` bytes at least."""
     if span >= length:
@@ -186,8 +196,9 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     symbols = saved(_symbols(segments.select("no", "key", "start", "part"), length), "symbols").df
     order = ranks(symbols.select("chain", "k", "c"), length)
     starts = symbols.where("f0 is not null").join(order, ["chain", "k"]).select("key", "at", "f0", "f1", "r")
-    # Strings that agree in their first ``length`` bytes are consecutive; equal ranks are put in the fingerprints' order.
-    line = numbered(starts, [F.col(x) for x in ("r", "f0", "f1")], "place").df.withColumn("one", F.lit(0))
+    # Strings that agree in their first ``length`` bytes are consecutive; equal ranks are put in the fingerprints' order. The
+    # place comes last, so that range partitions can split a passage that very many texts share.
+    line = numbered(starts, [F.col(x) for x in ("r", "f0", "f1", "key", "at")], "place").df.withColumn("one", F.lit(0))
     pair = F.struct("f0", "f1")
     window = _pairs(line, pair)
     return window.where("same").select("key", "at")

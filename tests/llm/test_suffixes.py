@@ -46,6 +46,25 @@ def test_awkward(spark, awkward):
     assert Counter(map(tuple, suffixes.dedup(table).collect())) == brute(rows, 400)
 
 
+def test_one_passage_in_many_texts(spark, monkeypatch):
+    """A passage that all texts share, over many buckets of one order, and a long text that repeats itself."""
+    monkeypatch.setattr(suffixes, "BUCKET", 64)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, half = word(90), word(4000)
+    rows = [(i, word(rng.randint(0, 30)) + passage + word(rng.randint(0, 30))) for i in range(300)] + [(900, half + half), (901, word(70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, suffixes.dedup(docs, length=60, gram=12).collect()))
+    assert got == brute(rows, 60)
+
+
+def test_offsets_over_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET", 4)
+    rows = [(b, b * b % 7, b % 3) for b in range(50)]
+    got = {r["__bucket"]: (r.x_off, r.y_off) for r in suffixes._offsets(spark.createDataFrame(rows, "__bucket long, x_all long, y_all long"), ["x", "y"]).collect()}
+    assert got == {b: (sum(r[1] for r in rows[:b]), sum(r[2] for r in rows[:b])) for b in range(50)}
+
+
 def test_ranks_are_the_suffix_order(spark):
     rng = random.Random(9)
     strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(12)]
