@@ -8,6 +8,8 @@ makes the text of the few elements it asks about.
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -31,6 +33,8 @@ class _Lister(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes, self.open, self.texts = [], [], []
+        # Names of the open elements, and how many of them hold program text.
+        self.names, self.programs = [], 0
 
     def _add(self, tag, attrs):
         parent = self.open[-1]["ord"] if self.open else -1
@@ -45,23 +49,26 @@ class _Lister(HTMLParser):
             node["to"] = len(self.texts)
         else:
             self.open.append(node)
+            self.names.append(tag)
+            self.programs += tag in _PROGRAM
 
     def handle_startendtag(self, tag, attrs):
         self._add(tag, attrs)["to"] = len(self.texts)
 
     def handle_endtag(self, tag):
-        if any(n["tag"] == tag for n in self.open):
+        if tag in self.names:
             while self._shut()["tag"] != tag:
                 pass
 
     def handle_data(self, data):
         # Program text is no text of the elements around it either.
-        piece = "" if any(n["tag"] in _PROGRAM for n in self.open) else " ".join(data.split())
+        piece = "" if self.programs else " ".join(data.split())
         if piece:
             self.texts.append(piece)
 
     def _shut(self):
         node = self.open.pop()
+        self.programs -= self.names.pop() in _PROGRAM
         node["close"], node["to"] = len(self.nodes) - 1, len(self.texts)
         return node
 
@@ -75,6 +82,65 @@ class _Lister(HTMLParser):
         return self
 
 
+# A tag as most pages write it, and the text up to the next one; whatever else a page holds is the standard tokenizer's work.
+_TAG = re.compile(r'<(/?)([a-z][a-z0-9]*)((?: [a-z][a-z0-9:_-]*="[^"]*")*)>([^<]*)')
+_SILENT = re.compile(r"<!(?:(?i:doctype) html|--(?:(?!--).)*--)>([^<]*)", re.S)
+_ATTR = re.compile(r' ([a-z][a-z0-9:_-]*)="([^"]*)"')
+_PROGRAM_END = {tag: re.compile(rf"</\s*{tag}\s*>", re.I) for tag in HTMLParser.CDATA_CONTENT_ELEMENTS}
+
+
+def _value(text: str) -> str:
+    return unescape(text) if "&" in text else text
+
+
+def _list_plain(page: str) -> _Lister | None:
+    """The elements of a page that holds nothing but usual tags and text; null for any other, to be read as a whole again."""
+    lister, tag_at = _Lister(), _TAG.match
+    at = page.find("<")
+    if at < 0:
+        return None
+    if at:
+        lister.handle_data(_value(page[:at]))
+    while at < len(page):
+        m = tag_at(page, at)
+        if m is None:
+            m = _SILENT.match(page, at)
+            if m is None:
+                return None
+            at = m.end()
+            if m.group(1):
+                lister.handle_data(_value(m.group(1)))
+            continue
+        end, tag, attrs, text = m.groups()
+        at = m.end()
+        if end:
+            if attrs:
+                return None
+            lister.handle_endtag(tag)
+        else:
+            lister.handle_starttag(tag, [(k, _value(v)) for k, v in _ATTR.findall(attrs)] if attrs else [])
+            if tag in _PROGRAM_END:
+                close = _PROGRAM_END[tag].search(page, m.start(4))
+                if close is None:
+                    return None
+                lister.handle_endtag(tag)
+                at = page.find("<", close.end())
+                at = len(page) if at < 0 else at
+                text = page[close.end():at]
+        if text:
+            lister.handle_data(_value(text))
+    return lister.finish()
+
+
+def _list_page(page: str) -> _Lister:
+    plain = _list_plain(page)
+    if plain is not None:
+        return plain
+    lister = _Lister()
+    lister.feed(page)
+    return lister.finish()
+
+
 def _listed(pages: list[_Lister]) -> pa.StructArray:
     """The elements and text pieces of many pages as one Arrow column."""
     nodes = [n for p in pages for n in p.nodes]
@@ -99,11 +165,7 @@ def _listed(pages: list[_Lister]) -> pa.StructArray:
 
 
 def _list_pages(html: pa.Array) -> pa.Array:
-    pages = []
-    for page in html:
-        lister = _Lister()
-        lister.feed(page.as_py() or "")
-        pages.append(lister.finish())
+    pages = [_list_page(page.as_py() or "") for page in html]
     return _listed(pages)
 
 
