@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import layout as Y
 from ..operators import lines as L
 from ..operators import matching as M
-from .registry import View, query, table
+from ..plans.segments import dealt
+from .registry import View, query, read, table
 
 C = F.col
 
@@ -26,7 +27,7 @@ _ROW = "cast(floor(ord / CASE WHEN doc_id % 2 = 0 THEN 12 ELSE 4 END) AS int) AS
 
 class WordView:
     def df(self, spark, sf):
-        docs = table(spark, sf, "documents").selectExpr("doc_id", "split(text, '[ \\n]+') AS ws")
+        docs = dealt(read(spark, sf, "documents").select("doc_id", "text"), "doc_id").selectExpr("doc_id", "split(text, '[ \\n]+') AS ws")
         return docs.selectExpr("doc_id", "posexplode(ws) AS (ord, text)").where("text <> ''").selectExpr("*", _ROW).selectExpr(*FLOW_DBL)
 
     sql = (f"(SELECT {', '.join(FLOW_DBL)} FROM (SELECT *, {_ROW} FROM (SELECT doc_id, unnest(range(len(ws)))::INTEGER AS ord, unnest(ws) AS text FROM "
