@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text, nz, norm_space, restore_missing_spaces, strip
+from ..functions.text import has_text, let, nz, norm_space, restore_missing_spaces, strip
 from ..plans.segments import positions, running
 
 PAGE = ["doc_id", "page"]
@@ -26,23 +26,34 @@ def detect_columns(words: DataFrame, min_words: int = 10, gutter: float = 0.1, s
     The full variant says one column when more than 15 % of the words start in the gutter, and asks for fewer words
     on sparse pages.
     """
+    counts = words.groupBy(*PAGE).agg(*[c.alias(n) for n, c in _column_counts(gutter).items()])
+    return counts.select(*PAGE, _columns(min_words, simple).alias("columns"))
+
+
+def _column_counts(gutter: float = 0.1, here: Column | None = None) -> dict[str, Column]:
+    """What ``_columns`` asks of a page, as aggregates of its words, or of those ``here``."""
     g = max(0.0, min(0.4, gutter))
     center = F.col("page_width") / 2.0
     left, right = center * (1.0 - g), center * (1.0 + g)
-    counts = words.groupBy(*PAGE).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((left < F.col("x0")) & (F.col("x0") < right)).alias("mid"),
-        F.count_if(F.col("x1") <= left).alias("l"),
-        F.count_if(F.col("x0") >= right).alias("r"),
-        F.max("page_width").alias("w"),
-    )
+    here = F.lit(True) if here is None else here
+    return {
+        "n": F.count_if(here),
+        "mid": F.count_if(here & (left < F.col("x0")) & (F.col("x0") < right)),
+        "l": F.count_if(here & (F.col("x1") <= left)),
+        "r": F.count_if(here & (F.col("x0") >= right)),
+        "w": F.max(F.when(here, F.col("page_width"))),
+    }
+
+
+def _columns(min_words: int = 10, simple: bool = False, pre: str = "") -> Column:
+    n, mid, l, r, w = (F.col(pre + c) for c in ("n", "mid", "l", "r", "w"))
     if simple:
         need, crowded = F.lit(min_words), F.lit(False)
     else:
-        need = F.when(F.col("n") < 2 * min_words, F.greatest(F.lit(3), F.floor(F.col("n") / 4))).otherwise(min_words)
-        crowded = F.col("mid") > F.col("n") * 0.15
-    two = ~crowded & (F.col("w") > 0) & (F.col("l") >= need) & (F.col("r") >= need)
-    return counts.select(*PAGE, F.when(two, F.lit(2)).otherwise(F.lit(1)).alias("columns"))
+        need = F.when(n < 2 * min_words, F.greatest(F.lit(3), F.floor(n / 4))).otherwise(min_words)
+        crowded = mid > n * 0.15
+    two = ~crowded & (w > 0) & (l >= need) & (r >= need)
+    return F.when(two, F.lit(2)).otherwise(F.lit(1))
 
 
 def _anchors(tops: Column, tolerance: float) -> Column:
@@ -56,19 +67,57 @@ def _anchors(tops: Column, tolerance: float) -> Column:
     )
 
 
-def _lines_of_small_pages(words: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
-    """Lines by windows on the page: one exchange, which the grouping into lines then shares."""
+def _runs_of_small_pages(words: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
+    """Adds ``__run``: words of a page without a gap above the tolerance between their tops; one sort of the page."""
     in_order = Window.partitionBy(*keys).orderBy("top")
     gap = F.col("top") - F.lag("top").over(in_order)
     df = words.withColumn("__fresh", (F.coalesce(gap, F.lit(tolerance + 1)) > tolerance).cast("int"))
     # Equal tops share a frame, so they also share a run.
-    df = df.withColumn("__run", F.sum("__fresh").over(in_order.rangeBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("__run", F.sum("__fresh").over(in_order.rangeBetween(Window.unboundedPreceding, 0))).drop("__fresh")
+
+
+def _lines_of_small_pages(words: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
+    """Lines by windows on the page: one exchange, which the grouping into lines then shares."""
+    df = _runs_of_small_pages(words, tolerance, keys)
     run = Window.partitionBy(*keys, "__run")
     low, high, tops = F.min("top").over(run), F.max("top").over(run), F.collect_set("top").over(run)
     df = df.withColumns({"__low": low, "__high": high, "__tops": tops})
     upto = F.filter(_anchors(F.sort_array("__tops"), tolerance), lambda a: a <= F.col("top"))
     line = F.when(F.col("__high") - F.col("__low") <= tolerance, F.col("__low")).otherwise(F.array_max(upto))
-    return df.withColumn("line_top", line).drop("__fresh", "__run", "__low", "__high", "__tops")
+    return df.withColumn("line_top", line).drop("__run", "__low", "__high", "__tops")
+
+
+def _text_of_small_pages(words: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
+    """The lines of ``lines_from_words``: a run's words meet once, and only a run that spans more is cut at its anchors."""
+    runs = _runs_of_small_pages(words, tolerance, keys).groupBy(*keys, "__run").agg(
+        F.collect_list(F.struct("x0", "top", "ord", "text", "x1", "bottom")).alias("__ws"),
+        F.min("top").alias("__low"),
+        F.max("top").alias("__high"),
+    )
+    anchors = _anchors(F.sort_array(F.array_distinct(F.transform("__ws", lambda w: w["top"]))), tolerance)
+
+    def lines(tops: Column) -> Column:
+        """Words between an anchor and the next; tops that are missing are a line of their own."""
+        ends = F.concat(F.slice(tops, 2, F.size(tops)), F.array(F.lit(None).cast("double")))
+        of = lambda a, b: F.filter("__ws", lambda w: (w["top"] >= a) & (b.isNull() | (w["top"] < b)))
+        return F.zip_with(tops, ends, lambda a, b: F.struct(a.alias("line_top"), of(a, b).alias("ws")))
+
+    whole = F.array(F.struct(F.col("__low").alias("line_top"), F.col("__ws").alias("ws")))
+    cut = F.when(F.col("__high") - F.col("__low") > tolerance, let(anchors, lines)).otherwise(whole)
+    # Inside the array each step is computed once; a filter on exploded lines would be pushed down and sort them again.
+    told = F.transform(cut, lambda l: F.struct(l["line_top"].alias("line_top"), F.sort_array(F.filter(l["ws"], lambda w: has_text(w["text"]))).alias("ws")))
+    df = runs.select(*keys, F.explode(F.filter(told, lambda l: F.size(l["ws"]) > 0)).alias("l"))
+    # One look at a line tells whether any of its words needs its ends cut.
+    ends = lambda t: t.rlike(r"(?U)[\s&&[^ ]]|  |\A | \z")
+    cleaned = lambda t: F.when(ends(t), F.array_join(F.transform("l.ws", lambda w: strip(w["text"])), " ")).otherwise(t)
+    return df.select(
+        *keys,
+        F.col("l.line_top").alias("line_top"),
+        let(F.array_join(F.transform("l.ws", lambda w: w["text"]), " "), cleaned).alias("text"),
+        F.array_min(F.transform("l.ws", lambda w: w["x0"])).alias("x0"),
+        F.array_max(F.transform("l.ws", lambda w: w["x1"])).alias("x1"),
+        F.array_max(F.transform("l.ws", lambda w: w["bottom"])).alias("bottom"),
+    )
 
 
 def assign_lines(
@@ -102,8 +151,10 @@ def lines_from_words(
 ) -> DataFrame:
     """Text lines of a page, top to bottom: ``(keys, line_top, bottom, x0, x1, text)`` with lost spaces restored."""
     keys = list(keys or PAGE)
-    placed = assign_lines(words, tolerance, keys, bounded).where(has_text("text"))
-    items = F.array_sort(F.collect_list(F.struct("x0", "top", "ord", "text")))
+    if bounded:
+        return _text_of_small_pages(words, tolerance, keys).withColumn("text", restore_missing_spaces("text"))
+    placed = assign_lines(words, tolerance, keys).where(has_text("text"))
+    items = F.sort_array(F.collect_list(F.struct("x0", "top", "ord", "text")))
     out = placed.groupBy(*keys, "line_top").agg(
         F.array_join(F.transform(items, lambda w: strip(w["text"])), " ").alias("text"),
         F.min("x0").alias("x0"),
@@ -117,42 +168,67 @@ def header_boundary(words: DataFrame, bounded: bool = False) -> DataFrame:
     """Where the page header ends: above the largest vertical gap in the top half, else a fifth of the page."""
     tops = words.select(*PAGE, "page_height", F.bround("top", 1).alias("top")).distinct()
     df = running(tops, PAGE, "top", order=["top"], band=_band("top"), lags={"__prev": F.col("top")}, bounded=bounded)
-    h = F.col("page_height")
-    gap = F.col("top") - F.col("__prev")
-    ok = (F.col("top") <= h * 0.5) & (gap >= F.greatest(F.lit(6.0), h * 0.01))
-    best = F.max(F.when(ok, F.struct(gap.alias("g"), (-F.col("top")).alias("t"), F.col("__prev").alias("prev"))))
+    best = _header_gap(F.col("top"), F.col("__prev"), F.col("page_height"))
     out = df.groupBy(*PAGE).agg(best.alias("b"), F.max("page_height").alias("h"), F.count(F.lit(1)).alias("n"))
-    cut = F.coalesce(F.col("b.prev"), F.col("h") * 0.2)
-    return out.select(
-        *PAGE,
-        F.when(F.col("n") < 2, F.greatest(F.lit(0.0), F.col("h") * 0.2))
-        .otherwise(F.greatest(F.lit(0.0), F.least(F.col("h") * 0.45, cut)))
-        .alias("boundary"),
-    )
+    return out.select(*PAGE, _header_cut(F.col("b"), F.col("h"), F.col("n")).alias("boundary"))
+
+
+def _header_gap(top: Column, prev: Column, h: Column) -> Column:
+    """Aggregate: the largest gap in the top half, the upper one of equals, with what stands above it."""
+    gap = top - prev
+    ok = (top <= h * 0.5) & (gap >= F.greatest(F.lit(6.0), h * 0.01))
+    return F.max(F.when(ok, F.struct(gap.alias("g"), (-top).alias("t"), prev.alias("prev"))))
+
+
+def _header_cut(best: Column, h: Column, n: Column) -> Column:
+    cut = F.coalesce(best["prev"], h * 0.2)
+    return F.when(n < 2, F.greatest(F.lit(0.0), h * 0.2)).otherwise(F.greatest(F.lit(0.0), F.least(h * 0.45, cut)))
 
 
 def reading_order_lines(words: DataFrame, tolerance: float = 2.0, bounded: bool = False) -> DataFrame:
     """Lines in reading order: on two-column pages the header, then the left, then the right column."""
+    if bounded:
+        return lines_from_words(_zones_of_small_pages(words, tolerance), tolerance, [*PAGE, "zone"], bounded)
     bounds = header_boundary(words, bounded)
     df = words.join(bounds, PAGE)
     body = F.col("top") > F.least(F.col("page_height"), F.col("boundary") + tolerance)
     cols = detect_columns(df.where(body))
     df = df.join(cols, PAGE, "left").withColumn("columns", F.coalesce("columns", F.lit(1)))
-    middle = F.col("page_width") / 2.0
-    zone = (
-        F.when(F.col("columns") == 1, F.lit(0))
+    return lines_from_words(df.withColumn("zone", _zone(F.col("columns"))), tolerance, [*PAGE, "zone"], bounded)
+
+
+def _zone(columns: Column) -> Column:
+    """Header or single column, left, right."""
+    return (
+        F.when(columns == 1, F.lit(0))
         .when(F.col("top") <= F.col("boundary"), F.lit(0))
-        .when(F.col("x0") < middle, F.lit(1))
+        .when(F.col("x0") < F.col("page_width") / 2.0, F.lit(1))
         .otherwise(F.lit(2))
     )
-    zoned = df.withColumn("zone", zone)
-    return lines_from_words(zoned, tolerance, [*PAGE, "zone"], bounded)
+
+
+def _zones_of_small_pages(words: DataFrame, tolerance: float) -> DataFrame:
+    """Header boundary, columns and zone of every word in one sort of its page, without a join."""
+    df = words.where(F.col("doc_id").isNotNull() & F.col("page").isNotNull()).withColumn("__t", F.bround("top", 1))
+    page = Window.partitionBy(*PAGE)
+    before = page.orderBy("__t", "page_height")
+    all_ = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    h, t = F.col("page_height"), F.col("__t")
+    prev = F.lag(F.struct("__t", h.alias("h"), F.lit(1).alias("any"))).over(before)
+    df = df.withColumn("__p", prev).withColumn("__new", ~(F.col("__p.any").isNotNull() & t.eqNullSafe(F.col("__p.__t")) & h.eqNullSafe(F.col("__p.h"))))
+    best, n = _header_gap(t, F.col("__p.__t"), h), F.count_if("__new")
+    df = df.withColumns({"__b": best.over(all_), "__h": F.max(h).over(all_), "__n": n.over(all_)})
+    df = df.withColumn("boundary", _header_cut(F.col("__b"), F.col("__h"), F.col("__n")))
+    body = F.col("top") > F.least(h, F.col("boundary") + tolerance)
+    df = df.withColumns({f"__c_{k}": c.over(all_) for k, c in _column_counts(here=body).items()})
+    df = df.withColumn("zone", _zone(_columns(pre="__c_")))
+    return df.select(*words.columns, "zone")
 
 
 def bbox_lines(words: DataFrame) -> DataFrame:
     """Words grouped by rounded top, text by x, with the rectangle of the line; top-down."""
     df = words.withColumn("y", F.bround("top", 1))
-    items = F.array_sort(F.collect_list(F.struct("x0", "ord", "text", "top", "bottom")))
+    items = F.sort_array(F.collect_list(F.struct("x0", "ord", "text", "top", "bottom")))
     out = df.groupBy(*PAGE, "y").agg(items.alias("w"), F.max("x1").alias("x1"))
     text = F.array_join(F.transform("w", lambda w: w["text"]), " ")
     first = F.get("w", F.lit(0))
@@ -238,7 +314,7 @@ def text_in_boxes(words: DataFrame, boxes: DataFrame, tolerance: float = 5.0, bo
     """Text of every box, its lines top to bottom."""
     inside = words_in_boxes(words, boxes)
     lines = lines_from_words(inside, tolerance, [*PAGE, "box_id"], bounded)
-    pairs = F.array_sort(F.collect_list(F.struct("line_top", "text")))
+    pairs = F.sort_array(F.collect_list(F.struct("line_top", "text")))
     return lines.groupBy(*PAGE, "box_id").agg(F.array_join(F.transform(pairs, lambda x: x["text"]), "\n").alias("text"))
 
 
@@ -270,7 +346,7 @@ EMPTY_SELECTION = "(Текст не найден)"
 def merge_fields(extracted: DataFrame) -> DataFrame:
     """One text per (document, field) in page order, placeholders dropped."""
     kept = extracted.where((nz("field_id") != "") & (nz("text") != "") & (F.col("text") != EMPTY_SELECTION))
-    items = F.array_sort(F.collect_list(F.struct("page", "seq", "text")))
+    items = F.sort_array(F.collect_list(F.struct("page", "seq", "text")))
     text = F.array_join(F.transform(items, lambda x: x["text"]), "\n")
     return kept.groupBy("doc_id", "field_id").agg(strip(text).alias("text"))
 
