@@ -546,21 +546,28 @@ def _rejoined(text: Column) -> Column:
 
 
 def _part_facts(part: Column) -> Column:
-    """What the rules ask of a part by itself, told once."""
-    s = norm_space(part)
+    """What the rules ask of a part by itself, told once; of a blank part nothing else is asked.
+
+    The normalized text is bound to a name, since an expression inside a lambda is computed at every use.
+    """
     ends = lambda *marks: P.any_of([F.endswith(part, F.lit(m)) for m in marks])
-    return F.struct(
-        part.alias("part"), s.alias("flat"), (s == "").alias("blank"),
-        s.rlike(P.I + P.REF_HEADER).alias("opens_list"), s.rlike(P.I + P.REF_END).alias("ends_list"),
-        P.is_reference_start(s).alias("entry"), P.is_front_matter(s).alias("alone"),
-        (ends("-") & (F.length(part) > 1)).alias("hyphen"),
-        (part.rlike(P.I + PART_HEADS[0]) | part.rlike(P.I + PART_HEADS[1])).alias("section"),
-        P.is_metadata_or_header(part).alias("header"),
-        part.rlike(r"\A\p{Lu}").alias("capital"), part.rlike(r"\A\p{Ll}").alias("small"),
-        P.any_of([part.rlike((P.U if cased else P.I) + p) for p, cased in CONTINUES]).alias("same"),
-        norm_space(F.substr(part, F.lit(1), F.length(part) - 1)).alias("cut"), _caps(s).alias("title"),
-        word_count(part).alias("words"), F.length(part).alias("size"),
-    )
+
+    def of(s: Column) -> Column:
+        some = lambda c: (s != "") & c
+        return F.struct(
+            part.alias("part"), s.alias("flat"), (s == "").alias("blank"),
+            some(s.rlike(P.I + P.REF_HEADER)).alias("opens_list"), some(s.rlike(P.I + P.REF_END)).alias("ends_list"),
+            some(P._reference_start(s)).alias("entry"), some(P._front_matter(s)).alias("alone"),
+            (ends("-") & (F.length(part) > 1)).alias("hyphen"),
+            (part.rlike(P.I + PART_HEADS[0]) | part.rlike(P.I + PART_HEADS[1])).alias("section"),
+            P.is_metadata_or_header(part).alias("header"),
+            part.rlike(r"\A\p{Lu}").alias("capital"), part.rlike(r"\A\p{Ll}").alias("small"),
+            P.any_of([part.rlike((P.U if cased else P.I) + p) for p, cased in CONTINUES]).alias("same"),
+            F.when(ends("-"), norm_space(F.substr(part, F.lit(1), F.length(part) - 1))).otherwise("").alias("cut"), _caps(s).alias("title"),
+            word_count(part).alias("words"), F.length(part).alias("size"),
+        )
+
+    return let(norm_space(part), of)
 
 
 def _caps(s: Column) -> Column:
