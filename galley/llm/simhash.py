@@ -28,6 +28,8 @@ TILE = 1024
 _AT_ONCE = 255 * 256
 # Texts that choose the order of shingles in prefixes, and how many shingles are put last. Results do not depend on them.
 ORDER_TEXTS, ORDER_COMMON = 5_000, 1 << 17
+# 64-bit words of a set's parities.
+PARITY_WORDS = 8
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
@@ -325,24 +327,35 @@ def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
+def parities(hashes: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """Whether a set has an odd number of elements in each of ``64 * words`` classes.
+
+    Every element that only one of two sets holds changes one bit, so sets differ in at least as many elements as bits.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _set_prints(docs: DataFrame, width: int, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """``doc_id, text`` -> ``doc_id, f0 .., shingles, set, prefix``: fingerprint and size of the shingle set, a 128-bit
-    name of it, and its first shingles.
+    """``doc_id, text`` -> ``doc_id, f0 .., p0 .., shingles, set, prefix``: fingerprint, parities and size of the shingle
+    set, a 128-bit name of it, and its first shingles.
 
     All sets are in one order: shingles in ``common`` last, then by hash. Of ``n`` shingles the prefix has all but
     ``ceil(similarity * n) - 1``, so two sets of that similarity share at least one shingle of their prefixes.
     """
-    names = [f"f{k}" for k in range(words)]
+    names, odds = [f"f{k}" for k in range(words)], [f"p{k}" for k in range(PARITY_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Small batches: a prefix has about half the bytes of its text.
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             out, sizes, sets, first = np.zeros((words, batch.num_rows), np.uint64), [], [], []
+            odd = np.zeros((PARITY_WORDS, batch.num_rows), np.int64)
             for i, text in enumerate(batch.column("text")):
                 hashes = np.unique(shingle_hashes(text.as_py() or b"", width))
                 n = len(hashes)
                 for k in range(words):
                     out[k, i] = majority_bits(_rehash(hashes, k))
+                odd[:, i] = parities(hashes)
                 sizes.append(n)
                 sets.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
                 last = np.zeros(n, bool)
@@ -350,33 +363,57 @@ def _set_prints(docs: DataFrame, width: int, words: int, similarity: float, comm
                     last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
                 ordered = np.concatenate([hashes[~last], hashes[last]])
                 first.append(ordered[: n - math.ceil(similarity * n - 1e-6) + 1].view(np.int64))
-            cells = [pa.array(row.view(np.int64)) for row in out]
+            cells = [pa.array(row.view(np.int64)) for row in out] + [pa.array(row) for row in odd]
             cells += [pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells], ["doc_id", *names, "shingles", "set", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells], ["doc_id", *names, *odds, "shingles", "set", "prefix"])
         give_back()
 
-    fields = [T.StructField(n, T.LongType()) for n in [*names, "shingles"]]
+    fields = [T.StructField(n, T.LongType()) for n in [*names, *odds, "shingles"]]
     fields += [T.StructField("set", T.StringType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     schema = T.StructType([docs.schema["doc_id"], *fields])
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def _shared_shingles(members: DataFrame) -> DataFrame:
+    """``num, root, p0 .., shingles, prefix`` -> ``shingle, num, root, size, rest, p0 ..``: shingles in prefixes of several
+    roots. The others meet nothing and go first, so only the rest travels with its parities.
+    """
+    each = members.select("num", "root", F.explode("prefix").alias("shingle"))
+    spans = each.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    met = each.select("num", "shingle").join(spans.select("shingle"), "shingle", "left_semi")
+    size, rest = F.col("shingles").cast("int").alias("size"), (F.col("shingles") - F.size("prefix")).cast("int").alias("rest")
+    return met.join(members.select("num", "root", size, rest, *[f"p{k}" for k in range(PARITY_WORDS)]), "num")
+
+
+def _meetings(shared: DataFrame, similarity: float) -> DataFrame:
+    """Two sets of different roots at every shingle that their prefixes share, ``u, v, needed``: unless sizes or parities
+    tell that they are not similar.
+
+    Parities of similar sets differ in no more bits than the sets may in elements. Without this all pairs of texts around one
+    passage would be made, once for every shingle of it. Rows of one shingle meet in an equi join on Spark's own exchange,
+    which adaptive execution splits when a shingle is hot.
+    """
+    a, b = (shared.select("shingle", *[F.col(c).alias(f"{c}_{e}") for c in shared.columns if c != "shingle"]) for e in "ab")
+    sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity) - 1e-6
+    both = F.col("size_a") + F.col("size_b")
+    bits = [F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(PARITY_WORDS)]
+    near = sum(bits, F.lit(0)) <= both * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    met = a.join(b, "shingle").where((F.col("num_a") < F.col("num_b")) & (F.col("root_a") != F.col("root_b")) & sizes & near)
+    needed = both * F.lit(similarity / (1 + similarity)) - 1e-6 - F.greatest("rest_a", "rest_b")
+    return met.select(F.col("num_a").alias("u"), F.col("num_b").alias("v"), needed.alias("needed"))
+
+
 def _prefix_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """``num, root, shingles, prefix`` -> ``u, v``: every pair of different roots whose sets can be similar enough.
+    """``num, root, p0 .., shingles, prefix`` -> ``u, v``: every pair of different roots whose sets can be similar enough.
 
     A similar pair shares shingles of its prefixes. What two sets have in common is either in both prefixes, and counted
-    here, or behind the prefix that ends first; pairs that this bound rules out go. Rows of one shingle meet in an equi
-    join on Spark's own exchange, which adaptive execution splits when a shingle is hot.
+    here, or behind the prefix that ends first; pairs that this bound rules out go.
     """
-    sized = members.withColumns({"size": F.col("shingles").cast("int"), "rest": (F.col("shingles") - F.size("prefix")).cast("int")})
-    each = sized.select("num", "root", "size", "rest", F.explode("prefix").alias("shingle"))
-    a, b = (each.select("shingle", *[F.col(c).alias(f"{c}_{e}") for c in ("num", "root", "size", "rest")]) for e in "ab")
-    sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity) - 1e-6
-    met = a.join(b, "shingle").where((F.col("num_a") < F.col("num_b")) & (F.col("root_a") != F.col("root_b")) & sizes)
-    needed = (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6 - F.greatest("rest_a", "rest_b")
-    shared = met.select(F.col("num_a").alias("u"), F.col("num_b").alias("v"), needed.alias("needed"))
-    shared = shared.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
-    return shared.where("n >= needed").select("u", "v")
+    shared = saved(_shared_shingles(members), "shared-shingles")
+    met = _meetings(shared.df, similarity).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
+    pairs = saved(met.where("n >= needed").select("u", "v"), "pairs").df
+    shared.drop()
+    return pairs
 
 
 def distinct_documents(
@@ -404,11 +441,11 @@ def distinct_documents(
     keyed = docs.select(key.alias("doc_id"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     texts = keyed.select("doc_id", "text")
     prints = saved(_set_prints(texts, width, words, similarity, _common_shingles(texts, width)), "prints")
-    rows = prints.df
     # Equal sets are one; the number is fixed by writing it.
-    sets = rows.withColumnRenamed("doc_id", "key").dropDuplicates(["set"])
+    sets = prints.df.withColumnRenamed("doc_id", "key").dropDuplicates(["set"])
     distinct = saved(sets.withColumn("num", F.monotonically_increasing_id()), "sets")
-    sets = distinct.df
+    sets, rows = distinct.df, saved(prints.df.select("doc_id", "set").distinct(), "rows").df
+    prints.drop()
     # Equal fingerprints meet the tiles once, in the cell of the smallest set.
     node = hex_of(names)
     classes = sets.groupBy(*names).agg(F.min("shingles").alias("shingles"), F.count(F.lit(1)).alias("n"))
@@ -432,8 +469,9 @@ def distinct_documents(
     close = saved(_similar_links(with_sets(named), names, radius, similarity, set_tile), "links").df
     near = components(close).df
     members = sets.join(near.select(F.col("u").alias("num"), F.col("v").alias("root")), "num", "left")
-    members = members.select("num", F.coalesce("root", "num").alias("root"), "shingles", "prefix").where("shingles > 0")
-    pairs = saved(_prefix_pairs(members, similarity), "pairs").df
+    odds = [f"p{k}" for k in range(PARITY_WORDS)]
+    members = members.select("num", F.coalesce("root", "num").alias("root"), *odds, "shingles", "prefix").where("shingles > 0")
+    pairs = _prefix_pairs(members, similarity)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("num")).distinct()
     held = saved(with_sets(sets.select("key", "num").join(ends, "num")), "pair-sets")
     left, right = (held.df.select(F.col("num").alias(e), F.col("shingles").alias(f"set_{e}")) for e in "uv")
@@ -443,11 +481,11 @@ def distinct_documents(
 
     rooted = sets.select("set", "num").join(roots.select(F.col("u").alias("num"), "v"), "num", "left")
     rooted = rooted.select("set", F.coalesce("v", "num").alias("root"))
-    grouped = rows.select(F.col("doc_id").alias("key"), "set").distinct().join(rooted, "set").select("key", "root")
+    grouped = rows.select(F.col("doc_id").alias("key"), "set").join(rooted, "set").select("key", "root")
     ids = keyed.groupBy(F.col("doc_id").alias("key"), "id").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("first")
     chosen = grouped.join(ids, "key").groupBy("root").agg(first).select("first.key", "first.n", F.lit(1).alias("copies"))
     chosen = saved(chosen, "chosen").df
-    for table in (prints, distinct, held):
+    for table in (distinct, held):
         table.drop()
     return taken_rows(docs, key, chosen)

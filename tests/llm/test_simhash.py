@@ -4,6 +4,8 @@ from collections import Counter
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from galley.llm import simhash
 from galley.llm.components import components
 
@@ -97,3 +99,25 @@ def test_distinct_documents_keep_one_of_every_pair_at_the_threshold(spark):
         rows += [(len(rows), " ".join(words[:7])), (len(rows) + 1, " ".join(words))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.distinct_documents(docs).collect()} == kept
+
+
+def test_texts_around_one_passage_do_not_meet_in_pairs(spark):
+    """300 texts share 50 of 65 words, so their prefixes share shingles, but no two are near; 30 have a near one."""
+    passage = [f"p{k}" for k in range(50)]
+    rows = [[*passage, *[f"t{n}x{k}" for k in range(15)]] for n in range(300)]
+    rows += [[*row, f"more{n}"] for n, row in enumerate(rows[:30])]
+    docs = spark.createDataFrame([(n, " ".join(row)) for n, row in enumerate(rows)], "doc_id long, text string")
+    sets = simhash._set_prints(docs, 5, 4, 0.7, simhash._common_shingles(docs, 5))
+    members = sets.withColumnsRenamed({"doc_id": "num"}).withColumn("root", F.col("num"))
+    found = {(r.u, r.v) for r in simhash._meetings(simhash._shared_shingles(members), 0.7).collect()}
+    assert {(n, 300 + n) for n in range(30)} <= found and len(found) < 300
+    assert {(n, 300 + n) for n in range(30)} <= {(r.u, r.v) for r in simhash._prefix_pairs(members, 0.7).collect()}
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(11)
+    for size in (1, 40, 700, 5000):
+        a = rng.integers(0, 2**63, size).astype(np.uint64)
+        b = np.concatenate([a[size // 3 :], rng.integers(0, 2**63, 30).astype(np.uint64)])
+        bits = int(np.bitwise_count((simhash.parities(a) ^ simhash.parities(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b))
