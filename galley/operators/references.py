@@ -24,7 +24,7 @@ from ..functions.text import (
     upper_ratio,
     word_count,
 )
-from ..plans.segments import first_per_key, island_text, row_numbers, running, with_totals
+from ..plans.segments import cut, first_per_key, island_text, row_numbers, running, with_totals
 
 _MARK = "\ue000"
 
@@ -269,7 +269,8 @@ def fallback_references(
     base = lines.where(has_text("text")).withColumn("text", strip(nz("text")))
     first = base.groupBy(*keys).agg((F.min("line_no") - 1).alias("line_no")).withColumn("text", F.lit(heading))
     headed = base.select(*keys, "line_no", "text").unionByName(first.select(*keys, "line_no", "text"))
-    strict = normalize_references(headed, keys, False, bounded)
+    # Written once: three readers would make the entries anew.
+    strict = cut(normalize_references(headed, keys, False, bounded))
     have = strict.select(*keys).distinct()
 
     df = running(base, keys, "line_no", lags={"__prev": F.col("text")}, bounded=bounded)
@@ -283,7 +284,8 @@ def fallback_references(
         .agg(F.min("line_no").alias("line_no"), island_text("line_no", "text").alias("text"))
         .select(*keys, "line_no", "text")
     )
-    return dedupe_references(strict.unionByName(loose.join(have, keys, "left_anti")), keys)
+    keyed = cut(_with_reference_key(strict.unionByName(loose.join(have, keys, "left_anti"))))
+    return first_per_key(keyed, [*keys, "__key"], F.col("line_no")).select(*strict.columns)
 
 
 def reference_key(c: Column | str) -> Column:
@@ -303,9 +305,13 @@ def reference_key(c: Column | str) -> Column:
     return let(norm_space(c), body)
 
 
+def _with_reference_key(refs: DataFrame) -> DataFrame:
+    return refs.where(has_text("text")).withColumn("text", norm_space("text")).withColumn("__key", reference_key("text"))
+
+
 def dedupe_references(refs: DataFrame, keys: Sequence[str] = ("doc_id",), ordinal: str = "line_no") -> DataFrame:
     """First of every reference by key, order kept. An aggregate with map-side combine, so copies cost little."""
-    df = refs.where(has_text("text")).withColumn("text", norm_space("text")).withColumn("__key", reference_key("text"))
+    df = _with_reference_key(refs)
     return first_per_key(df, [*keys, "__key"], F.col(ordinal)).select(*refs.columns)
 
 
