@@ -83,3 +83,59 @@ def test_anchors_of_equal_strings():
         b = np.concatenate([passage, rng.integers(97, 100, rng.integers(0, 50)).astype(np.uint8)])
         (_, x), (_, y) = suffixes.anchors(a, 80, 20), suffixes.anchors(b, 80, 20)
         assert set(x.tolist()) & set(y.tolist())
+
+
+def test_anchors_of_few_and_of_many_places(spark, monkeypatch):
+    """Groups of anchors cut at every size, with some in a task's orders and others in the order of all suffixes."""
+    monkeypatch.setattr(suffixes, "GROUP", 6)
+    monkeypatch.setattr(suffixes, "AT_ONCE", 3)
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("aab\x00é") for _ in range(n))
+    base, often = word(400), word(130)
+    rows = [(i, word(rng.randint(0, 60)) + base[rng.randint(0, 150) :][: rng.randint(20, 250)] + word(30)) for i in range(12)]
+    rows += [(50 + i, word(rng.randint(0, 60)) + often + word(30)) for i in range(12)] + [(100, "a" * 200), (101, often), (102, often)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, suffixes.dedup(docs, length=60, gram=12).collect())) == brute(rows, 60)
+
+
+def test_runs_of_starts():
+    """All starts in texts around equal anchors, against strings as they are."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        m, length, reach = int(rng.integers(1, 30)), 12, 8
+        back = rng.integers(0, reach + 1, m)
+        n = np.array([rng.integers(1, b + 2) for b in back])
+        parts = [rng.integers(97, 99, k + length - 1).astype(np.uint8) for k in n]
+        common = rng.integers(97, 99, 40).astype(np.uint8)
+        for p, b in zip(parts, back):
+            p[:] = np.where(rng.random(len(p)) < 0.97, common[reach - b :][: len(p)], p)
+        strings = [[(b - s, p[s : s + length].tobytes()) for s in range(k)] for p, b, k in zip(parts, back, n)]
+        seen = Counter(x for row in strings for x in row)
+        want = {(i, s) for i, row in enumerate(strings) for s, x in enumerate(row) if seen[x] > 1}
+        row, first, last = suffixes.repeats([p.tobytes() for p in parts], back, n, length, reach)
+        got = [(i, s) for i, a, b in zip(row.tolist(), first.tolist(), last.tolist()) for s in range(a, b + 1)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_owned_strings():
+    """Every start belongs to one anchor, the first least place of its string."""
+    rng = np.random.default_rng(2)
+    for size, letters in [(500, 26), (500, 2), (300, 1), (80, 3), (79, 3), (0, 3)]:
+        data = rng.integers(97, 97 + letters, size).astype(np.uint8)
+        h = suffixes.rolling(data, 20)
+        at, of, first, last = suffixes.owned(data, 80, 20)
+        assert (of == h[at]).all()
+        got = {p: a for a, i, j in zip(at.tolist(), first.tolist(), last.tolist()) for p in range(i, j + 1)}
+        assert got == {p: p + int(np.argmin(h[p : p + 61])) for p in range(max(0, size - 79))}
+
+
+def test_disk_is_bounded_by_the_text(spark, tmp_path, monkeypatch):
+    """Intermediate tables hold no row per byte: on texts that all repeat in part, they stay under the size of the texts."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    halves = [word(3000) for _ in range(20)]
+    rows = [(i, word(200) + halves[i % 20] + word(200)) for i in range(60)]
+    monkeypatch.setattr("galley.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == brute(rows, 400)
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < sum(len(t) for _, t in rows)
