@@ -139,3 +139,15 @@ def test_disk_is_bounded_by_the_text(spark, tmp_path, monkeypatch):
     got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, got)) == brute(rows, 400)
     assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < sum(len(t) for _, t in rows)
+
+
+def test_runs_with_a_period(spark):
+    """The inside of a run with a period is one row of its text, however long it is."""
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(i, word(rng.randint(0, 90)) + "Is onhe. " * rng.randint(30, 700) + word(90)) for i in range(12)]
+    rows += [(50, "a" * 900), (51, "b" * 401 + word(30)), (52, "c" * 400), (53, word(399)), (54, word(7) * 200), (55, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, suffixes.dedup(docs).collect())) == brute(rows, 400)
+    texts = docs.selectExpr("cast(cast(doc_id AS string) AS binary) AS key", "cast(text AS binary) AS data")
+    assert suffixes.repeated_anchors(texts).count() < 80
