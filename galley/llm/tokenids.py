@@ -60,6 +60,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark, self.border = special[0] if special else (None, None)
+        # Ids of a byte-level vocabulary that begin with a blank or a line feed, and so the piece that they stand in.
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[:1] in ("\u0120", "\u010a")]] = True
         self.known: dict = {}
         self.older: dict = {}
         # The shortcut holds for tokenizers that cut at blanks first; another one gets whole texts.
@@ -84,6 +88,22 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]
         return out
 
+    def _in_a_row(self, texts: list[str]) -> list[bytes]:
+        """Regular pieces that begin with a blank or a line feed, joined as they are: each begins at an id that says so."""
+        out: list[bytes] = []
+        groups = [texts[i : i + 4096] for i in range(0, len(texts), 4096)]
+        for group in groups:
+            joined = "".join(group)
+            if self.border is None or self.border not in joined:
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (np.flatnonzero(self.begins[ids]) * 4).tolist()
+                if len(cuts) == len(group) and cuts[0] == 0:
+                    raw = ids.tobytes()
+                    out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+                    continue
+            out += self._pieces(group)
+        return out
+
     @staticmethod
     def _regular(piece) -> bool:
         """Whether a cut in front of this piece, and one behind it, is a word boundary in any text."""
@@ -105,9 +125,16 @@ class Encoder:
                 known[piece] = older[piece]
             else:
                 missing.append(piece)
-        plain_text = [m[0] if isinstance(m, tuple) else m if m[:1] == "\n" else " " + m for m in missing]
-        for piece, ids in zip(missing, self._pieces(plain_text)):
-            known[piece] = ids if piece.__class__ is str and piece.isalnum() or self._regular(piece) else None
+        firsts, inner = [], []
+        for piece in missing:
+            if piece.__class__ is str and piece.isalnum():
+                inner.append(piece)
+            elif not self._regular(piece):
+                known[piece] = None
+            else:
+                (firsts if piece.__class__ is tuple else inner).append(piece)
+        known.update(zip(firsts, self._pieces([p[0] for p in firsts])))
+        known.update(zip(inner, self._in_a_row([p if p[0] == "\n" else " " + p for p in inner])))
         look = known.__getitem__
         out: list = []
         for pieces in cut:

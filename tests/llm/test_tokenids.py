@@ -28,6 +28,17 @@ def test_encoder_is_the_library(library, monkeypatch):
             assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
 
 
+def test_pieces_in_a_row(library, monkeypatch):
+    """Words that begin with a blank or a line feed need no border between them; a text that holds the border takes the old way."""
+    encoder = tokenids.Encoder(vocabulary())
+    pieces = [" one", "\ntwo", " don't", " 日本", " é", " x\ty", " 1,2", " ...", " Grüße"] * 700
+    want = [np.array(library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    assert encoder._in_a_row([*pieces, " a<|endoftext|>b"])[: len(pieces)] == want
+    monkeypatch.setattr(encoder, "_pieces", lambda texts: pytest.fail("asked for a border") if texts else [])
+    assert encoder._in_a_row(pieces) == want
+    assert next(encoder.encode(["one".join(pieces).strip()]))
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_round_trip(bits):
     rng = np.random.default_rng(3)
