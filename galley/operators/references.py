@@ -99,16 +99,15 @@ def assemble_references(
     end = (m.isin(P.END_MARKERS) | P.any_of([m.startswith(p) for p in P.END_PREFIXES])) & ~header
     event = F.when(heading, F.lit("open")).when(end, F.lit("end"))
     df = df.withColumn("__header", header).withColumn("__event", event)
-    df = running(df, keys, ordinal, carries={"__state": F.col("__event")}, bounded=bounded)
+    item = F.coalesce(F.col("block_type") == "li", F.lit(False))
+    unmarked = F.col("__event").isNull() & ~F.col("__header") & ~item
+    carries, lags = {"__state": F.col("__event")}, {"__after_unmarked": unmarked}
+    df = running(df, keys, ordinal, carries=carries, lags=lags, bounded=bounded)
     # An end mark counts only inside a section; outside it is an ordinary line, which the carried state already says.
     inside = (F.coalesce(F.col("__state"), F.lit("end")) == "open") & F.col("__event").isNull()
-    item = F.col("block_type") == "li"
-    plain = inside & ~F.col("__header") & ~F.coalesce(item, F.lit(False))
-    df = df.withColumn("__plain", plain)
-    df = running(df, keys, ordinal, lags={"__after_plain": F.col("__plain")}, bounded=bounded)
-    continues = F.col("__plain") & F.coalesce(F.col("__after_plain"), F.lit(False)) & ~F.col("text").rlike(
-        P.U + P.BLOCK_NUMBERED
-    )
+    # A row without an event has the state of the row before, so the row before is inside as well.
+    plain = inside & ~F.col("__header") & ~item
+    continues = plain & F.coalesce(F.col("__after_unmarked"), F.lit(False)) & ~F.col("text").rlike(P.U + P.BLOCK_NUMBERED)
     df = running(df, keys, ordinal, sums={"__isl": F.when(continues, 0).otherwise(1)}, bounded=bounded)
     kept = df.where(~F.col("__header"))
     out = kept.groupBy(*keys, "__isl").agg(
