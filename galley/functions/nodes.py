@@ -8,6 +8,7 @@ makes the text of the few elements it asks about.
 
 from __future__ import annotations
 
+import gc
 import re
 from html import unescape
 from html.parser import HTMLParser
@@ -165,8 +166,14 @@ def _listed(pages: list[_Lister]) -> pa.StructArray:
 
 
 def _list_pages(html: pa.Array) -> pa.Array:
-    pages = [_list_page(page.as_py() or "") for page in html]
-    return _listed(pages)
+    # Elements hold no cycles, so looking for some among all of a batch again and again is in vain.
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        return _listed([_list_page(page or "") for page in html.to_pylist()])
+    finally:
+        if collects:
+            gc.enable()
 
 
 def with_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -182,6 +189,11 @@ def text_of(node: Column) -> Column:
     return F.array_join(F.slice(F.col("texts"), node["from"] + 1, node["to"] - node["from"]), " ")
 
 
+def first_text(items: Column) -> Column:
+    """Text of the first element of a list, which is asked for once; null for none."""
+    return F.get(F.transform(F.slice(items, 1, 1), text_of), F.lit(0))
+
+
 def has_text(node: Column) -> Column:
     return node["to"] > node["from"]
 
@@ -191,7 +203,8 @@ def attr(node: Column, name: str) -> Column:
 
 
 def has_class(node: Column, name: str) -> Column:
-    return F.array_contains(F.split(attr(node, "class"), " "), name)
+    # Most elements have none: the list of classes is made where the name is found at all.
+    return attr(node, "class").contains(name) & F.array_contains(F.split(attr(node, "class"), " "), name)
 
 
 def within(nodes: Column, outer: Column) -> Column:
@@ -240,20 +253,26 @@ def section_text(headings: list[str], sep: str = " ") -> Column:
     wanted = [h.lower() for h in headings]
 
     def hit(t: Column) -> Column:
-        bare, out = F.regexp_replace(t, r":+\z", ""), F.lit(False)
-        for w in wanted:
-            out = out | bare.contains(w)
-        return out
+        # The colons go only where a phrase is found with them; a phrase that ends in one is rare enough to be looked for twice.
+        def any_of(c: Column) -> Column:
+            out = F.lit(False)
+            for w in wanted:
+                out = out | c.contains(w)
+            return out
+
+        return any_of(t) & let(F.regexp_replace(t, r":+\z", ""), any_of)
 
     def text_after(head: Column) -> Column:
         siblings = F.filter(_after(head), has_text)
         start = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("parts"))
 
         def step(acc: Column, n: Column) -> Column:
-            own = is_heading(n) & hit(F.lower(text_of(n)))
-            stop = acc["done"] | (is_heading(n) & ~own & (F.size(acc["parts"]) > 0))
-            parts = F.when(stop | own, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(text_of(n))))
-            return F.struct(stop.alias("done"), parts.alias("parts"))
+            def told(own: Column) -> Column:
+                stop = acc["done"] | (is_heading(n) & ~own & (F.size(acc["parts"]) > 0))
+                parts = F.when(stop | own, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(text_of(n))))
+                return F.struct(stop.alias("done"), parts.alias("parts"))
+
+            return let(is_heading(n) & hit(F.lower(text_of(n))), told)
 
         return F.aggregate(siblings, start, step, lambda acc: F.array_join(acc["parts"], sep))
 
@@ -285,7 +304,8 @@ def heading_block(headings: list[str], items: bool = False) -> Column:
 
             return let(_after(h), among)
 
-        return F.nullif(let(head, body), F.lit(""))
+        # The text is bound: ``nullif`` would make it once to look and once to give.
+        return let(let(head, body), lambda t: F.when(t != "", t))
 
     return F.coalesce(*[for_phrase(p) for p in headings], F.lit(""))
 

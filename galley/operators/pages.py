@@ -20,6 +20,7 @@ from ..functions.nodes import (
     attr,
     children,
     first,
+    first_text,
     has_class,
     has_text,
     heading_block,
@@ -310,15 +311,15 @@ def _captioned(nodes: Column, blocks: Column) -> Column:
     """``struct(lang, text)`` of language blocks: the caption tells the language and is cut off the text."""
 
     def one(b: Column) -> Column:
-        cap = text_of(first(children(nodes, b, lambda n: has_class(n, "lang_caption"))))
+        cap = first_text(children(nodes, b, lambda n: has_class(n, "lang_caption")))
 
-        def cut(whole: Column) -> Column:
-            up = F.upper(nz(cap))
+        def cut(x: Column) -> Column:
+            whole, up = x["whole"], F.upper(nz(x["cap"]))
             lang = F.when(up.rlike(EN_CAPTION), F.lit("en")).when(up.rlike(RU_CAPTION), F.lit("ru"))
-            text = F.when(F.upper(whole).startswith(up), strip(F.substr(whole, F.length(nz(cap)) + 1, F.length(whole)))).otherwise(whole)
-            return F.struct(F.when(cap.isNotNull(), lang).alias("lang"), text.alias("text"))
+            text = F.when(F.upper(whole).startswith(up), strip(F.substr(whole, F.length(nz(x["cap"])) + 1, F.length(whole)))).otherwise(whole)
+            return F.struct(F.when(x["cap"].isNotNull(), lang).alias("lang"), text.alias("text"))
 
-        return let(text_of(b), cut)
+        return let(F.struct(text_of(b).alias("whole"), cap.alias("cap")), cut)
 
     return F.filter(F.transform(blocks, one), lambda x: x["lang"].isNotNull() & (x["text"] != ""))
 
@@ -338,13 +339,12 @@ def detail_page_metadata(pages: DataFrame, key: str = "url", html: str = "html")
         def body(kids: Column) -> Column:
             cells = F.filter(kids, lambda x: x["tag"] == "td")
             text = F.array_join(F.transform(F.filter(cells, has_text), text_of), " ")
-            marked = F.filter(cells, lambda x: has_class(x, "multilang"))
             return F.struct(
                 r["ord"].alias("ord"),
-                nz(text_of(first(F.filter(kids, lambda x: x["tag"] == "th")))).alias("label"),
+                nz(first_text(F.filter(kids, lambda x: x["tag"] == "th"))).alias("label"),
                 text.alias("cell"),
-                (F.size(marked) > 0).alias("marked"),
-                _captioned(n, marked).alias("listed"),
+                F.exists(cells, lambda x: has_class(x, "multilang")).alias("marked"),
+                _captioned(n, F.filter(cells, lambda x: has_class(x, "multilang"))).alias("listed"),
             )
 
         return let(within(n, r), body)
@@ -477,14 +477,16 @@ ABSTRACT_EN_CLASSES = ["abstract.*en", "article-abstract.*en", "trans-abstract"]
 def _by_class(nodes: Column, patterns: list[str], lang: str) -> Column:
     """First text of an element whose class matches a pattern and whose declared language is not another one."""
 
-    def one(p: str) -> Column:
+    def one(nodes: Column, p: str) -> Column:
         def fits(n: Column) -> Column:
             own = F.lower(norm_space(F.when(attr(n, "lang") != "", attr(n, "lang")).otherwise(attr(n, "xml:lang"))))
-            return attr(n, "class").rlike("(?i)" + p) & ((own == "") | own.startswith(lang)) & has_text(n)
+            return attr(n, "class").rlike("(?i)" + p) & ((own == "") | own.startswith(lang))
 
-        return text_of(first(F.filter(nodes, fits)))
+        return first_text(F.filter(nodes, fits))
 
-    return F.coalesce(*[one(p) for p in patterns], F.lit(""))
+    # Every pattern has characters, so elements without a class are passed over once for all of them.
+    classed = F.filter(nodes, lambda n: (attr(n, "class") != "") & has_text(n))
+    return let(classed, lambda ns: F.coalesce(*[one(ns, p) for p in patterns], F.lit("")))
 
 
 def page_authors(metas: Column, article: Column) -> Column:
@@ -546,17 +548,18 @@ def page_metadata(pages: DataFrame, key: str = "page_id", html: str = "html", ur
         return F.when(value.startswith("["), nz(first(listed))).otherwise(norm_space(value))
 
     def pick(*options: Column) -> Column:
-        return F.coalesce(*[F.nullif(norm_space(o), F.lit("")) for o in options], F.lit(""))
+        # Bound, because ``nullif`` would make a text once to look and once to give.
+        return F.coalesce(*[let(norm_space(o), lambda t: F.when(t != "", t)) for o in options], F.lit(""))
 
     def tag_text(tag: str) -> Column:
-        return nz(text_of(first(F.filter(n, lambda x: x["tag"] == tag))))
+        return nz(first_text(F.filter(n, lambda x: x["tag"] == tag)))
 
     bib = F.coalesce(
         first(F.filter(n, lambda x: attr(x, "id") == "articleBibliography")),
         first(F.filter(n, lambda x: has_class(x, "article-bibliography"))),
     )
     items = F.transform(children(n, bib, lambda x: (x["tag"] == "li") & has_text(x)), text_of)
-    bib_head = F.lower(nz(text_of(first(children(n, bib, lambda x: x["tag"].isin("h1", "h2", "h3", "h4"))))))
+    bib_head = F.lower(nz(first_text(children(n, bib, lambda x: x["tag"].isin("h1", "h2", "h3", "h4")))))
     en_page = F.lower(F.regexp_extract(nz(url), r"\?([^#]*)", 1)).contains("sl=en")
     raw_title = pick(
         meta_first(m, "citation_title"), ld_text("headline"), ld_text("name"), meta_first(m, "og:title", "twitter:title", "dc.title"), tag_text("title"), tag_text("h1")
